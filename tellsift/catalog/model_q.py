@@ -1 +1,487 @@
-"""Models."""
+"""Vectors, topics, classifiers, evaluation, self-training and scoring."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from tellsift.catalog.registry import filings, labels, load, notices, query, r6
+from tellsift.catalog.sqltext import FILINGS, LABELS, cut, inlist, norm, q, score, seg, with_, words_of
+from tellsift.catalog.text_q import SCORE_WORDS, TX_words, keyword
+from tellsift.functions import text as TX, words as W
+from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, sentences as S, topics, vectorize as V
+from tellsift.plans import explore, predict, selftrain, training
+
+THRESHOLD = 0.3
+
+# ---- flagship and scoring with a rule ----
+
+SCORED = (
+    FILINGS, LABELS, cut("filings"),
+    f"scored AS MATERIALIZED (SELECT idx, pos, sents, {score('sents', SCORE_WORDS)} AS proba FROM seg)",
+)
+ROLLED = """rolled AS (SELECT idx, string_agg(sents, chr(10) ORDER BY pos) AS Incident_sents, count(*) AS Incident_sents_num,
+avg(proba) AS Incident_proba FROM scored WHERE proba > 0.3 GROUP BY idx)"""
+ROLLED_OUT = "idx, cik, form_type, Incident_sents, Incident_sents_num, round(Incident_proba, 6) AS Incident_proba"
+ROLLED_COLUMNS = ["idx", "cik", "form_type", "Incident_sents", "Incident_sents_num"]
+
+
+def scored_sentences(spark, sf):
+    cut_rows = S.cut_filings(filings(spark, sf), "filtered_text").select("idx", "pos", "sents")
+    return S.computed(cut_rows, proba=keyword())
+
+
+@query("flagship", with_(*SCORED, ROLLED) + f"SELECT {ROLLED_OUT} FROM filings JOIN rolled USING (idx)")
+def flagship(spark, sf):
+    """Filings with the sentences whose score is above the threshold, without any shuffle of text."""
+    found = scoring.roll_up_arrays(
+        filings(spark, sf),
+        TX.segment(TX.normalise(F.col("filtered_text"))),
+        lambda s: scoring.keyword_score(TX_words(s), SCORE_WORDS),
+        "Incident",
+        THRESHOLD,
+    )
+    return found.select(*ROLLED_COLUMNS, r6(F.col("Incident_proba"), "Incident_proba"))
+
+
+@query("j8_rollup", with_(*SCORED, ROLLED) + "SELECT idx, Incident_sents, Incident_sents_num, round(Incident_proba, 6) AS Incident_proba FROM rolled")
+def j8(spark, sf):
+    positive = scored_sentences(spark, sf).where(F.col("proba") > THRESHOLD)
+    return scoring.roll_up(positive, "Incident").withColumn("Incident_proba", F.round("Incident_proba", 6))
+
+
+@query("c1_rollup_join", with_(*SCORED, ROLLED) + f"SELECT {ROLLED_OUT} FROM filings JOIN rolled USING (idx)")
+def c1(spark, sf):
+    whole = scoring.filing_result(filings(spark, sf), scored_sentences(spark, sf), "Incident", THRESHOLD)
+    return whole.select(*ROLLED_COLUMNS, r6(F.col("Incident_proba"), "Incident_proba"))
+
+
+@query("j9_positive_sentences", with_(*SCORED) + "SELECT idx, pos, sents, round(proba, 6) AS proba, 1 AS pred FROM scored WHERE proba > 0.3")
+def j9_pos(spark, sf):
+    out = scoring.filing_result(filings(spark, sf), scored_sentences(spark, sf), "Incident", THRESHOLD, "pos_sents")
+    return out.withColumn("proba", F.round("proba", 6))
+
+
+@query("j9_all_sentences", with_(*SCORED) + "SELECT idx, pos, sents, round(proba, 6) AS proba, CAST(proba > 0.3 AS INTEGER) AS pred FROM scored")
+def j9_all(spark, sf):
+    out = scoring.filing_result(filings(spark, sf), scored_sentences(spark, sf), "Incident", THRESHOLD, "all_sents")
+    return out.withColumn("proba", F.round("proba", 6))
+
+
+SECOND = ["is", "was", "are", "be", "by", "at", "on", "in"]
+
+
+@query(
+    "j10_second_pass",
+    with_(
+        *SCORED, ROLLED,
+        "l2 AS (SELECT idx, string_split(Incident_sents, chr(10)) AS l FROM rolled)",
+        "s2 AS (SELECT idx, unnest(l) AS sents, generate_subscripts(l, 1) AS pos FROM l2)",
+        f"p2 AS (SELECT *, {score('sents', SECOND)} AS proba FROM s2)",
+    )
+    + """SELECT idx, Incident_sents, string_agg(sents, chr(10) ORDER BY pos) AS Immaterial_sents, count(*) AS Immaterial_sents_num,
+round(avg(proba), 6) AS Immaterial_proba FROM p2 JOIN rolled USING (idx) WHERE proba > 0.05 GROUP BY idx, Incident_sents""",
+)
+def j10(spark, sf):
+    first = scoring.roll_up_arrays(
+        filings(spark, sf),
+        TX.segment(TX.normalise(F.col("filtered_text"))),
+        lambda s: scoring.keyword_score(TX_words(s), SCORE_WORDS),
+        "Incident",
+        THRESHOLD,
+    ).select("idx", "Incident_sents")
+    lines = S.cut_filings(first, "Incident_sents", lines=True)
+    scored = S.computed(lines, proba=scoring.keyword_score(TX_words(F.col("sents")), SECOND))
+    out = scoring.filing_result(first, scored, "Immaterial", 0.05)
+    return out.withColumn("Immaterial_proba", F.round("Immaterial_proba", 6))
+
+
+# ---- vectors ----
+
+GRAMS = f"""gw AS (SELECT idx, regexp_extract_all(lower(filtered_text), {q('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]{2,}')}) AS l FROM filings),
+gs AS (SELECT idx, list_filter(l, lambda w: w NOT IN {inlist(W.CR_STOP_LOWER)}) AS l FROM gw),
+g AS (SELECT idx, unnest(l) AS term FROM gs UNION ALL
+ SELECT idx, array_to_string(l[k:k + 1], ' ') FROM (SELECT idx, l, unnest(range(1, len(l))) AS k FROM gs)),
+tf AS MATERIALIZED (SELECT idx, term, count(*) AS tf FROM g GROUP BY idx, term),
+nd AS (SELECT count(*) AS n FROM filings),
+voc AS MATERIALIZED (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY term
+ HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT n FROM nd))"""
+
+
+def counts(spark, sf):
+    grams = FR.gram_array(F.col("filtered_text"), 1, 2, stop=W.CR_STOP_LOWER)
+    return V.term_counts(filings(spark, sf), "idx", grams)
+
+
+def n_filings(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").agg(F.count("*")).scalar()
+
+
+def vocabulary(spark, sf):
+    return V.vocabulary(counts(spark, sf), n_filings(spark, sf), 2, 0.8)
+
+
+@query("f1_counts", with_(FILINGS, GRAMS) + "SELECT idx, term, tf FROM tf")
+def f1(spark, sf):
+    return counts(spark, sf)
+
+
+@query("f1_vocabulary", with_(FILINGS, GRAMS) + "SELECT term, df, total FROM voc")
+def f1_voc(spark, sf):
+    return vocabulary(spark, sf)
+
+
+@query("f1_vocabulary_limited", with_(FILINGS, GRAMS) + "SELECT term, df, total FROM voc ORDER BY total DESC, term LIMIT 1000")
+def f1_limited(spark, sf):
+    return V.vocabulary(counts(spark, sf), n_filings(spark, sf), 2, 0.8, 1000)
+
+
+def weights_sql(tf: str) -> str:
+    return with_(
+        FILINGS, GRAMS,
+        f"""w AS (SELECT idx, term, {tf} * (ln((1.0 + (SELECT n FROM nd)) / (1.0 + df)) + 1) AS x FROM tf JOIN voc USING (term))""",
+    ) + "SELECT idx, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY idx)), 6) AS weight FROM w"
+
+
+@query("f2_tfidf", weights_sql("tf"))
+def f2(spark, sf):
+    t = V.tfidf(counts(spark, sf), vocabulary(spark, sf), n_filings(spark, sf), "idx")
+    return t.select("idx", "term", r6(F.col("weight"), "weight"))
+
+
+@query("f3_sublinear", weights_sql("(1 + ln(tf))"))
+def f3(spark, sf):
+    t = V.tfidf(counts(spark, sf), vocabulary(spark, sf), n_filings(spark, sf), "idx", sublinear=True)
+    return t.select("idx", "term", r6(F.col("weight"), "weight"))
+
+
+# ---- evaluation on the rule score ----
+
+EVAL = (
+    *SCORED,
+    "e AS MATERIALIZED (SELECT idx, pos, Incident, Immaterial, proba FROM scored JOIN lab USING (idx))",
+    "pt AS (SELECT proba AS threshold, count(*) FILTER (Incident = 1) AS pos, count(*) FILTER (Incident <> 1) AS neg FROM e GROUP BY proba)",
+    """cum AS MATERIALIZED (SELECT *, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, lead(pos) OVER o AS npos, lead(neg) OVER o AS nneg,
+ row_number() OVER o AS r, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM pt
+ WINDOW d AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING), o AS (ORDER BY threshold DESC))""",
+    "pr AS (SELECT threshold, tp / (tp + fp) AS precision, tp / p AS recall FROM cum)",
+    "roc AS (SELECT threshold, tp / p AS tpr, fp / n AS fpr FROM cum WHERE r = 1 OR npos IS NULL OR NOT (npos = pos AND nneg = neg))",
+)
+
+
+def evaluated(spark, sf):
+    s = scored_sentences(spark, sf).select("idx", "pos", "proba")
+    return s.join(labels(spark, sf), "idx")
+
+
+def points(spark, sf):
+    return EV.cumulative(evaluated(spark, sf), "proba", "Incident")
+
+
+@query(
+    "i1_pr_curve",
+    with_(*EVAL) + "SELECT round(threshold, 6) AS threshold, round(precision, 6) AS precision, round(recall, 6) AS recall FROM pr UNION ALL SELECT NULL, 1.0, 0.0",
+)
+def i1(spark, sf):
+    return EV.pr_curve(points(spark, sf)).select(*[r6(F.col(c), c) for c in ("threshold", "precision", "recall")])
+
+
+@query(
+    "i2_roc_curve",
+    with_(*EVAL) + "SELECT round(threshold, 6) AS threshold, round(tpr, 6) AS tpr, round(fpr, 6) AS fpr FROM roc UNION ALL SELECT 'infinity'::DOUBLE, 0.0, 0.0",
+)
+def i2(spark, sf):
+    return EV.roc_curve(points(spark, sf)).select(*[r6(F.col(c), c) for c in ("threshold", "tpr", "fpr")])
+
+
+F1 = "coalesce(2 * precision * recall / nullif(precision + recall, 0), 0)"
+
+
+@query("i3_best_f1", with_(*EVAL) + f"SELECT round(threshold, 6) AS threshold, round({F1}, 6) AS f1 FROM pr ORDER BY {F1} DESC, pr.threshold LIMIT 1")
+def i3(spark, sf):
+    return EV.best_f1(points(spark, sf)).select(r6(F.col("threshold"), "threshold"), r6(F.col("f1"), "f1"))
+
+
+@query(
+    "i4_best_gmean",
+    with_(*EVAL) + "SELECT round(threshold, 6) AS threshold, round(sqrt(tpr * (1 - fpr)), 6) AS gmean FROM roc ORDER BY sqrt(tpr * (1 - fpr)) DESC, roc.threshold DESC LIMIT 1",
+)
+def i4(spark, sf):
+    return EV.best_gmean(points(spark, sf)).select(r6(F.col("threshold"), "threshold"), r6(F.col("gmean"), "gmean"))
+
+
+@query(
+    "i6_ap_auc",
+    with_(*EVAL) + "SELECT round(sum(pos / p * (tp / (tp + fp))), 6) AS pr_auc, round(sum(neg / n * ((tp - pos / 2) / p)), 6) AS roc_auc FROM cum",
+)
+def i6(spark, sf):
+    return EV.areas(points(spark, sf)).select(r6(F.col("pr_auc"), "pr_auc"), r6(F.col("roc_auc"), "roc_auc"))
+
+
+CONF = "c AS (SELECT count(*) FILTER (Incident = 1 AND proba > 0.3) AS tp, count(*) FILTER (Incident <> 1 AND proba > 0.3) AS fp, count(*) FILTER (Incident = 1 AND proba <= 0.3) AS fn{by} FROM e{group})"
+PRF = "round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1"
+
+
+@query("i7_prf", with_(*EVAL, CONF.format(by="", group="")) + f"SELECT {PRF} FROM c")
+def i7(spark, sf):
+    p = EV.apply_threshold(evaluated(spark, sf), THRESHOLD)
+    return EV.precision_recall_f1(p, "Incident").select(*[r6(F.col(c), c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    "h8_compare_models",
+    with_(*EVAL, CONF.format(by=", cik AS model_name", group=" JOIN (SELECT idx, cik FROM filings) USING (idx) GROUP BY cik"))
+    + f"SELECT model_name, {PRF.replace('round(tp / (tp + fp), 6)', 'round(coalesce(tp / nullif(tp + fp, 0), 0), 6)').replace('round(tp / (tp + fn), 6)', 'round(coalesce(tp / nullif(tp + fn, 0), 0), 6)').replace('round(2 * tp / (2 * tp + fp + fn), 6)', 'round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)')} FROM c",
+)
+def h8(spark, sf):
+    """One row of scores per source, each source standing for a model."""
+    p = EV.apply_threshold(evaluated(spark, sf), THRESHOLD).join(filings(spark, sf).select("idx", F.col("cik").alias("model_name")), "idx")
+    return EV.precision_recall_f1(p, "Incident", by=["model_name"]).select(
+        "model_name", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")]
+    )
+
+
+@query("i8_apply_threshold", with_(*EVAL) + "SELECT idx, pos, CAST(proba > 0.3 AS INTEGER) AS pred, CAST(proba >= 0.25 AS INTEGER) AS pred_incl FROM e")
+def i8(spark, sf):
+    p = EV.apply_threshold(evaluated(spark, sf), THRESHOLD)
+    return EV.apply_threshold(p, 0.25, out="pred_incl", inclusive=True).select("idx", "pos", "pred", "pred_incl")
+
+
+@query(
+    "i10_errors",
+    with_(*EVAL) + "SELECT idx, pos, Incident, CAST(proba > 0.3 AS INTEGER) AS pred, round(proba, 6) AS proba FROM e WHERE CAST(proba > 0.3 AS INTEGER) <> Incident",
+)
+def i10(spark, sf):
+    p = EV.apply_threshold(evaluated(spark, sf), THRESHOLD)
+    return EV.prediction_errors(p, "Incident").select("idx", "pos", "Incident", "pred", r6(F.col("proba"), "proba"))
+
+
+@query("i11_no_skill", with_(*EVAL) + "SELECT round(avg(CASE WHEN Incident = 1 THEN 1.0 ELSE 0.0 END), 6) AS no_skill FROM e")
+def i11(spark, sf):
+    return EV.no_skill(evaluated(spark, sf), "Incident").select(r6(F.col("no_skill"), "no_skill"))
+
+
+@query(
+    "i12_distribution",
+    with_(
+        FILINGS, LABELS, cut("filings"),
+        "w AS (SELECT idx, string_split(sents, ' ') AS l FROM seg)",
+        "m AS (SELECT idx, CAST(length(array_to_string(l, '')) AS DOUBLE) AS c, len(l) AS n, len(list_distinct(l)) AS u FROM w)",
+        "f AS (SELECT idx, ln(c + 1) AS char_count, c / n AS avg_word_length, ln(u + 1) AS unique_count, u / n AS unique_vs_words FROM m JOIN lab USING (idx))",
+        "x AS (UNPIVOT f ON char_count, avg_word_length, unique_count, unique_vs_words INTO NAME feature VALUE v)",
+        "k AS (SELECT feature, 'Incident' AS key, CAST(Incident AS VARCHAR) AS value, v FROM x JOIN lab USING (idx) UNION ALL SELECT feature, 'Immaterial', CAST(Immaterial AS VARCHAR), v FROM x JOIN lab USING (idx))",
+    )
+    + """SELECT feature, key, value, count(*) AS rows, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS stddev, round(min(v), 6) AS low,
+round(quantile_disc(v, 0.25), 6) AS q25, round(quantile_disc(v, 0.5), 6) AS median, round(quantile_disc(v, 0.75), 6) AS q75, round(max(v), 6) AS high FROM k GROUP BY ALL""",
+)
+def i12(spark, sf):
+    f = filings(spark, sf).join(labels(spark, sf), "idx")
+    s = S.cut_filings(f, "filtered_text").select("sents", "Incident", "Immaterial")
+    table = explore.compare_lengths(s, ["Incident", "Immaterial"])
+    return table.select(
+        "feature", "key", "value", "rows", *[r6(F.col(c), c) for c in ("mean", "stddev", "low", "q25", "median", "q75", "high")]
+    )
+
+
+RESULTS = """res AS (SELECT form_type AS model_name, Incident AS C, 'l2' AS penalty, Immaterial AS k, avg(proba) AS mean_train_roc_auc, max(proba) AS mean_test_roc_auc
+ FROM e JOIN (SELECT idx, form_type FROM filings) USING (idx) GROUP BY ALL)"""
+
+
+@query(
+    "h7_unpivot",
+    with_(*EVAL, RESULTS)
+    + """SELECT model_name, param, value, part, 'roc_auc' AS measure, round(score, 6) AS score FROM (
+SELECT model_name, 'C' AS param, CAST(C AS VARCHAR) AS value, 'train' AS part, mean_train_roc_auc AS score FROM res
+UNION ALL SELECT model_name, 'C', CAST(C AS VARCHAR), 'validation', mean_test_roc_auc FROM res
+UNION ALL SELECT model_name, 'k', CAST(k AS VARCHAR), 'train', mean_train_roc_auc FROM res
+UNION ALL SELECT model_name, 'k', CAST(k AS VARCHAR), 'validation', mean_test_roc_auc FROM res)""",
+)
+def h7(spark, sf):
+    """Mean scores by label values, which stand for the parameters of a search."""
+    e = evaluated(spark, sf).join(filings(spark, sf).select("idx", F.col("form_type").alias("model_name")), "idx")
+    table = e.groupBy("model_name", F.col("Incident").alias("C"), F.lit("l2").alias("penalty"), F.col("Immaterial").alias("k")).agg(
+        F.avg("proba").alias("mean_train_roc_auc"), F.max("proba").alias("mean_test_roc_auc")
+    )
+    return results.search_long(table, ["C", "penalty", "k"]).withColumn("score", F.round("score", 6))
+
+
+# ---- self-training tables ----
+
+STUB = (
+    *SCORED,
+    """u AS (SELECT idx, pos, coalesce(Incident, -1) AS y, proba FROM scored LEFT JOIN lab USING (idx))""",
+    "r AS (SELECT *, CASE WHEN y <> -1 THEN y WHEN proba > 0.4 THEN 1 WHEN proba < 0.1 THEN 0 ELSE -1 END AS pseudo FROM u)",
+)
+
+
+def stub(spark, sf):
+    """A self-training result in which the rule score plays the model."""
+    s = scored_sentences(spark, sf).select("idx", "pos", "proba").join(labels(spark, sf).select("idx", "Incident"), "idx", "left")
+    train, rest = s.where("Incident is not null"), s.where("Incident is null")
+    rows = selftrain.add_unlabelled(train, rest, "Incident")
+    pseudo = (
+        F.when(F.col("Incident") != -1, F.col("Incident"))
+        .when(F.col("proba") > 0.4, 1).when(F.col("proba") < 0.1, 0).otherwise(-1)
+    )
+    return rows.withColumn("pseudo_label", pseudo)
+
+
+@query("j1_unlabelled_set", with_(*STUB) + "SELECT idx, pos, y AS Incident FROM u")
+def j1(spark, sf):
+    return stub(spark, sf).select("idx", "pos", "Incident")
+
+
+OUT = "idx, pos, y AS true_label, pseudo AS Incident"
+
+
+@query("j4_labelled", with_(*STUB) + f"SELECT {OUT} FROM r WHERE y <> -1 OR pseudo <> -1")
+def j4(spark, sf):
+    return selftrain.labelled_rows(stub(spark, sf), "Incident").select("idx", "pos", "true_label", "Incident")
+
+
+@query("j5_changed", with_(*STUB) + f"SELECT {OUT} FROM r WHERE y <> pseudo")
+def j5(spark, sf):
+    return selftrain.changed_rows(stub(spark, sf), "Incident").select("idx", "pos", "true_label", "Incident")
+
+
+@query("j6_unlabelled", with_(*STUB) + "SELECT idx, pos, y AS Incident, pseudo AS pseudo_label FROM r WHERE pseudo = -1")
+def j6(spark, sf):
+    return selftrain.unlabelled_rows(stub(spark, sf)).select("idx", "pos", "Incident", "pseudo_label")
+
+
+# ---- models: rows only ----
+
+
+def labelled_sentences(spark, sf):
+    f = filings(spark, sf).join(labels(spark, sf), "idx")
+    s = S.to_sentences(f, "filtered_text", W.CR_LABELS, lang=None)
+    return s.withColumn("row_id", F.concat_ws("-", "idx", "pos"))
+
+
+def training_rows(spark, sf):
+    return training.with_label(labelled_sentences(spark, sf), "Immaterial")
+
+
+SMALL = {"max_features": 2000, "n_components": 50, "C": 1.0, "max_df": 0.8, "lowercase": True}
+
+
+def whole_text_grams(low=1, high=2):
+    return FR.gram_array(F.col("filtered_text"), low, high, stop=W.CR_STOP_LOWER)
+
+
+@query("f5_svd")
+def f5(spark, sf):
+    _, components, words = topics.lsa_topics(filings(spark, sf), whole_text_grams(), k=10)
+    return topics.topic_words(spark, components, words, len(words))
+
+
+@query("g1_lsa")
+def g1(spark, sf):
+    _, components, words = topics.lsa_topics(filings(spark, sf), whole_text_grams(), k=10)
+    return topics.topic_words(spark, components, words, 20)
+
+
+def nmf_query(name, loss):
+    @query(name)
+    def run(spark, sf):
+        model, words = topics.nmf_topics(filings(spark, sf), "idx", whole_text_grams(), k=10, loss=loss, max_iter=15)
+        return topics.topic_words(spark, model.components, words, 20)
+
+
+nmf_query("g2_nmf", "frobenius")
+nmf_query("g3_nmf_kl", "kullback-leibler")
+
+
+@query("g4_lda")
+def g4(spark, sf):
+    model, _, _ = topics.lda_topics(filings(spark, sf), whole_text_grams(), k=10, max_iter=10)
+    mixed = model.transform(filings(spark, sf).withColumn("grams", whole_text_grams()))
+    return mixed.select("idx", training.vector_to_array("topicDistribution").alias("mix")).select(
+        "idx", F.posexplode("mix").alias("topic", "weight")
+    )
+
+
+@query("g5_topic_words")
+def g5(spark, sf):
+    _, components, words = topics.lda_topics(filings(spark, sf), whole_text_grams(), k=10, max_iter=10)
+    return topics.topic_words(spark, components, words, 20)
+
+
+G5_SQL = with_(FILINGS, GRAMS, "tt AS (SELECT form_type AS topic, term AS word, CAST(sum(tf) AS DOUBLE) AS weight FROM tf JOIN filings USING (idx) GROUP BY ALL)") + (
+    "SELECT * FROM (SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) AS INTEGER) AS rank, word, weight FROM tt) WHERE rank <= 20"
+)
+
+
+@query("g5_top_words_per_group", G5_SQL)
+def g5_group(spark, sf):
+    """Heaviest words per language, each language standing for a topic."""
+    c = counts(spark, sf).join(filings(spark, sf).select("idx", F.col("form_type").alias("topic")), "idx")
+    table = c.groupBy("topic", F.col("term").alias("word")).agg(F.sum("tf").cast("double").alias("weight"))
+    return topics.rank_words(table, 20)
+
+
+@query("h1_logistic")
+def h1(spark, sf):
+    spec = training.ModelSpec("Baseline", stop_lower=W.CR_STOP_LOWER)
+    rows = training_rows(spark, sf).persist()
+    model = training.fit_model(spec, rows, SMALL)
+    return training.positive_score(model.transform(rows)).select("row_id", "label", "proba")
+
+
+def classifier_query(name, classifier):
+    @query(name)
+    def run(spark, sf):
+        spec = training.ModelSpec(classifier, classifier=classifier)
+        rows = training_rows(spark, sf).persist()
+        model = training.fit_model(spec, rows, {**SMALL, "trees": 10, "depth": 4, "n_components": 20})
+        return training.positive_score(model.transform(rows), "margin").select("row_id", "label", "proba")
+
+
+classifier_query("h2_linear_svc", "linear_svc")
+classifier_query("h3_forest", "forest")
+classifier_query("h3_boosted_trees", "gbt")
+
+
+@query("f8_univariate_selection")
+def f8(spark, sf):
+    spec = training.ModelSpec("Selected", fselector="f", scaler="maxabs")
+    rows = training_rows(spark, sf).persist()
+    model = training.fit_model(spec, rows, SMALL)
+    return training.positive_score(model.transform(rows)).select("row_id", "label", "proba")
+
+
+@query("h4_grid")
+def h4(spark, sf):
+    rows = training_rows(spark, sf)
+    spec = training.ModelSpec("Baseline", stop_lower=W.CR_STOP_LOWER, stop_cased=W.CR_STOP_CASED)
+    features = {"lowercase": [True], "max_df": [0.8], "sublinear_tf": [True], "max_features": [500]}
+    _, _, table = training.tune(spec, rows, features, {"C": [0.1, 1], "n_components": [10]})
+    return table
+
+
+@query("j2_selftrain")
+def j2(spark, sf):
+    cut_rows = S.to_sentences(filings(spark, sf), "filtered_text", W.CR_LABELS, lang=None)
+    s = cut_rows.withColumn("row_id", F.concat_ws("-", "idx", "pos")).join(labels(spark, sf), "idx", "left")
+    _, result = selftrain.self_train(
+        s.where("Immaterial is not null"), s.where("Immaterial is null"), "Immaterial",
+        training.ModelSpec(fselector="svd"), {**SMALL, "max_features": 500, "n_components": 20}, threshold=0.9, max_rounds=3,
+    )
+    return result.select("row_id", "Immaterial", "pseudo_label", "round", "Immaterial_proba")
+
+
+@query("j7_score_filings")
+def j7(spark, sf):
+    model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), {**SMALL, "n_components": 20})
+    out = predict.predict_filings(filings(spark, sf), model, 0.6, "Immaterial", lang=None)
+    return out.select("idx", "Immaterial_sents_num", "Immaterial_proba")
+
+
+@query("j11_score_sentences")
+def j11(spark, sf):
+    model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), {**SMALL, "n_components": 20})
+    talk = load(spark, f"{sf}/conversations.parquet").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.lit(0).alias("pos"), F.col("text").alias("sents")
+    )
+    return predict.predict_sentences(talk, model, 0.6, lang=None).select("idx", "proba", "pred")

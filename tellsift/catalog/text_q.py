@@ -141,21 +141,28 @@ token_query("e10_tokens_periodic", W.PR_LABELS)
 token_query("e10_tokens_no_labels", None)
 
 
+# Words that occur at least this often in the notices make up a vocabulary.
+KNOWN = (
+    f"voc AS MATERIALIZED (SELECT w FROM (SELECT unnest({words_of('filtered_text')}) AS w FROM notices) GROUP BY w HAVING count(*) > 2000)"
+)
+
+
+def vocabulary(spark, sf):
+    words = notices(spark, sf).select(F.explode(TX_words(F.col("filtered_text"))).alias("word"))
+    return words.groupBy("word").count().where("count > 2000").select("word")
+
+
 @query(
     "e10_tokens_with_unknown",
-    with_(*ANN, replaced(W.CR_LABELS), recursive=True)
-    + """, voc AS (SELECT lower(tok) AS w FROM toks JOIN typed USING (idx, pos, i) WHERE cls = 'WORD' GROUP BY 1 HAVING count(*) > 2000)
-SELECT idx, pos, coalesce(string_agg(CASE WHEN cls = 'WORD' AND tok NOT IN (SELECT w FROM voc) THEN 'OOV' ELSE tok END, ' ' ORDER BY i, j), '') AS tokens
+    with_(*ANN, replaced(W.CR_LABELS), KNOWN, recursive=True)
+    + """SELECT idx, pos, coalesce(string_agg(CASE WHEN cls = 'WORD' AND tok NOT IN (SELECT w FROM voc) THEN 'OOV' ELSE tok END, ' ' ORDER BY i, j), '') AS tokens
 FROM seg LEFT JOIN (toks JOIN typed USING (idx, pos, i)) USING (idx, pos) GROUP BY idx, pos""",
 )
 def e10_oov(spark, sf):
-    """Words that occur seldom in the notices count as unknown, as do those not in lower case."""
-    ann = ann_notices(spark, sf)
-    words = E.classes(ann).where("cls = 'WORD'")
-    known = words.groupBy(F.lower("text").alias("word")).count().where("count > 2000")
-    unknown = E.with_unknown_words(ann, known)
+    """Words that are rare in the notices count as unknown, as do those not in lower case."""
+    unknown = E.with_unknown_words(cut_notices(spark, sf), vocabulary(spark, sf))
     tokens = K.entity_tokens(F.col("ann"), W.CR_LABELS, oov=F.col("oov"))
-    return unknown.select("idx", "pos", F.array_join(tokens, " ").alias("tokens"))
+    return S.with_annotation(unknown).select("idx", "pos", F.array_join(tokens, " ").alias("tokens"))
 
 
 @query("e11_default_tokens", with_(FILINGS, cut("filings")) + "SELECT idx, pos, array_to_string(string_split(sents, ' '), ' ') AS tokens, len(string_split(sents, ' ')) AS n FROM seg")
@@ -187,18 +194,14 @@ FREE = f"ent IS NULL AND regexp_matches(text, {q(K.ALPHA)})"
 
 @query(
     "e13_entity_table",
-    with_(*ANN, recursive=True)
+    with_(*ANN, KNOWN, recursive=True)
     + f"""SELECT ent AS label, text FROM ann WHERE ent IS NOT NULL
 UNION SELECT 'is_upper', text FROM ann WHERE {FREE} AND regexp_matches(text, '^\\p{{Lu}}+$')
 UNION SELECT 'modified_ORG', text FROM ann WHERE ent = 'ORG' AND len(list_filter(string_split(lower(text), ' '), lambda w: w IN {inlist(W.ORG_NOISE)})) = 0
-UNION SELECT 'is_oov', text FROM ann WHERE {FREE} AND text NOT IN (SELECT lower(text) FROM ann WHERE {FREE} GROUP BY 1 HAVING count(*) > 2000)""",
+UNION SELECT 'is_oov', text FROM ann WHERE {FREE} AND text NOT IN (SELECT w FROM voc)""",
 )
 def e13(spark, sf):
-    ann = ann_notices(spark, sf)
-    free = F.filter(F.col("ann"), lambda t: t["ent"].isNull() & t["text"].rlike(K.ALPHA))
-    words = ann.select(F.explode(F.transform(free, lambda t: F.lower(t["text"]))).alias("word"))
-    known = words.groupBy("word").count().where("count > 2000").select("word")
-    return E.word_entity_table(ann, known)
+    return E.word_entity_table(ann_notices(spark, sf), vocabulary(spark, sf))
 
 
 POSF = "token_count, VBD_perc, VBN_perc, MD_perc, VERB_perc, NOUN_perc"

@@ -146,6 +146,43 @@ class Rule:
         """The rule over marked text, in which every token stands between OPEN and CLOSE."""
         return "".join(_element(e) for e in self.pattern.split(" "))
 
+    @property
+    def anchors(self) -> list[str] | None:
+        """Lower-cased tokens of which every match holds one, or None when no element names any."""
+        choices = []
+        for element in self.pattern.split(" "):
+            if re.search(r"\{[?*]\}$", element) or "Title" in element or re.fullmatch("d+", element):
+                continue
+            words = _spellings(element.removeprefix("i:").removesuffix("{+}"))
+            if words is not None:
+                choices.append(words)
+        return min(choices, key=_commonness) if choices else None
+
+
+def _commonness(words: list[str]) -> tuple[int, int]:
+    """Sorts by the shortest spelling, long ones first, then by the number of spellings."""
+    return -min(len(w) for w in words), len(words)
+
+
+def _spellings(pattern: str) -> list[str] | None:
+    """All texts that an element of plain words, ``|`` and ``?`` stands for, in lower case."""
+    found: set[str] = set()
+    for option in pattern.split("|"):
+        texts = [""]
+        pieces = re.findall(r"(\(\?:\w+\)|\\[^\w]|\[[^\]\\-]+\]|[^\\()\[\]{}*+?^]|\$)(\??)", option)
+        if "".join(a + b for a, b in pieces) != option or any(a == "." for a, _ in pieces):
+            return None
+        for piece, optional in pieces:
+            if piece.startswith("["):
+                forms = list(piece[1:-1])
+            elif piece.startswith("(?:"):
+                forms = [piece[3:-1]]
+            else:
+                forms = [piece[-1]]
+            texts = [t + f for t in texts for f in forms + ([""] if optional else [])]
+        found.update(t.lower() for t in texts)
+    return sorted(found)
+
 
 def _element(element: str) -> str:
     repeat = re.search(r"\{([?*+])\}$", element)

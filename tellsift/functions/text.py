@@ -42,7 +42,7 @@ def segment(clean: Column) -> Column:
         )
 
     joined = F.array_join(F.transform(pieces, cut_piece), "")
-    trimmed = F.transform(F.split(joined, CUT), F.trim)
+    trimmed = F.transform(F.split(joined, CUT), lambda s: F.trim(s))
     return F.filter(trimmed, lambda s: s != "")
 
 

@@ -16,12 +16,16 @@ URL = (
 NUMBER = r"\d[\dA-Za-z]*(?:[.,:/]\d+|-[0-9A-Z]+)*"
 INITIALS = r"(?:[A-Za-z]\.)+[A-Za-z]\b\.?"
 CLITIC = r"\x1d(?:['’][sS]|n['’]t)"
-TOKEN = rf"{EMAIL}|{URL}|{NUMBER}|{INITIALS}|{CLITIC}|\p{{L}}[\p{{L}}\p{{M}}\d_]*|\.{{2,}}|-{{2,}}|[^\s\x1d]"
+PLAIN_TOKEN = rf"{NUMBER}|{INITIALS}|{CLITIC}|\p{{L}}[\p{{L}}\p{{M}}\d_]*|\.{{2,}}|-{{2,}}|[^\s\x1d]"
+TOKEN = rf"{EMAIL}|{URL}|{PLAIN_TOKEN}"
+# What every web and mail address holds; sentences without it need not be searched for them.
+ADDRESS_SIGN = r"@|://|[Ww]\.|\.(?:com|org|net|edu|gov)"
 SPLIT_CLITIC = r"(\p{L})(['’][sS]\b|n['’]t\b)"
 RESERVED = "\x01\x02\x03\x1d"
 ALPHA = r"^\p{L}+$"
 ITEM = r"^(?:(\w)\1{2,}|[a-zA-Z]|[ivx]+|\d)$"
 HIT = "\x01"
+BLOCK = 10
 
 # A token of a sentence: its text and, where it belongs to an entity, the label.
 EMPTY_SPANS = "array<struct<tier:int,width:int,start:int,rule:int,stop:int,label:string>>"
@@ -31,7 +35,10 @@ def mark_tokens(sentence: Column) -> Column:
     """The sentence with every token between OPEN and CLOSE, white space kept."""
     plain = F.translate(sentence, RESERVED, "")
     joined = F.regexp_replace(plain, SPLIT_CLITIC, "$1\x1d$2")
-    marked = F.regexp_replace(joined, TOKEN, f"{OPEN}$0{CLOSE}")
+    frame = f"{OPEN}$0{CLOSE}"
+    marked = F.when(
+        sentence.rlike(ADDRESS_SIGN), F.regexp_replace(joined, TOKEN, frame)
+    ).otherwise(F.regexp_replace(joined, PLAIN_TOKEN, frame))
     return F.translate(marked, "\x1d", "")
 
 
@@ -51,40 +58,70 @@ def _token_count(marked: Column) -> Column:
 def find_spans(marked: Column, rules: list[Rule]) -> Column:
     """Entity spans in token positions: longest first, then leftmost, then rule order.
 
-    A domain rule goes before any general one. Chosen spans never overlap. One test with all the
-    rules goes first, so that a sentence without any entity is not searched again.
+    A domain rule goes before any general one. Chosen spans never overlap. A rule is searched only
+    in sentences that hold one of its anchor words, so that most sentences cost one set lookup per
+    token.
     """
-    any_rule = "|".join(rule.regex for rule in rules)
+    anchors = sorted({a for rule in rules for a in rule.anchors or []})
+    present = F.filter(
+        F.transform(token_texts(marked), lambda t: F.lower(t)), lambda t: t.isin(anchors)
+    )
+    return let(F.array_distinct(present), lambda held: _resolve(marked, held, rules))
+
+
+def _resolve(marked: Column, held: Column, rules: list[Rule]) -> Column:
     labels = F.array(*[F.lit(rule.label) for rule in rules])
     tiers = F.array(*[F.lit(rule.tier) for rule in rules])
-    searched = F.array(
-        *[F.regexp_replace(marked, rule.regex, f"{HIT}$0{HIT}") for rule in rules]
-    )
 
-    def spans_of(found: Column) -> Column:
-        parts = F.split(found["text"], HIT)
-        inside = F.filter(
-            F.sequence(F.lit(1), F.size(parts) - 1), lambda i: i % 2 == 1
+    def holds(anchors: list[str]) -> Column:
+        return F.exists(held, lambda t: t.isin(anchors))
+
+    def search(number: int, rule: Rule) -> Column:
+        found = F.regexp_replace(marked, rule.regex, f"{HIT}$0{HIT}")
+        if rule.anchors is not None:
+            found = F.when(holds(rule.anchors), found)
+        return F.struct(found.alias("text"), F.lit(number).alias("rule"))
+
+    def block(members: list[tuple[int, Rule]]) -> Column:
+        searches = F.array(*[search(i, rule) for i, rule in members])
+        anchors = {a for _, rule in members for a in rule.anchors or []}
+        if any(rule.anchors is None for _, rule in members):
+            return searches
+        return F.when(holds(sorted(anchors)), searches).otherwise(
+            F.array().cast("array<struct<text:string,rule:int>>")
         )
 
-        def span(i: Column) -> Column:
-            start = _token_count(F.array_join(F.slice(parts, 1, i), ""))
-            width = _token_count(parts[i])
-            return F.struct(
-                tiers[found["rule"]].alias("tier"),
-                (-width).alias("width"),
-                start.alias("start"),
-                found["rule"].alias("rule"),
-                (start + width).alias("stop"),
-                labels[found["rule"]].alias("label"),
+    numbered = list(enumerate(rules))
+    anchored = [m for m in numbered if m[1].anchors is not None]
+    blocks = [anchored[i : i + BLOCK] for i in range(0, len(anchored), BLOCK)]
+    free = [m for m in numbered if m[1].anchors is None]
+    searched = F.concat(*[block(b) for b in [*blocks, free] if b])
+
+    def spans_of(found: Column) -> Column:
+        def spans(parts: Column) -> Column:
+            inside = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: i % 2 == 1)
+            return F.transform(inside, lambda i: span(parts, i))
+
+        def span(parts: Column, i: Column) -> Column:
+            place = F.struct(
+                _token_count(F.array_join(F.slice(parts, 1, i), "")).alias("start"),
+                _token_count(parts[i]).alias("width"),
+            )
+            return let(
+                place,
+                lambda p: F.struct(
+                    tiers[found["rule"]].alias("tier"),
+                    (-p["width"]).alias("width"),
+                    p["start"].alias("start"),
+                    found["rule"].alias("rule"),
+                    (p["start"] + p["width"]).alias("stop"),
+                    labels[found["rule"]].alias("label"),
+                ),
             )
 
-        return F.transform(inside, span)
+        return let(F.split(found["text"], HIT), spans)
 
-    hits = F.filter(
-        F.transform(searched, lambda text, rule: F.struct(text.alias("text"), rule.alias("rule"))),
-        lambda f: f["text"].contains(HIT),
-    )
+    hits = F.filter(searched, lambda f: f["text"].contains(HIT))
     candidates = F.array_sort(F.flatten(F.transform(hits, spans_of)))
     empty = F.array().cast(EMPTY_SPANS)
 
@@ -94,8 +131,7 @@ def find_spans(marked: Column, rules: list[Rule]) -> Column:
         )
         return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(span)))
 
-    resolved = F.aggregate(candidates.cast(EMPTY_SPANS), empty, add)
-    return F.when(marked.rlike(any_rule), resolved).otherwise(empty)
+    return F.aggregate(candidates.cast(EMPTY_SPANS), empty, add)
 
 
 def annotate(sentence: Column, rules: list[Rule] | None = None) -> Column:
@@ -223,20 +259,21 @@ def valid_sentence(tokens: Column) -> Column:
 def ngrams(words: Column, low: int, high: int | None = None) -> Column:
     """All n-grams of the word array, joined by a blank."""
     high = high or low
+    if (low, high) == (1, 1):
+        return words
 
-    def of_size(n: int) -> Column:
+    def of_size(ws: Column, n: int) -> Column:
         if n == 1:
-            return words
+            return ws
         return F.when(
-            F.size(words) >= n,
+            F.size(ws) >= n,
             F.transform(
-                F.sequence(F.lit(1), F.size(words) - (n - 1)),
-                lambda i: F.array_join(F.slice(words, i, n), " "),
+                F.sequence(F.lit(1), F.size(ws) - (n - 1)),
+                lambda i: F.concat_ws(" ", *[F.get(ws, i + (k - 1)) for k in range(n)]),
             ),
         ).otherwise(F.array().cast("array<string>"))
 
-    parts = [of_size(n) for n in range(low, high + 1)]
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+    return let(words, lambda ws: F.concat(*[of_size(ws, n) for n in range(low, high + 1)]))
 
 
 def remove_words(words: Column, stop: list[str]) -> Column:
