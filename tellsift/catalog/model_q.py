@@ -396,7 +396,7 @@ nmf_query("g3_nmf_kl", "kullback-leibler")
 @query("g4_lda")
 def g4(spark, sf):
     model, _, _ = topics.lda_topics(filings(spark, sf), whole_text_grams(), k=10, max_iter=10)
-    mixed = model.transform(filings(spark, sf).withColumn("grams", whole_text_grams()))
+    mixed = model.transform(S.computed(filings(spark, sf), grams=whole_text_grams()))
     return mixed.select("idx", training.vector_to_array("topicDistribution").alias("mix")).select(
         "idx", F.posexplode("mix").alias("topic", "weight")
     )

@@ -10,7 +10,7 @@ from pyspark.ml.feature import (
     ElementwiseProduct, IDF, MaxAbsScaler, Normalizer, RobustScaler, VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import DenseVector, VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.stat import Summarizer
@@ -24,10 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from tellsift.functions import features as X
 from tellsift.functions.tokens import annotate
-from tellsift.operators.common import computed_struct
+from tellsift.operators.common import computed, computed_struct
 from tellsift.operators.frequency import token_grams
 
 
+# Up to this many columns the SVD is read off the matrix of column products.
+GRAM_COLUMNS = 4096
+
+
 class _FeatureStage(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Adds the columns of one feature group, worked out from ``inputCol``."""
 
@@ -91,7 +95,7 @@ class TokenGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
             self.getOrDefault("lower"),
             self.getOrDefault("stop"),
         )
-        return dataset.withColumn(self.getOutputCol(), grams)
+        return computed(dataset, **{self.getOutputCol(): grams})
 
 
 class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -104,10 +108,8 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
     def _transform(self, dataset):
         @F.pandas_udf(VectorUDT())
-        def log_counts(batch: pd.Series) -> pd.Series:
-            return batch.map(
-                lambda v: Vectors.sparse(v.size, v.indices, 1.0 + np.log(v.values))
-            )
+        def log_counts(batch: pd.DataFrame) -> pd.DataFrame:
+            return batch.assign(values=[1.0 + np.log(v) for v in batch["values"]])
 
         return dataset.withColumn(self.getOutputCol(), log_counts(self.getInputCol()))
 
@@ -169,10 +171,19 @@ class TruncatedSvd(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
     def _fit(self, dataset):
         column = self.getInputCol()
-        old = MLUtils.convertVectorColumnsFromML(dataset.select(column), column)
-        matrix = RowMatrix(old)
+        rows = MLUtils.convertVectorColumnsFromML(dataset.select(column), column).persist()
+        matrix = RowMatrix(rows)
         k = min(self.getOrDefault("k"), matrix.numCols())
-        components = matrix.computeSVD(k, computeU=False, rCond=1e-9).V.toArray().T
+        if matrix.numCols() <= GRAM_COLUMNS:
+            # One pass adds up the columns x columns products; their eigenvectors are wanted.
+            values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+            order = np.argsort(values)[::-1][:k]
+            components = vectors[:, order].T
+        else:
+            components = matrix.computeSVD(k, computeU=False, rCond=1e-9).V.toArray().T
+        rows.unpersist()
+        largest = np.abs(components).argmax(axis=1)
+        components = components * np.sign(components[np.arange(len(components)), largest])[:, None]
         model = TruncatedSvdModel(components)
         return self._copyValues(model)
 
@@ -191,15 +202,16 @@ class TruncatedSvdModel(Model, HasInputCol, HasOutputCol, MLReadable, MLWritable
         shared = context.broadcast(np.ascontiguousarray(self.components.T))
 
         @F.pandas_udf(VectorUDT())
-        def project(batch: pd.Series) -> pd.Series:
+        def project(batch: pd.DataFrame) -> pd.DataFrame:
             basis = shared.value
-
-            def one(v):
-                if hasattr(v, "indices"):
-                    return DenseVector(v.values @ basis[v.indices])
-                return DenseVector(v.toArray() @ basis)
-
-            return batch.map(one)
+            dense = [
+                values @ (basis if indices is None else basis[indices])
+                for indices, values in zip(batch["indices"], batch["values"])
+            ]
+            none = [None] * len(dense)
+            return pd.DataFrame(
+                {"type": np.ones(len(dense), "int8"), "size": pd.array(none, "Int32"), "indices": none, "values": dense}
+            )
 
         return dataset.withColumn(self.getOutputCol(), project(self.getInputCol()))
 
