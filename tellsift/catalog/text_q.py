@@ -12,7 +12,6 @@ from tellsift.catalog.sqltext import (
 from tellsift.functions import features as X, text as TX, tokens as K, words as W
 from tellsift.operators import entities as E, frequency as FR, lexicon, scoring, sentences as S
 from tellsift.operators.common import computed_struct
-from tellsift.operators.tables import distinct_firms  # noqa: F401
 
 # Function words of the documents; they stand in for event words, which invented prose lacks.
 SCORE_WORDS = ["the", "of", "and", "to", "that", "with", "for", "from"]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 from tellsift.functions.rules import CLOSE, OPEN, Rule, default_rules
@@ -74,6 +77,8 @@ def _resolve(marked: Column, held: Column, rules: list[Rule]) -> Column:
     tiers = F.array(*[F.lit(rule.tier) for rule in rules])
 
     def holds(anchors: list[str]) -> Column:
+        if len(anchors) == 1:
+            return F.array_contains(held, anchors[0])
         return F.exists(held, lambda t: t.isin(anchors))
 
     def search(number: int, rule: Rule) -> Column:
@@ -134,13 +139,24 @@ def _resolve(marked: Column, held: Column, rules: list[Rule]) -> Column:
     return F.aggregate(candidates.cast(EMPTY_SPANS), empty, add)
 
 
-def annotate(sentence: Column, rules: list[Rule] | None = None) -> Column:
+@lru_cache(maxsize=64)
+def _annotation(context: object, column: str, rules: tuple[Rule, ...]) -> Column:
+    return _annotate(F.col(column), list(rules))
+
+
+def annotate(sentence: Column | str, rules: list[Rule] | None = None) -> Column:
     """Tokens in order as ``struct<i, text, ent>``; an entity of several words is one token.
 
-    ``i`` is the position of the first word. ``ent`` is null outside entities.
+    ``i`` is the position of the first word. ``ent`` is null outside entities. For a column given
+    by name the long expression is put together once per session.
     """
     rules = default_rules() if rules is None else rules
+    if isinstance(sentence, str):
+        return _annotation(SparkContext._active_spark_context, sentence, tuple(rules))
+    return _annotate(sentence, rules)
 
+
+def _annotate(sentence: Column, rules: list[Rule]) -> Column:
     def build(marked: Column) -> Column:
         pieces = F.regexp_extract_all(marked, F.lit(f"{OPEN}[^{CLOSE}]*{CLOSE} *"), F.lit(0))
         return let(pieces, lambda p: let(find_spans(marked, rules), lambda s: merge(p, s)))
@@ -244,7 +260,10 @@ def entity_tokens(
 
 
 def valid_sentence(tokens: Column) -> Column:
-    """At least four tokens and three different words of more than two letters, entities aside."""
+    """At least four tokens and three different words of more than two letters, entities aside.
+
+    As with all functions on annotated tokens, pass a column rather than ``annotate(...)`` itself.
+    """
     words = F.transform(
         F.filter(
             tokens,

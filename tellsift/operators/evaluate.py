@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tellsift.session import cut_lineage
+
 
 def cumulative(scored: DataFrame, score: str, label: str, buckets: int = 1024) -> DataFrame:
     """Per distinct score, from high to low: own and running positives and negatives.
 
     Rows of one score are added up first. The scores are then cut at their quantiles into
     buckets, summed up bucket by bucket, and moved by the totals of the buckets above, so that no
-    window covers the whole table. ``next_pos`` and ``next_neg`` belong to the score below.
+    window covers the whole table. ``next_pos`` and ``next_neg`` belong to the score below. The
+    sums per score are stored first, so that the rows are scored once.
     """
     points = scored.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
+    points = cut_lineage(points)
     probs = [i / buckets for i in range(1, buckets)]
     inner = sorted(set(points.approxQuantile("threshold", probs, 0.25 / buckets)))
     splits = [float("-inf"), *(inner or [0.5]), float("inf")]

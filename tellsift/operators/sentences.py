@@ -36,7 +36,7 @@ def only_language(filings: DataFrame, text_col: str, lang: str = "en") -> DataFr
 
 def with_annotation(sentences: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Add the annotated token array ``ann``."""
-    return computed(sentences, ann=K.annotate(F.col("sents"), rules))
+    return computed(sentences, ann=K.annotate("sents", rules))
 
 
 def with_tokens_and_pos(
@@ -86,5 +86,5 @@ def add_tokens_pos(
     """Tokens and part-of-speech features for a ready table of sentences; other languages go."""
     if lang is not None:
         sentences = only_language(sentences, sent_col, lang)
-    annotated = computed(sentences, ann=K.annotate(F.col(sent_col), rules))
+    annotated = computed(sentences, ann=K.annotate(sent_col, rules))
     return with_tokens_and_pos(annotated, labels, tokenizer)

@@ -23,6 +23,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
 from tellsift.functions import features as X
+from tellsift.functions.text import let
 from tellsift.functions.tokens import annotate
 from tellsift.operators.common import computed, computed_struct
 from tellsift.operators.frequency import token_grams
@@ -64,7 +65,7 @@ class PosFeatures(_FeatureStage):
     names = X.POS_COLUMNS
 
     def features(self, column):
-        return X.pos_features(annotate(column))
+        return let(annotate(column), X.pos_features)
 
 
 class SentimentFeatures(_FeatureStage):

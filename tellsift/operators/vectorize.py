@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tellsift.session import broadcast_if_small
 
 
 def term_counts(df: DataFrame, key: str, grams: Column) -> DataFrame:
@@ -45,10 +44,10 @@ def tfidf(
 ) -> DataFrame:
     """Weights ``tf * (ln((1 + n) / (1 + df)) + 1)``, each row scaled to length one.
 
-    ``sublinear`` takes ``1 + ln(tf)``. The term table is broadcast only when counted small;
-    beyond that the join shuffles, and adaptive execution splits the partitions of common terms.
+    ``sublinear`` takes ``1 + ln(tf)``. Adaptive execution broadcasts the term table when its
+    shuffled size proves small; else it shuffles both sides and splits the partitions of common terms.
     """
-    kept = counts.join(broadcast_if_small(terms.select("term", "df")), "term")
+    kept = counts.join(terms.select("term", "df"), "term")
     tf = F.col("tf").cast("double")
     weight = F.lit(1.0) + F.log(tf) if sublinear else tf
     if use_idf:

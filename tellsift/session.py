@@ -1,15 +1,11 @@
-"""Session helpers: a local session for tests, the shared checkpoint folder, broadcast checks."""
+"""Session helpers: a local session for tests, the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# A table is broadcast only after a count has shown that it has no more rows than this.
-BROADCAST_ROWS = 200_000
-
+from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "tellsift") -> SparkSession:
     spark = (
@@ -39,13 +35,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tellsift-ckpt-"))
     return df.checkpoint(eager=True)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a bounded count proves it small; otherwise leave it alone.
-
-    Left alone, Spark shuffles both sides, and adaptive execution splits skewed partitions.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

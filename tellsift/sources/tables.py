@@ -33,13 +33,14 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     return kept
 
 
-def _csv(spark: SparkSession, paths: list[str], encoding: str, schema, options: dict) -> DataFrame:
+def _csv(spark, paths: list[str], encoding: str, schema, with_file: bool, options: dict) -> DataFrame:
     if encoding != "UTF-8":
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     reader = spark.read.options(
         header=True, multiLine=True, escape='"', encoding=encoding, **options
     )
-    return (reader.schema(schema) if schema is not None else reader).csv(paths)
+    df = (reader.schema(schema) if schema is not None else reader).csv(paths)
+    return df.withColumn("file", F.col("_metadata.file_name")) if with_file else df
 
 
 def read_csv(
@@ -47,6 +48,7 @@ def read_csv(
     paths: str | list[str],
     schema: StructType | str | None = None,
     encoding: str | None = None,
+    with_file: bool = False,
     **options,
 ) -> DataFrame | None:
     """CSV files with a header; fields may hold line ends and doubled quotes.
@@ -54,6 +56,7 @@ def read_csv(
     Without ``encoding`` each file is read as UTF-8 where all its bytes are valid UTF-8, and as
     cp1252 otherwise; this takes one more scan of the bytes. Only files that are not empty count;
     without any, the result is an empty table of ``schema``, or None when no schema is given.
+    ``with_file`` adds the file name as ``file``.
     """
     paths = existing(spark, [paths] if isinstance(paths, str) else paths)
     groups: dict[str, list[str]] = {}
@@ -68,7 +71,7 @@ def read_csv(
         )
         for row in checks.toLocalIterator():
             groups.setdefault("UTF-8" if row.utf8 else "windows-1252", []).append(row.file)
-    frames = [_csv(spark, files, enc, schema, options) for enc, files in sorted(groups.items())]
+    frames = [_csv(spark, files, enc, schema, with_file, options) for enc, files in sorted(groups.items())]
     if not frames:
         return None if schema is None else spark.createDataFrame([], schema)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -118,11 +121,10 @@ def read_filings(
 ) -> DataFrame | None:
     """All files of the form types in one table with ``file``, ``form_type`` and ``year``."""
     globs = find_forms(spark, folder, form_types, tag, year)
-    df = read_csv(spark, globs, schema=schema) if globs else None
+    df = read_csv(spark, globs, schema=schema, with_file=True) if globs else None
     if df is None:
         return None
-    named = df.withColumn("file", F.col("_metadata.file_name"))
-    wanted = file_parts(named.drop("form_type", "year", "tag"), "file")
+    wanted = file_parts(df.drop("form_type", "year", "tag"), "file")
     return wanted.where(F.col("form_type").isin(form_types))
 
 
