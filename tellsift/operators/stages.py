@@ -41,6 +41,7 @@ class _FeatureStage(Transformer, HasInputCol, DefaultParamsReadable, DefaultPara
     @keyword_only
     def __init__(self, *, inputCol="sents"):
         super().__init__()
+        self._setDefault(inputCol="sents")
         self._set(**self._input_kwargs)
 
     def features(self, column):
@@ -86,6 +87,7 @@ class TokenGrams(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
     @keyword_only
     def __init__(self, *, inputCol="tokens", outputCol="grams", low=1, high=1, lower=True, stop=[]):
         super().__init__()
+        self._setDefault(inputCol="tokens", outputCol="grams", low=1, high=1, lower=True, stop=[])
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset):
@@ -105,6 +107,7 @@ class SublinearTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
     @keyword_only
     def __init__(self, *, inputCol="counts", outputCol="logtf"):
         super().__init__()
+        self._setDefault(inputCol="counts", outputCol="logtf")
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset):
@@ -121,6 +124,7 @@ class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Def
     @keyword_only
     def __init__(self, *, inputCol="counts", outputCol="weighted"):
         super().__init__()
+        self._setDefault(inputCol="counts", outputCol="weighted")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
@@ -142,6 +146,7 @@ class ColumnScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
     @keyword_only
     def __init__(self, *, inputCol="assembled", outputCol="scaled", spread="std"):
         super().__init__()
+        self._setDefault(inputCol="assembled", outputCol="scaled", spread="std")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
@@ -168,6 +173,7 @@ class TruncatedSvd(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
     @keyword_only
     def __init__(self, *, inputCol="scaled", outputCol="features", k=100):
         super().__init__()
+        self._setDefault(inputCol="scaled", outputCol="features", k=100)
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
@@ -186,6 +192,7 @@ class TruncatedSvd(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         largest = np.abs(components).argmax(axis=1)
         components = components * np.sign(components[np.arange(len(components)), largest])[:, None]
         model = TruncatedSvdModel(components)
+        model._setDefault(inputCol="scaled", outputCol="features", k=100)
         return self._copyValues(model)
 
 
