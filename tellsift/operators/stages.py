@@ -33,6 +33,11 @@ from tellsift.operators.frequency import token_grams
 GRAM_COLUMNS = 4096
 
 
+def max_share(share: float) -> float:
+    """``maxDF`` for a share of the rows; the counter would take 1.0 for a single row."""
+    return share if share < 1.0 else float(2**62)
+
+
 class _FeatureStage(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Adds the columns of one feature group, worked out from ``inputCol``."""
 
