@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 def local_session(cores: str = "*", partitions: int = 8, app: str = "tellsift") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -17,6 +18,7 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "tellsift")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -24,14 +26,24 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "tellsift")
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a temporary one is made
-    only where that setting is absent.
+    Where that setting is absent, a local session (tests) takes a temporary folder, and any other
+    a folder beside the warehouse, which a cluster shares.
     """
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if context.master.startswith("local") and "cluster" not in context.master:
+        return tempfile.mkdtemp(prefix="tellsift-ckpt-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder and go on from there."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tellsift-ckpt-"))
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint(eager=True)
