@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import mixing, sharding
-from tellsift.llm.common import read
+from tellsift.llm import language_id, mixing, packing, sharding
+from tellsift.llm.common import read, remainder
 
 QUERIES, SQL = {}, {}
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -33,3 +39,15 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf, "documents", "doc_id", "text"), tokenizer_path())
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents", "doc_id", "text", "lang").withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)))
+    learn = docs.where(~F.col("held_out"))
+    return language_id.predict(docs, language_id.train(learn), keep=("doc_id", "held_out"))
