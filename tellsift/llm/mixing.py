@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tellsift.llm.common import cut_lineage, hinted, n_words, whole_row
 
-STRETCH_ROWS = 20_000
+STRETCH_ROWS = 1_000
 
 
 def source_targets(sizes: DataFrame, source: str, cap: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
