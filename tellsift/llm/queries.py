@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import language_id, lm_scoring, mixing, packing, sharding
+from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, sharding
 from tellsift.llm.common import read, remainder
 
 QUERIES, SQL = {}, {}
@@ -58,3 +58,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text").withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 1, F.lit(False)))
     model, tail = lm_scoring.train(docs.where(~F.col("held_out")))
     return lm_scoring.score(docs, model, tail, keep=("doc_id", "held_out"))
+
+
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
