@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame, functions as F
 from tellsift.llm.common import cut_lineage
 
 PART_ITEMS = 20_000
-CACHE_WORDS = 300_000
-SLICE_BYTES = 2 << 20
+CACHE_WORDS = 1_000_000
+SLICE_BYTES = 6 << 20
 ROUNDS = 4
 
 _tokenizers: dict[str, object] = {}
+_known_words: dict[str, dict[str, bytes]] = {}
 
 
 def _tokenizer(path: str):
@@ -48,24 +50,25 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         row = stop
 
 
-def token_ids(texts: pa.Array, path: str, end_id: int, cache: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all rows, rows' lengths), each row closed by ``end_id``.
 
     The tokenizer drops white space before it merges, so a text's ids are those of its words in turn.
-    Each distinct word of a slice is looked up once; ``cache`` only spares repeated work.
+    Each distinct word of a slice is looked up once. A worker remembers the first ``CACHE_WORDS`` words it
+    met, for all its tasks; this spares repeated work and changes no result.
     """
+    cache = _known_words.setdefault(path, {})
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     coded = lists.flatten().dictionary_encode()
     known, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
     missing = [w for w in known if w not in cache]
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = known
-    for word, found in zip(missing, _tokenizer(path).encode_batch_fast(missing, add_special_tokens=False)):
-        cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-    parts = [cache[w] for w in known]
+    found = _tokenizer(path).encode_batch_fast(missing, add_special_tokens=False)
+    fresh = {w: array("I", x.ids).tobytes() for w, x in zip(missing, found)}
+    parts = [cache.get(w) or fresh.get(w, b"") for w in known]
+    if len(cache) < CACHE_WORDS:
+        cache.update(fresh)
     sizes = np.array([len(p) >> 2 for p in parts], dtype=np.int64)
     pool = np.frombuffer(b"".join(parts), dtype="<u4")
     firsts = np.cumsum(sizes) - sizes
@@ -91,10 +94,9 @@ def token_pieces(
     schema = f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches):
-        cache: dict[str, bytes] = {}
         for batch in batches:
             for first, texts in slices(batch.column(1)):
-                ids, lengths = token_ids(texts, path, end_id, cache)
+                ids, lengths = token_ids(texts, path, end_id)
                 pieces = -(-lengths // capacity)
                 rows = np.repeat(np.arange(len(lengths)), pieces)
                 number = np.arange(len(rows)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
