@@ -2,14 +2,15 @@
 
 A count c is held at level 1 + floor(log_b(c / least)); an n-gram is put into the filter once per level
 up to its own, so probing levels in turn until one misses gives the count back. The filter has a
-fixed number of bits. All words and all pairs of the training rows are counted; pairs met once are
-left to the smoothing, and where the filter would be too full the least count rises until
-``BITS_PER_ENTRY`` hold.
-
-The model: P(w | v) = (c(v, w) + (u(v) + 1) P(w)) / (h(v) + u(v) + 1), with h(v) the sum of the counts held
-for pairs that begin with v, and u(v) what is missing to c(v); P(w) = (c(w) + 0.5) / Z. Counts are those
-the filter gives, pairs' rounded down and h(v) up, so that probabilities don't sum to more than 1 but
-for false positives.
+fixed number of bits, whatever the corpus. All words and all pairs of the training rows are counted;
+pairs met once are left to the smoothing, and so are the least frequent words, pairs and first words
+of pairs that would fill the filter beyond ``FILL``.
+
+The model: P(w | v) = (c(v, w) + (u(v) + 1) P(w)) / (h(v) + u(v) + 1 + e), with h(v) the sum of the counts
+held for pairs that begin with v, u(v) what is missing to c(v), and e the count that false positives are
+expected to add over all w. P(w) = (c(w) + 0.5) / Z. Counts are those the filter gives, pairs' rounded down
+and h(v) up, so that probabilities don't sum to more than 1. Where e isn't small against h(v), and for a
+v without pairs, the model is P(w).
 """
 
 from __future__ import annotations
@@ -28,8 +29,12 @@ END = np.uint64(0x5851F42D4C957F2D)
 BASE = 1.3
 FILTER_BITS = 29
 SEGMENT_BITS = 6
-PROBES = 6
-BITS_PER_ENTRY = 12
+FIRST_PROBES, PROBES = 16, 4
+#: Bits set for words, pairs and first words of pairs, as shares of all bits.
+FILL = {"word": 0.2, "pair": 0.25, "first": 0.15}
+#: A first word is used if false positives add less than this share of its pairs' counts.
+FALSE_SHARE = 0.1
+COUNTED = 100_000
 HEAD_WORDS = 1 << 20
 BUCKET_PAIRS = 1 << 21
 MERGE_AT = 1 << 20
@@ -157,13 +162,35 @@ def count_of(levels: np.ndarray, least: int, place: float) -> np.ndarray:
     return np.where(levels > 0, low + place * (high - low), 0.0)
 
 
+def probes_at(at_level: int) -> int:
+    return FIRST_PROBES if at_level == 1 else PROBES
+
+
+def entry_bits(levels):
+    """Bits that an n-gram of so many levels sets; for numbers, arrays and columns."""
+    return (levels - 1) * PROBES + FIRST_PROBES
+
+
+def least_that_fits(counts: DataFrame, least: int, bits: float) -> int:
+    """The smallest count, not under ``least``, from which on all rows of (n) fit into ``bits``."""
+    rows = counts.where(F.col("n") >= least).groupBy(F.least("n", F.lit(COUNTED)).alias("c")).agg(
+        F.sum(entry_bits(level(F.col("n"), least))).alias("bits")
+    )
+    used, fits = 0, COUNTED + 1
+    for row in rows.orderBy(F.desc("c")).toLocalIterator():
+        used += row["bits"]
+        if used > bits:
+            break
+        fits = row["c"]
+    return fits
+
+
 @dataclass
 class LogFrequencyFilter:
     """Bits in segments; an entry lies in one segment, so that segments are filled apart."""
 
     bits: np.ndarray  # bytes of all segments
     filter_bits: int = FILTER_BITS
-    probes: int = PROBES
 
     @staticmethod
     def segment(key: np.ndarray) -> np.ndarray:
@@ -181,7 +208,7 @@ class LogFrequencyFilter:
         offset = self.segment(key) << np.uint64(self.filter_bits - SEGMENT_BITS)
         for at_level in range(1, most):
             rows = live
-            for probe in range(self.probes):
+            for probe in range(probes_at(at_level)):
                 if not len(rows):
                     break
                 place = self.places(key[rows], at_level, probe, self.filter_bits) + offset[rows]
@@ -199,6 +226,7 @@ class Model:
     norm: float
     tokens: int
     distinct: int
+    false_mass: float  # count that false positives are expected to add to a first word's pairs
     head_words: np.ndarray  # sorted hashes of the most frequent words, at most HEAD_WORDS
     head_counts: np.ndarray
 
@@ -212,7 +240,7 @@ def _filled(entries: DataFrame, filter_bits: int) -> np.ndarray:
         bits = np.zeros(size, dtype=bool)
         for at_level in range(1, int(levels.max()) + 1):
             key, levels = key[levels >= at_level], levels[levels >= at_level]
-            for probe in range(PROBES):
+            for probe in range(probes_at(at_level)):
                 bits[LogFrequencyFilter.places(key, at_level, probe, filter_bits).astype(np.int64)] = True
         part = np.packbits(bits, bitorder="little").tobytes()
         return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([part], pa.binary())})
@@ -225,7 +253,8 @@ def _filled(entries: DataFrame, filter_bits: int) -> np.ndarray:
 
     dealt = entries.mapInArrow(segments, "key long, level int, segment int")
     out = np.zeros((1 << SEGMENT_BITS, size >> 3), dtype=np.uint8)
-    for row in dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary").collect():
+    filled = cut_lineage(dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
+    for row in filled.toLocalIterator():
         out[row["segment"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.ravel()
 
@@ -241,30 +270,31 @@ def train(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) ->
     words = cut_lineage(word_counts(df, text))
     tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     pairs = cut_lineage(pair_counts(df, text, tokens, LEAST["pair"]))
-    by_count = {r[0]: r[1] for r in pairs.groupBy("n").count().withColumnRenamed("n", "c").where("c <= 64").collect()}
-    word_entries = words.select(_key("word", WORD), level(F.col("n"), LEAST["word"]).alias("level"))
-    room = (1 << filter_bits) / BITS_PER_ENTRY - (word_entries.agg(F.sum("level")).first()[0] or 0)
-    weight = pairs.agg(F.sum(level(F.col("n"), LEAST["pair"]))).first()[0] or 0
-    least = LEAST["pair"]
-    while weight * 2 > room and least < 64:
-        weight -= by_count.get(least, 0) * int(np.floor(np.log(least / LEAST["pair"]) / np.log(BASE) + 1e-9) + 1)
-        least += 1
-    kept = pairs.where(F.col("n") >= least)
+    total = float(1 << filter_bits)
+    least_word = least_that_fits(words, LEAST["word"], FILL["word"] * total)
+    least_pair = least_that_fits(pairs, LEAST["pair"], FILL["pair"] * total)
+    sure, kept = words.where(F.col("n") >= least_word), pairs.where(F.col("n") >= least_pair)
     half = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     held = kept.groupBy(F.shiftrightunsigned("pair", 32).alias("half")).agg(F.sum("n").alias("held"))
     totals = words.select(half("word").alias("half"), "n").groupBy("half").agg(F.sum("n").alias("n"))
-    contexts = held.join(totals, "half").withColumn("rest", F.greatest(F.col("n") - F.col("held"), F.lit(0)))
-    contexts = cut_lineage(contexts)
+    firsts = held.join(totals, "half").withColumn("rest", F.greatest(F.col("n") - F.col("held"), F.lit(0)))
+    firsts = cut_lineage(firsts)
+    least_first = least_that_fits(firsts.select(F.col("held").alias("n")), LEAST["held"], FILL["first"] * total / 2)
+    firsts = firsts.where(F.col("held") >= least_first)
     entries = (
-        word_entries
+        sure.select(_key("word", WORD), level(F.col("n"), LEAST["word"]).alias("level"))
         .unionAll(kept.select(_key("pair", PAIR), level(F.col("n"), LEAST["pair"])))
-        .unionAll(contexts.select(_key("half", HELD), level(F.col("held"), LEAST["held"])))
-        .unionAll(contexts.where("rest > 0").select(_key("half", REST), level(F.col("rest"), LEAST["rest"])))
+        .unionAll(firsts.select(_key("half", HELD), level(F.col("held"), LEAST["held"])))
+        .unionAll(firsts.where("rest > 0").select(_key("half", REST), level(F.col("rest"), LEAST["rest"])))
     )
     bits = _filled(entries, filter_bits)
-    by_level = words.groupBy(level(F.col("n"), LEAST["word"]).alias("level")).count().collect()
-    norm = 0.5 + sum(r["count"] * (float(count_of(np.array([r["level"]]), LEAST["word"], 0.5)[0]) + 0.5) for r in by_level)
-    sizes = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().withColumnRenamed("n", "n").orderBy(F.desc("n")).limit(HEAD_WORDS).collect()), reverse=True)
+    full = float(np.bitwise_count(bits).sum(dtype=np.int64)) / total
+    candidates = sure.where("n >= 2").count()
+    by_level = sure.groupBy(level(F.col("n"), LEAST["word"]).alias("level")).count().collect()
+    norm = 0.5 * (distinct + 1) + sum(
+        r["count"] * float(count_of(np.array([r["level"]]), LEAST["word"], 0.5)[0]) for r in by_level
+    )
+    sizes = sorted(((r["n"], r["count"]) for r in words.groupBy("n").count().orderBy(F.desc("n")).limit(COUNTED).collect()), reverse=True)
     held_words, least_head = 0, (sizes[0][0] + 1 if sizes else 1)
     for n, many in sizes:
         if held_words + many > HEAD_WORDS:
@@ -274,6 +304,7 @@ def train(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) ->
     order = np.argsort(head["word"].to_numpy(np.int64).view(np.uint64))
     model = Model(
         LogFrequencyFilter(bits, filter_bits), norm, int(tokens), int(distinct),
+        full**FIRST_PROBES * candidates * LEAST["pair"],
         head["word"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order],
     )
     return model, words.where(F.col("n") < least_head)
@@ -285,6 +316,7 @@ def model_log10(model: Model, uniques: np.ndarray, at: np.ndarray, before: np.nd
     single = (c + 0.5) / model.norm
     halves = uniques & _LOW
     held = count_of(model.filter.levels(halves ^ HELD) * (c >= 2), LEAST["held"], 1.0)
+    held[held * FALSE_SHARE < model.false_mass] = 0
     rest = np.zeros(len(uniques))
     some = np.flatnonzero(held > 0)
     rest[some] = count_of(model.filter.levels(halves[some] ^ REST), LEAST["rest"], 0.5)
@@ -292,7 +324,8 @@ def model_log10(model: Model, uniques: np.ndarray, at: np.ndarray, before: np.nd
     pair = np.zeros(len(at))
     pair[ask] = count_of(model.filter.levels(pair_keys(uniques[before[ask]], uniques[at[ask]]) ^ PAIR), LEAST["pair"], 0.0)
     h, u, p = held[before], rest[before], single[at]
-    return np.log10(np.where(h > 0, (np.minimum(pair, h) + (u + 1) * p) / (h + u + 1), p))
+    smooth = (np.minimum(pair, h) + (u + 1) * p) / (h + u + 1 + model.false_mass)
+    return np.log10(np.where(h > 0, smooth, p))
 
 
 def score(df: DataFrame, model: Model, tail: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
