@@ -27,9 +27,9 @@ from tellsift.llm.hashing import mix, sums, word_groups
 
 END = np.uint64(0x5851F42D4C957F2D)
 BASE = 1.3
-FILTER_BITS = 29
+FILTER_BITS = 28
 SEGMENT_BITS = 6
-FIRST_PROBES, PROBES = 16, 4
+FIRST_PROBES, PROBES = 14, 4
 #: Bits set for words, pairs and first words of pairs, as shares of all bits.
 FILL = {"word": 0.2, "pair": 0.25, "first": 0.15}
 #: A first word is used if false positives add less than this share of its pairs' counts.
