@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tellsift.session import cut_lineage
+from tellsift.session import checkpoint_folder, cut_lineage
 
-__all__ = ["SPACE", "cut_lineage", "hinted", "n_words", "read", "remainder", "whole_row", "words"]
+__all__ = ["SPACE", "cut_lineage", "hinted", "n_words", "read", "remainder", "whole_row", "words", "written"]
 
 SPACE = r"\x20\x09-\x0D"
 _TRIM = " \t\n\x0b\f\r"
@@ -36,6 +38,17 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it again.
+
+    For loops: a checkpointed table keeps the constraints of the plan that made it, and these grow from
+    round to round; a table that is read again has none.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def hinted(small: DataFrame, limit: int = 100_000) -> DataFrame:
     """A written table with a broadcast hint if it has at most ``limit`` narrow rows; joins on it give
     the same rows either way."""

@@ -17,6 +17,8 @@ SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: 0: white space, 1: letters, digits and all beyond ASCII, 2: other signs.
+_CLASS = np.array([0 if _SPACE[b] else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,13 +60,18 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
 
 
-def _hashes(data: np.ndarray, starts_of_rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words in ``data``; a row's start also parts two words."""
-    solid = ~_SPACE[data]
+def _hashes(data: np.ndarray, starts_of_rows: np.ndarray, classes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words in ``data``; a row's start also parts two words.
+
+    With ``classes`` a word also ends where letters and digits meet other signs.
+    """
+    kind = _CLASS[data] if classes else (~_SPACE[data]).view(np.uint8)
+    solid = kind > 0
+    change = kind[1:] != kind[:-1]
     first = solid.copy()
-    first[1:] &= ~solid[:-1]
+    first[1:] &= change
     last = solid.copy()
-    last[:-1] &= ~solid[1:]
+    last[:-1] &= change
     inner = starts_of_rows[(starts_of_rows > 0) & (starts_of_rows < len(data))]
     first[inner] = solid[inner]
     last[inner - 1] = solid[inner - 1]
@@ -75,7 +82,7 @@ def _hashes(data: np.ndarray, starts_of_rows: np.ndarray) -> tuple[np.ndarray, n
     return starts, mix((total[ends] - total[starts]) * down[starts])
 
 
-def _long_row(data: np.ndarray) -> np.ndarray:
+def _long_row(data: np.ndarray, classes: bool) -> np.ndarray:
     """Word hashes of one long row, slice by slice, cut between words."""
     parts, at, none = [], 0, np.zeros(0, dtype=np.int64)
     while at < len(data):
@@ -91,12 +98,12 @@ def _long_row(data: np.ndarray) -> np.ndarray:
                 stop = reach
             else:
                 continue
-        parts.append(_hashes(data[at:stop], none)[1])
+        parts.append(_hashes(data[at:stop], none, classes)[1])
         at = stop
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def word_groups(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_groups(texts: pa.Array, limit: int = SLICE, classes: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, words per row, hashes of those words) for runs of whole rows of about ``limit`` bytes."""
     data, offsets = buffers(texts)
     rows, row = len(offsets) - 1, 0
@@ -105,11 +112,11 @@ def word_groups(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.n
         stop = min(stop, rows)
         begin, end = int(offsets[row]), int(offsets[stop])
         if end - begin > 2 * limit:
-            hashes = _long_row(data[begin:end])
+            hashes = _long_row(data[begin:end], classes)
             counts = np.array([len(hashes)])
         else:
             bounds = offsets[row : stop + 1] - begin
-            starts, hashes = _hashes(data[begin:end], bounds)
+            starts, hashes = _hashes(data[begin:end], bounds, classes)
             counts = np.diff(np.searchsorted(starts, bounds))
         yield row, counts, hashes
         row = stop

@@ -32,9 +32,9 @@ WIDTH = 5
 THRESHOLD = (75, 100)
 BANDS, ROWS = 32, 4
 BATCH = 16
-MISS = 1e-6
+MISS = 1e-5
 SMALL = 48
-BLOCK = 512
+BLOCK = 2048
 _ODD = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 _PERMUTE = mix(np.arange(101, 101 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 
@@ -146,6 +146,15 @@ def _similar(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> bool:
     return threshold[1] * both >= threshold[0] * (len(a) + len(b) - both)
 
 
+def _all_similar(one: np.ndarray, others: list[np.ndarray], threshold: tuple[int, int]) -> np.ndarray:
+    """``_similar`` of one set with each of several, none of them empty."""
+    sizes = np.array([len(o) for o in others])
+    joined = np.concatenate(others)
+    place = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+    both = np.add.reduceat((one[place] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
+    return threshold[1] * both >= threshold[0] * (len(one) + sizes - both)
+
+
 def _survivors(left: np.ndarray, right: np.ndarray, needed: list[tuple[int, int]]) -> np.ndarray:
     """Places of the rows whose signatures may still reach the threshold."""
     live, matches, done = np.arange(len(left)), np.zeros(len(left), dtype=np.int64), 0
@@ -199,7 +208,8 @@ def _in_blocks(mixed: DataFrame, sets: DataFrame, threshold: tuple[int, int], bl
     """Links between components in large buckets.
 
     A bucket's largest component stays; the members of all others visit every block of the bucket. Both
-    sides are cut into blocks by hash, so a group holds about two blocks whatever the bucket's size.
+    sides are cut into blocks by hash, so a group holds about two blocks whatever the bucket's size. A pair
+    that shares several buckets is compared in the one of its first band only.
     """
     needed = needed_matches(threshold[0] / threshold[1])
     sizes = mixed.groupBy("_key", "_root").agg(F.count("*").alias("_c"))
@@ -217,6 +227,8 @@ def _in_blocks(mixed: DataFrame, sets: DataFrame, threshold: tuple[int, int], bl
         ids, roots = table["_node"].to_numpy(), table["_root"].to_numpy()
         signs = np.frombuffer(b"".join(table["_sign"].to_pylist()), dtype=np.uint32).reshape(len(ids), -1)
         sets = [np.frombuffer(s, dtype=np.uint64) for s in table["_set"].to_pylist()]
+        bands = np.array([band_keys(x) for x in signs])
+        band = int(np.flatnonzero(bands[0] == np.uint64(table["_key"][0].as_py() & ((1 << 64) - 1)))[0])
         parent: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -227,14 +239,19 @@ def _in_blocks(mixed: DataFrame, sets: DataFrame, threshold: tuple[int, int], bl
 
         stay, a, b = np.flatnonzero(~visits), [], []
         for g in np.flatnonzero(visits).tolist():
-            other = stay[roots[stay] != roots[g]]
-            live = _survivors(np.broadcast_to(signs[g], (len(other), signs.shape[1])), signs[other], needed)
-            for o in other[live].tolist():
-                x, y = top(int(roots[g])), top(int(roots[o]))
-                if x != y and _similar(sets[g], sets[o], threshold):
-                    parent[max(x, y)] = min(x, y)
-                    a.append(int(ids[g]))
-                    b.append(int(ids[o]))
+            other = stay[(roots[stay] != roots[g]) & ((bands[stay] == bands[g]).argmax(axis=1) == band)]
+            live = other[_survivors(np.broadcast_to(signs[g], (len(other), signs.shape[1])), signs[other], needed)]
+            for at in range(0, len(live), 64):
+                own = top(int(roots[g]))
+                some = [o for o in live[at : at + 64].tolist() if top(int(roots[o])) != own]
+                if not some:
+                    continue
+                for o in np.array(some)[_all_similar(sets[g], [sets[o] for o in some], threshold)].tolist():
+                    x, y = top(int(roots[g])), top(int(roots[o]))
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        a.append(int(ids[g]))
+                        b.append(int(ids[o]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.groupBy("_key", "_x", "_y").applyInArrow(run, "a long, b long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, sharding
+from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, sharding, topk
 from tellsift.llm.common import read, remainder
 
 QUERIES, SQL = {}, {}
@@ -63,3 +63,15 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_near_duplicates")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
+
+
+@query("op9_top_k", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = read(spark, sf, "embeddings", "vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
