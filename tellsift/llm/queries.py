@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, sharding, topk
+from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, resampling, sharding, topk
 from tellsift.llm.common import read, remainder
 
 QUERIES, SQL = {}, {}
@@ -75,3 +75,10 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read(spark, sf, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op6_importance_resampling")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "labels", "doc_id", "quality")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return resampling.resample(docs, labels, learn=~held_out).withColumn("held_out", held_out)
