@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, resampling, sharding, topk
+from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, sharding, topk
 from tellsift.llm.common import read, remainder
 
 QUERIES, SQL = {}, {}
@@ -82,3 +82,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "labels", "doc_id", "quality")
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     return resampling.resample(docs, labels, learn=~held_out).withColumn("held_out", held_out)
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "labels", "doc_id", "quality")
+    return quality_rules.judge(docs, labels).drop("row")
