@@ -1,31 +1,75 @@
-"""The corpus pipeline: stages that each work on all that the one before kept."""
+"""The corpus pipeline: stages that each work on all that the one before kept.
+
+A stage takes and returns the columns of ``documents``; other columns of its input are dropped. Each
+stage's rows are written to the shared folder and read again, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import mixing
+from tellsift.llm import mixing, neardup, packing, quality_rules, resampling
+from tellsift.llm.common import cut_lineage
+from tellsift.llm.queries import tokenizer_path
 from tellsift.session import checkpoint_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Learned rules, drawn weights and tokens have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the fixed limits and the learned rules."""
+    judged = quality_rules.judge(docs.select(*COLUMNS), _labels(spark, sf_dir))
+    return judged.where("kept").select("row.*")
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws. A document without an id is drawn or not like others."""
+    drawn = resampling.resample(docs.select(*COLUMNS), _labels(spark, sf_dir), with_rows=True)
+    return drawn.where("sampled").select("row.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of smallest id.
+
+    A document without an id stays. Of rows that repeat an id that stays, equal texts leave one.
+    """
+    docs = docs.select(*COLUMNS)
+    found = cut_lineage(neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")))
+    repeated = found.where("_rows > 1").select("doc_id")
+    once = docs.join(found.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
+    more = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of the sources takes it."""
-    return mixing.repeat_rows(docs).select(*COLUMNS)
+    return mixing.repeat_rows(docs.select(*COLUMNS)).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences and places; a repeated document is packed as often."""
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer_path())
 
 
-STAGES = [("mixing", mix)]
+STAGES = [
+    ("quality rules", rules), ("quality classifier", classifier), ("near duplicates", near_duplicates),
+    ("mixing", mix), ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; every stage is written to the shared folder and read again."""
+    """The rows of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
     return docs

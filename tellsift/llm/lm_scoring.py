@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tellsift.llm.common import cut_lineage
+from tellsift.llm.common import cut_lineage, written
 from tellsift.llm.hashing import mix, sums, word_groups
 
 END = np.uint64(0x5851F42D4C957F2D)
@@ -35,7 +35,7 @@ FILL = {"word": 0.2, "pair": 0.25, "first": 0.15}
 #: A first word is used if false positives add less than this share of its pairs' counts.
 FALSE_SHARE = 0.1
 COUNTED = 100_000
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 19
 BUCKET_PAIRS = 1 << 21
 MERGE_AT = 1 << 20
 WORD, PAIR, HELD, REST = (np.uint64(x * 0x632BE59BD9B4E019 & (1 << 64) - 1) for x in (1, 2, 3, 4))
@@ -229,6 +229,7 @@ class Model:
     false_mass: float  # count that false positives are expected to add to a first word's pairs
     head_words: np.ndarray  # sorted hashes of the most frequent words, at most HEAD_WORDS
     head_counts: np.ndarray
+    probed: np.ndarray | None = None
 
 
 def _filled(entries: DataFrame, filter_bits: int) -> np.ndarray:
@@ -253,12 +254,24 @@ def _filled(entries: DataFrame, filter_bits: int) -> np.ndarray:
 
     dealt = entries.mapInArrow(segments, "key long, level int, segment int")
     out = np.zeros((1 << SEGMENT_BITS, size >> 3), dtype=np.uint8)
-    filled = cut_lineage(dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
+    filled = written(dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
     for row in filled.toLocalIterator():
         out[row["segment"]] = np.frombuffer(row["bits"], dtype=np.uint8)
     return out.ravel()
 
 
+def _blocks(words: DataFrame) -> DataFrame:
+    """Word counts as blocks of bytes, a few to a task, so that the driver reads few rows."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], ["words", "counts"]
+            )
+
+    return words.select("word", "n").mapInArrow(run, "words binary, counts binary")
+
+
 def _key(name: str, tag: np.uint64, kind: str = "long"):
     """Expression for a filter key: the value, marked with what it counts."""
     signed = int(np.array(tag).view(np.int64))
@@ -288,7 +301,7 @@ def train(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) ->
         .unionAll(firsts.where("rest > 0").select(_key("half", REST), level(F.col("rest"), LEAST["rest"])))
     )
     bits = _filled(entries, filter_bits)
-    full = float(np.bitwise_count(bits).sum(dtype=np.int64)) / total
+    full = sum(int(np.bitwise_count(bits[at : at + (1 << 20)]).sum()) for at in range(0, len(bits), 1 << 20)) / total
     candidates = sure.where("n >= 2").count()
     by_level = sure.groupBy(level(F.col("n"), LEAST["word"]).alias("level")).count().collect()
     norm = 0.5 * (distinct + 1) + sum(
@@ -300,26 +313,49 @@ def train(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) ->
         if held_words + many > HEAD_WORDS:
             break
         held_words, least_head = held_words + many, n
-    head = words.where(F.col("n") >= least_head).toPandas()
-    order = np.argsort(head["word"].to_numpy(np.int64).view(np.uint64))
+    head_words, head_counts = np.zeros(held_words, dtype=np.uint64), np.zeros(held_words, dtype=np.int64)
+    at = 0
+    for row in written(_blocks(words.where(F.col("n") >= least_head))).toLocalIterator():
+        part = np.frombuffer(row["words"], dtype=np.uint64)
+        head_words[at : at + len(part)], head_counts[at : at + len(part)] = part, np.frombuffer(row["counts"], dtype=np.int64)
+        at += len(part)
+    order = np.argsort(head_words)
     model = Model(
         LogFrequencyFilter(bits, filter_bits), norm, int(tokens), int(distinct),
         full**FIRST_PROBES * candidates * LEAST["pair"],
-        head["word"].to_numpy(np.int64).view(np.uint64)[order], head["n"].to_numpy(np.int64)[order],
+        head_words[order], head_counts[order],
     )
     return model, words.where(F.col("n") < least_head)
 
 
+def _probed(model: Model, words: np.ndarray) -> np.ndarray:
+    """Rows c(w), h(w), u(w) as the filter gives them; h and u are 0 where h is too small to be used."""
+    out = np.zeros((3, len(words)))
+    out[0] = count_of(model.filter.levels(words ^ WORD), LEAST["word"], 0.5)
+    halves = words & _LOW
+    some = np.flatnonzero(out[0] >= 2)
+    held = count_of(model.filter.levels(halves[some] ^ HELD), LEAST["held"], 1.0)
+    some, held = some[held * FALSE_SHARE >= model.false_mass], held[held * FALSE_SHARE >= model.false_mass]
+    out[1, some] = held
+    some = some[held > 0]
+    out[2, some] = count_of(model.filter.levels(halves[some] ^ REST), LEAST["rest"], 0.5)
+    return out
+
+
 def model_log10(model: Model, uniques: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 P of each token; ``at`` and ``before`` are places in ``uniques``."""
-    c = count_of(model.filter.levels(uniques ^ WORD), LEAST["word"], 0.5)
+    """log10 P of each token; ``at`` and ``before`` are places in ``uniques``.
+
+    The most frequent words are probed once per worker and remembered.
+    """
+    if model.probed is None:
+        model.probed = _probed(model, model.head_words)
+    place = np.minimum(np.searchsorted(model.head_words, uniques), max(0, len(model.head_words) - 1))
+    known = model.head_words[place] == uniques if len(model.head_words) else np.zeros(len(uniques), bool)
+    found = np.zeros((3, len(uniques)))
+    found[:, known] = model.probed[:, place[known]]
+    found[:, ~known] = _probed(model, uniques[~known])
+    c, held, rest = found
     single = (c + 0.5) / model.norm
-    halves = uniques & _LOW
-    held = count_of(model.filter.levels(halves ^ HELD) * (c >= 2), LEAST["held"], 1.0)
-    held[held * FALSE_SHARE < model.false_mass] = 0
-    rest = np.zeros(len(uniques))
-    some = np.flatnonzero(held > 0)
-    rest[some] = count_of(model.filter.levels(halves[some] ^ REST), LEAST["rest"], 0.5)
     ask = np.flatnonzero((held[before] > 0) & (c[at] >= 2))
     pair = np.zeros(len(at))
     pair[ask] = count_of(model.filter.levels(pair_keys(uniques[before[ask]], uniques[at[ask]]) ^ PAIR), LEAST["pair"], 0.0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, sharding, topk
+from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, sharding, topk
 from tellsift.llm.common import read, remainder
 
 QUERIES, SQL = {}, {}
@@ -88,3 +88,32 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "labels", "doc_id", "quality")
     return quality_rules.judge(docs, labels).drop("row")
+
+
+TOOLS: chat.Schemas = {
+    "search": (chat.Field("query", "string", most=4000), chat.Field("limit", "integer", least=1, most=50)),
+    "lookup": (chat.Field("query", "string", least=20), chat.Field("limit", "integer", required=False)),
+    "summarise": (chat.Field("query", "string"), chat.Field("style", "string")),
+}
+
+
+def tool_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The conversations as tool traffic: an assistant's turn calls a tool with its whole text as the argument,
+    the user's turn after it is the result, and every call needs the one before it in the conversation."""
+    turns = read(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    asks = F.col("role") == "assistant"
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("search", "lookup", "summarise", "translate")]), (size % 4 + 1).cast("int"))
+    arguments = F.to_json(F.struct(F.col("text").alias("query"), (size % 60).alias("limit")))
+    at = lambda back: F.concat(F.lit("c"), (F.col("turn") - back).cast("string"))
+    return turns.select(
+        "conv_id", "turn", "role", "text", F.when(asks, at(0)).alias("call_id"), F.when(asks, name).alias("tool"),
+        F.when(asks, F.when(size % 7 == 0, F.col("text")).otherwise(arguments)).alias("arguments"),
+        F.when(asks & (F.col("turn") >= 2), F.array(at(2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+        F.when((F.col("role") == "user") & (F.col("turn") > 0), at(1)).alias("result_of"),
+    )
+
+
+@query("op4_chat_tool_calls")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return chat.link_tool_calls(tool_messages(spark, sf), TOOLS)

@@ -124,9 +124,9 @@ def expected_good(good: int, labelled: int, rows: int, z: float = 2.576) -> int:
 
 def resample(
     df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality",
-    learn: Column | None = None, seed: int = SEED,
+    learn: Column | None = None, seed: int = SEED, with_rows: bool = False,
 ) -> DataFrame:
-    """Per row: ``key``, log_weight, gumbel_key and sampled.
+    """Per row: ``key``, log_weight, gumbel_key and sampled; with ``with_rows`` the whole input row as ``row``.
 
     Target: rows whose label ``quality`` is 1 (every label of a key counts, 1 wins), only those where ``learn``
     holds; raw: all rows. As many rows are drawn as are expected to be good; rows that tie with the last
@@ -134,15 +134,21 @@ def resample(
     of an empty key. No labels: all rows are drawn. Empty table: no rows.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(quality).alias("_mark"))
-    known = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))).alias("_learn"))
-    known = known.join(marks, F.col("_id") == F.col("_key"), "left")
+    learned = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
+    columns = [F.col(key).alias("_id"), F.col(text).alias("_text"), learned.alias("_learn")]
+    columns = [*columns, whole_row(df).alias("row")] if with_rows else columns
+    known = df.select(*columns).join(marks, F.col("_id") == F.col("_key"), "left")
     used = F.col("_learn") & F.col("_mark").isNotNull()
     ratios = log_ratios(bucket_counts(known, "_text", used & (F.col("_mark") == 1)))
-    weighed = log_weights(known.select("_id", "_text", used.alias("_used"), (F.col("_mark") == 1).alias("_good")), ratios, ("_id", "_used", "_good"), "_text")
-    weighed = cut_lineage(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("_id"), seed)))
-    rows, labelled, good = weighed.agg(F.count("*"), F.count_if("_used"), F.count_if(F.col("_used") & F.col("_good"))).first()
-    least = kth_largest(weighed, "gumbel_key", expected_good(good, labelled, rows))
+    scored = known.select(*(["row"] if with_rows else []), "_id", "_text", used.alias("_used"), (F.col("_mark") == 1).alias("_good"))
+    keep = (*(["row"] if with_rows else []), "_id", "_used", "_good")
+    weighed = log_weights(scored, ratios, keep, "_text").withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("_id"), seed))
+    weighed = weighed if with_rows else cut_lineage(weighed)
+    narrow = cut_lineage(weighed.select("gumbel_key", "_used", "_good")) if with_rows else weighed
+    rows, labelled, good = narrow.agg(F.count("*"), F.count_if("_used"), F.count_if(F.col("_used") & F.col("_good"))).first()
+    least = kth_largest(narrow, "gumbel_key", expected_good(good, labelled, rows))
     return weighed.select(
         F.col("_id").alias(key), "log_weight", "gumbel_key",
         (F.col("gumbel_key") >= F.lit(least if least is not None else 0.0)).alias("sampled"),
+        *(["row"] if with_rows else []),
     )
