@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, sharding, topk
+from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, sharding, sql, topk
 from tellsift.llm.common import read, remainder
 
 QUERIES, SQL = {}, {}
@@ -16,17 +16,17 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, text: str | None = None):
     def add(fn):
         QUERIES[name] = fn
-        if sql:
-            SQL[name] = sql
+        if text:
+            SQL[name] = text
         return fn
 
     return add
 
 
-@query("op1_sharding")
+@query("op1_sharding", sql.OP1)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text")
     return sharding.shard_by_size(docs, 24).select(
@@ -35,7 +35,7 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("op10_mixing")
+@query("op10_mixing", sql.OP10)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents", "doc_id", "text", "source")
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -60,18 +60,12 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return lm_scoring.score(docs, model, tail, keep=("doc_id", "held_out"))
 
 
-@query("op8_near_duplicates")
+@query("op8_near_duplicates", sql.OP8)
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf, "documents", "doc_id", "text"))
 
 
-@query("op9_top_k", """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) q FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) score
-      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) n FROM s)
-SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""")
+@query("op9_top_k", sql.OP9)
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     vectors = read(spark, sf, "embeddings", "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))

@@ -12,9 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tellsift.llm.common import cut_lineage
+from tellsift.llm.common import cut_lineage, whole_row
 from tellsift.llm.hashing import mix, sums, word_groups
 
 BUCKETS = 1 << 15
@@ -68,8 +68,7 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
 
 def log_weights(df: DataFrame, ratios: np.ndarray, keep: tuple[str, ...], text: str = "text") -> DataFrame:
     """The columns ``keep`` and log_weight; 0 for null, empty and blank texts."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "log_weight double"])
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("log_weight", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
