@@ -19,6 +19,8 @@ from tellsift.llm.hashing import mix, sums, word_groups
 
 BUCKETS = 1 << 15
 SEED = 2021
+#: Labelled target rows that the target model is fitted on, at most about.
+TARGET_KEYS = 200_000
 
 
 def gram_groups(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -128,24 +130,27 @@ def resample(
     """Per row: ``key``, log_weight, gumbel_key and sampled; with ``with_rows`` the whole input row as ``row``.
 
     Target: rows whose label ``quality`` is 1 (every label of a key counts, 1 wins), only those where ``learn``
-    holds; raw: all rows. As many rows are drawn as are expected to be good; rows that tie with the last
-    one drawn are drawn too. Null, empty and blank texts weigh 0. A null key has no label and the noise
-    of an empty key. No labels: all rows are drawn. Empty table: no rows.
+    holds; raw: all rows. The target model is fitted on all such keys up to about ``TARGET_KEYS``, beyond that
+    on so many drawn by hash, which is what bounds the broadcast; the raw model and the share of good rows
+    are counted over everything. As many rows are drawn as are expected to be good; rows that tie with the
+    last one drawn are drawn too. Null, empty and blank texts weigh 0. A null key has no label and the
+    noise of an empty key. No labels: all rows are drawn. Empty table: no rows.
     """
-    marks = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(quality).alias("_mark"))
+    marks = labels.where(F.col(key).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.max(quality) == 1).alias("_good"))
+    marks = cut_lineage(marks)
     learned = F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))
     columns = [F.col(key).alias("_id"), F.col(text).alias("_text"), learned.alias("_learn")]
-    columns = [*columns, whole_row(df).alias("row")] if with_rows else columns
-    known = df.select(*columns).join(marks, F.col("_id") == F.col("_key"), "left")
-    used = F.col("_learn") & F.col("_mark").isNotNull()
-    ratios = log_ratios(bucket_counts(known, "_text", used & (F.col("_mark") == 1)))
-    scored = known.select(*(["row"] if with_rows else []), "_id", "_text", used.alias("_used"), (F.col("_mark") == 1).alias("_good"))
-    keep = (*(["row"] if with_rows else []), "_id", "_used", "_good")
-    weighed = log_weights(scored, ratios, keep, "_text").withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("_id"), seed))
-    weighed = weighed if with_rows else cut_lineage(weighed)
-    narrow = cut_lineage(weighed.select("gumbel_key", "_used", "_good")) if with_rows else weighed
-    rows, labelled, good = narrow.agg(F.count("*"), F.count_if("_used"), F.count_if(F.col("_used") & F.col("_good"))).first()
-    least = kth_largest(narrow, "gumbel_key", expected_good(good, labelled, rows))
+    known = df.select(*columns, *([whole_row(df).alias("row")] if with_rows else []))
+    total = marks.where("_good").count()
+    drawn = F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < int(min(1.0, TARGET_KEYS / max(total, 1)) * (1 << 30))
+    target = marks.where(F.col("_good") & drawn).select("_key", F.lit(True).alias("_target"))
+    flagged = known.join(F.broadcast(target), F.col("_id") == F.col("_key"), "left")
+    ratios = log_ratios(bucket_counts(flagged, "_text", F.col("_target") & F.col("_learn")))
+    noisy = F.col("log_weight") + gumbel(F.col("_id"), seed)
+    narrow = cut_lineage(log_weights(known, ratios, ("_id", "_learn"), "_text").withColumn("gumbel_key", noisy))
+    labelled, good = narrow.where("_learn").join(marks, F.col("_id") == F.col("_key")).agg(F.count("*"), F.count_if("_good")).first()
+    least = kth_largest(narrow, "gumbel_key", expected_good(good, labelled, narrow.count()))
+    weighed = log_weights(known, ratios, ("_id", "row"), "_text").withColumn("gumbel_key", noisy) if with_rows else narrow
     return weighed.select(
         F.col("_id").alias(key), "log_weight", "gumbel_key",
         (F.col("gumbel_key") >= F.lit(least if least is not None else 0.0)).alias("sampled"),
