@@ -26,7 +26,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fixed limits and the learned rules."""
-    judged = quality_rules.judge(docs.select(*COLUMNS), _labels(spark, sf_dir))
+    judged = quality_rules.judge(docs.select(*COLUMNS), _labels(spark, sf_dir), with_rows=True)
     return judged.where("kept").select("row.*")
 
 

@@ -199,20 +199,22 @@ def train(stats: DataFrame, labels: DataFrame, key: str = "doc_id", quality: str
     return learn_rules(table)
 
 
-def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key, the five statistics, base_failed and kept, with the whole input row as ``row``.
+def judge(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", with_rows: bool = False) -> DataFrame:
+    """The key, the five statistics, base_failed and kept; with ``with_rows`` the whole input row as ``row``.
 
-    Rules are learned from the labels given. Without labels only the fixed limits reject. Rows without a key
-    are judged like others. Texts without a word fail the fixed limits.
+    The statistics of all rows are written down once, without the texts, and meet the labels there: texts
+    are never shuffled. ``with_rows`` works them out again beside the rows. Rules are learned from the labels
+    given; without labels only the fixed limits reject. Rows without a key are judged like others. Texts
+    without a word fail the fixed limits. Empty table: no rows.
     """
-    known = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("_key")).distinct()
-    sample = df.select(key, text).join(known, F.col(key) == F.col("_key"), "left_semi")
-    rules = train(text_statistics(sample, text), labels, key)
-    stats = text_statistics(df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), whole_row(df).alias("row")), "_text")
+    ids = df.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
+    narrow = cut_lineage(text_statistics(ids, "_text").drop("_text"))
+    rules = train(narrow.withColumnRenamed("_id", key), labels, key)
+    stats = text_statistics(df.select(F.col(key).alias("_id"), F.col(text).alias("_text"), whole_row(df).alias("row")), "_text") if with_rows else narrow
     verdict = stats.withColumns({f"_{n}": c for n, c in ratios().items()})
     named = DecisionList([tuple(Threshold(f"_{t.feature}", t.above, t.value) for t in rule) for rule in rules.rules])
     failed = base_failed()
     return verdict.select(
         F.col("_id").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & named.kept()).alias("kept"), "row",
+        failed.alias("base_failed"), (~failed & named.kept()).alias("kept"), *(["row"] if with_rows else []),
     )

@@ -81,7 +81,7 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_quality_rules")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs, labels = read(spark, sf, "documents", "doc_id", "text"), read(spark, sf, "labels", "doc_id", "quality")
-    return quality_rules.judge(docs, labels).drop("row")
+    return quality_rules.judge(docs, labels)
 
 
 TOOLS: chat.Schemas = {

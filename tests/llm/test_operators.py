@@ -209,7 +209,7 @@ def test_quality_statistics(odd, none):
 
 
 def test_quality_rules(spark, sf, odd, none, marks):
-    judged = quality_rules.judge(odd, marks)
+    judged = quality_rules.judge(odd, marks, with_rows=True)
     by_id = groups(judged.collect(), "doc_id")
     assert by_id[4][0].base_failed and by_id[9][0].base_failed and by_id[1][0].kept
     assert judged.select("row.*").columns == odd.columns and judged.count() == odd.count()
