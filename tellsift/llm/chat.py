@@ -1,8 +1,8 @@
 """Chat records with tool calls: link results to calls, order, validate, serialise canonical JSON.
 
 Calls and results are joined by hash of their conversation and identifier. A call may name calls whose
-results its arguments use; levels of that relation come round by round, one join each, so a conversation
-of any size is ordered by many tasks. Arguments are parsed once to a variant, whose JSON has its keys in
+results its arguments use; the order that follows comes from joins, so a conversation of any size is
+ordered by many tasks. Arguments are parsed once to a variant, whose JSON has its keys in
 order and no spare blanks, and checked field by field against the tool's schema.
 """
 
@@ -62,33 +62,42 @@ def argument_errors(tool: Column, parsed: Column, schemas: Schemas) -> Column:
     return checked.otherwise(F.array(F.lit("tool: unknown")))
 
 
-def call_levels(calls: DataFrame) -> DataFrame:
-    """(conv, call, level) of calls with an array ``needs`` of calls of the same conversation.
+def call_order(calls: DataFrame) -> DataFrame:
+    """(conv, call, anchor, level) of calls (conv, call, at, needs): by anchor, then level, needs come first.
 
-    Level 0 needs nothing known; others come one after the highest they need. Each round places the calls
-    all of whose needs are placed; calls in or behind a circle are never placed and get level -1. Needs that
-    name no call count as met. There are as many rounds as levels.
+    anchor is the latest turn among a call and all calls it needs, directly or not. Most calls need earlier
+    ones and stand at their own turn; only those that need a later one, and those that need these, move, one
+    join a round, and there are as many rounds as the longest chain of moves. level orders calls of one anchor:
+    0 needs none of them, others come after the highest they need; -1 is in a circle, or behind one of the
+    same anchor. Needs that name no call count as met.
     """
-    nodes = written(calls.select("conv", "call").distinct())
+    anchors = written(calls.select("conv", "call", F.col("at").alias("anchor")))
     edges = calls.select("conv", "call", F.explode("needs").alias("need")).distinct()
-    edges = written(edges.join(nodes.withColumnRenamed("call", "need"), ["conv", "need"], "left_semi"))
-    waiting, level = nodes, 0
-    placed = []
+    edges = written(edges.join(anchors.select("conv", F.col("call").alias("need")), ["conv", "need"], "left_semi"))
+    needed = lambda: anchors.select("conv", F.col("call").alias("need"), F.col("anchor").alias("need_anchor"))
     while True:
-        behind = edges.select("conv", "call").distinct()
-        ready = written(waiting.join(behind, ["conv", "call"], "left_anti").withColumn("level", F.lit(level)))
+        both = edges.join(needed(), ["conv", "need"]).join(anchors, ["conv", "call"])
+        moved = written(both.where("need_anchor > anchor").groupBy("conv", "call").agg(F.max("need_anchor").alias("to")))
+        if moved.limit(1).count() == 0:
+            break
+        anchors = written(anchors.join(moved, ["conv", "call"], "left").select("conv", "call", F.coalesce("to", "anchor").alias("anchor")))
+    ties = written(both.where("need_anchor = anchor").select("conv", "call", "need"))
+    waiting = ties.select("conv", "call").union(ties.select("conv", "need")).distinct()
+    levels, level = None, 0
+    while ties.limit(1).count():
+        ready = written(waiting.join(ties.select("conv", "call"), ["conv", "call"], "left_anti").withColumn("level", F.lit(level)))
         if ready.limit(1).count() == 0:
-            placed.append(waiting.withColumn("level", F.lit(-1)))
             break
-        placed.append(ready)
+        levels = ready if levels is None else levels.unionByName(ready)
         done = ready.select("conv", "call")
         waiting = written(waiting.join(done, ["conv", "call"], "left_anti"))
-        edges = written(edges.join(done.withColumnRenamed("call", "need"), ["conv", "need"], "left_anti"))
+        ties = written(ties.join(done.withColumnRenamed("call", "need"), ["conv", "need"], "left_anti"))
         level += 1
-    out = placed[0]
-    for part in placed[1:]:
-        out = out.unionByName(part)
-    return out
+    stuck = waiting.join(ties.select("conv", "call"), ["conv", "call"], "left_semi").withColumn("level", F.lit(-1))
+    last = waiting.join(ties.select("conv", "call"), ["conv", "call"], "left_anti").withColumn("level", F.lit(level))
+    rest = stuck.unionByName(last)
+    levels = rest if levels is None else levels.unionByName(rest)
+    return anchors.join(levels, ["conv", "call"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
@@ -98,8 +107,8 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     A row with a call_id is a call, one with a result_of a result; others are plain messages.
     Output: conv_id, turn, kind, call_id (a result's: its call's), level, anchor (the turn a message is
     ordered by), rank, status, errors and json. The order within a conversation is (anchor, level, call_id, rank,
-    turn): plain messages stand at their own turn; calls at theirs, or at that of the latest call they need; a
-    result right after its call, whatever its turn.
+    turn): plain messages stand at their own turn; calls as ``call_order`` says; a result right after its
+    call, whatever its turn.
     status: ``ok``, ``invalid`` (a call with errors), ``unanswered``, ``circular``, ``repeated`` (a call whose id came at an
     earlier turn, or a result after the first of its call), ``orphan`` (a result without a call), ``plain``.
     Null conversations and ids link with nothing. Rows that are equal keep their number. Empty table: no rows.
@@ -115,12 +124,8 @@ def link_tool_calls(messages: DataFrame, schemas: Schemas) -> DataFrame:
     results = base.where(F.col("call").isNull() & F.col("of").isNotNull())
     answers = results.groupBy("conv", "of").agg(F.min(F.struct("turn", "row")).alias("f")).select("conv", F.col("of").alias("call"), F.col("f.row").alias("answer_row"))
     own = named.join(first.select(F.col("first_row").alias("row")), "row", "left_semi")
-    levels = call_levels(own.select("conv", "call", "needs"))
-    latest = own.select("conv", "call", F.explode("needs").alias("need")).join(
-        first.select("conv", F.col("call").alias("need"), F.col("at").alias("need_at")), ["conv", "need"]
-    ).groupBy("conv", "call").agg(F.max("need_at").alias("need_at"))
-    known = first.join(levels, ["conv", "call"]).join(answers, ["conv", "call"], "left").join(latest, ["conv", "call"], "left")
-    known = cut_lineage(known.withColumn("anchor", F.greatest("at", F.coalesce("need_at", "at"))).drop("need_at"))
+    order = call_order(own.select("conv", "call", F.col("turn").alias("at"), "needs"))
+    known = cut_lineage(first.join(order, ["conv", "call"]).join(answers, ["conv", "call"], "left"))
     linked = base.withColumn("is_call", F.col("call").isNotNull()).withColumn("call", F.coalesce("call", "of"))
     linked = linked.join(known, ["conv", "call"], "left")
     parsed = linked.withColumn("args", F.when(F.col("is_call"), F.try_parse_json("arguments")))
