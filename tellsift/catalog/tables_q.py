@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tellsift.catalog.registry import filings, labels, load, query, r6
 from tellsift.catalog.sqltext import FILINGS, LABELS, with_
@@ -289,6 +289,21 @@ def d4(spark, sf):
     return sample.select("idx", "cik", "form_type")
 
 
+@query(
+    "d4_restarting_ids",
+    with_(FILINGS)
+    + f""", numbered AS (SELECT row_number() OVER (PARTITION BY form_type ORDER BY idx) AS idx, cik, form_type, filtered_text FROM filings),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form_type, cik ORDER BY {h(2021, 'idx')}, idx) AS r
+FROM numbered WHERE filtered_text IS NOT NULL) WHERE r = 1)
+SELECT idx, cik, form_type FROM (SELECT *, row_number() OVER (PARTITION BY form_type ORDER BY {h(2022, 'idx')}, idx) AS r2 FROM one) WHERE r2 <= 11""",
+)
+def d4_restart(spark, sf):
+    """The same sample where every file numbers its filings from 1."""
+    numbered = filings(spark, sf).withColumn("idx", F.row_number().over(Window.partitionBy("form_type").orderBy("idx")).cast("long"))
+    sample, _ = sampling.sample_files(numbered, nmax=11, file_col="form_type")
+    return sample.select("idx", "cik", "form_type")
+
+
 @query(
     "d4_file_stats",
     with_(FILINGS)

@@ -208,7 +208,9 @@ POSF = "token_count, VBD_perc, VBN_perc, MD_perc, VERB_perc, NOUN_perc"
 
 @query(
     "e14_to_sentences",
-    with_(NOTICES, distinct_cut("notices"), annotated(), valid(), replaced(W.CR_LABELS), tagged(), recursive=True)
+    with_(NOTICES, distinct_cut("notices", "cutall"),
+          f"seg AS MATERIALIZED (SELECT c.* FROM cutall c JOIN notices n USING (idx) WHERE coalesce({lang('sents')}, {lang('filtered_text')}) = 'en')",
+          annotated(), valid(), replaced(W.CR_LABELS), tagged(), recursive=True)
     + f"""SELECT idx, pos, any_value(cik) AS cik, any_value(sents) AS sents, coalesce(string_agg(tok, ' ' ORDER BY i, j), '') AS tokens,
 {', '.join(f'any_value({c}) AS {c}' for c in POSF.split(', '))}
 FROM seg JOIN ok USING (idx, pos) JOIN posf USING (idx, pos) LEFT JOIN toks USING (idx, pos) GROUP BY idx, pos""",
@@ -218,6 +220,18 @@ def e14(spark, sf):
     return s.select("idx", "pos", "cik", "sents", "tokens", *[r6(F.col(c), c) for c in X.POS_COLUMNS])
 
 
+@query(
+    "e14_language",
+    with_(FILINGS, distinct_cut("filings", "cutall"),
+          f"seg AS MATERIALIZED (SELECT c.* FROM cutall c JOIN filings n USING (idx) WHERE coalesce({lang('sents')}, {lang('filtered_text')}) = 'en')",
+          annotated(), valid(), recursive=True)
+    + "SELECT idx, pos, sents FROM seg JOIN ok USING (idx, pos)",
+)
+def e14_language(spark, sf):
+    """English sentences of the documents, which are in four languages and partly mixed."""
+    return S.to_sentences(filings(spark, sf), "filtered_text", W.CR_LABELS).select("idx", "pos", "sents")
+
+
 @query(
     "e15_add_tokens_pos",
     with_(NOTICES, cut("notices", "cutall"), f"seg AS MATERIALIZED (SELECT * FROM cutall WHERE {lang('sents')} = 'en')",

@@ -15,7 +15,7 @@ def top_sample(df: DataFrame, n: int, key: str, seed: int = SEED) -> DataFrame:
     return df.orderBy(order_key(seed, key), key).limit(n)
 
 
-def one_per_firm(
+def firm_winners(
     filings: DataFrame,
     ciks: DataFrame | None = None,
     text_col: str = "filtered_text",
@@ -23,10 +23,7 @@ def one_per_firm(
     within: list[str] | None = None,
     seed: int = SEED,
 ) -> DataFrame:
-    """One random filing with text per firm (and per file, with ``within``).
-
-    The winners are found on narrow rows with a partial aggregate; texts move only for them.
-    """
+    """Firm (and file, with ``within``) and key of one random filing with text for each; no texts."""
     groups = [*(within or []), "cik"]
     usable = filings.withColumn("cik", F.col("cik").cast("string")).where(
         F.col(text_col).isNotNull() & F.col("cik").isNotNull()
@@ -37,7 +34,26 @@ def one_per_firm(
     winners = usable.groupBy(*groups).agg(
         F.min(F.struct(order_key(seed, key).alias("h"), F.col(key).alias("k"))).alias("w")
     )
-    return usable.join(winners.select(F.col("w.k").alias(key)), key, "left_semi")
+    return winners.select(*groups, F.col("w.k").alias(key))
+
+
+def _with_rows(filings: DataFrame, winners: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """The filings that won. A key may come back in another file, so all of ``names`` must meet."""
+    whole = filings.withColumn("cik", F.col("cik").cast("string")).where(F.col(text_col).isNotNull())
+    return whole.join(winners.select(*names), names, "left_semi")
+
+
+def one_per_firm(
+    filings: DataFrame,
+    ciks: DataFrame | None = None,
+    text_col: str = "filtered_text",
+    key: str = "idx",
+    within: list[str] | None = None,
+    seed: int = SEED,
+) -> DataFrame:
+    """One random filing with text per firm (and per file, with ``within``)."""
+    winners = firm_winners(filings, ciks, text_col, key, within, seed)
+    return _with_rows(filings, winners, text_col, [*(within or []), "cik", key])
 
 
 def sample_firms(
@@ -48,11 +64,15 @@ def sample_firms(
     key: str = "idx",
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
-    """One filing for each of at most ``nmax`` firms, and a row with firms found and the share kept."""
-    firsts = one_per_firm(filings, ciks, text_col, key, seed=seed).select(key, "cik", text_col)
-    sample = top_sample(firsts, nmax, key, seed + 1) if nmax is not None else firsts
+    """One filing for each of at most ``nmax`` firms, and a row with firms found and the share kept.
+
+    The winners are cut to ``nmax`` before the texts are joined to them.
+    """
+    winners = firm_winners(filings, ciks, text_col, key, seed=seed)
+    chosen = top_sample(winners, nmax, key, seed + 1) if nmax is not None else winners
+    sample = _with_rows(filings, chosen, text_col, ["cik", key]).select(key, "cik", text_col)
     kept = F.least(F.col("unique_firms"), F.lit(nmax)) if nmax is not None else F.col("unique_firms")
-    stats = firsts.agg(F.count("*").alias("unique_firms")).select(
+    stats = winners.agg(F.count("*").alias("unique_firms")).select(
         "unique_firms", F.coalesce(F.try_divide(kept, F.col("unique_firms")), F.lit(0.0)).alias("select_per")
     )
     return sample, stats
@@ -68,14 +88,15 @@ def sample_files(
     seed: int = SEED,
 ) -> tuple[DataFrame, DataFrame]:
     """``sample_firms`` for every input file in one plan, with firms and share per file."""
-    firsts = one_per_firm(filings, ciks, text_col, key, within=[file_col], seed=seed)
-    sample = firsts
+    winners = firm_winners(filings, ciks, text_col, key, [file_col], seed)
+    chosen = winners
     if nmax is not None:
-        keyed = firsts.withColumn("_h", order_key(seed + 1, key))
-        sample = first_per_group(keyed, [file_col], ["_h", key], nmax).drop("_h")
+        keyed = winners.withColumn("_h", order_key(seed + 1, key))
+        chosen = first_per_group(keyed, [file_col], ["_h", key], nmax).drop("_h")
+    sample = _with_rows(filings, chosen, text_col, [file_col, "cik", key])
     kept = F.least(F.col("unique_firms"), F.lit(nmax)) if nmax is not None else F.col("unique_firms")
     stats = (
-        firsts.groupBy(file_col)
+        winners.groupBy(file_col)
         .agg(F.count("*").alias("unique_firms"))
         .withColumn("select_per", kept / F.col("unique_firms"))
     )

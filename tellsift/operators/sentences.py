@@ -67,10 +67,16 @@ def to_sentences(
     lang: str | None = "en",
     rules: list[Rule] | None = None,
 ) -> DataFrame:
-    """Valid, distinct sentences of every filing with tokens and part-of-speech features."""
+    """Valid, distinct sentences of every filing with tokens and part-of-speech features.
+
+    With ``lang`` each sentence is tested for itself, so that a filing in several languages keeps the
+    sentences of this one; a sentence without any known function word follows its filing.
+    """
     if lang is not None:
-        filings = only_language(filings, text_col, lang)
+        filings = computed(filings, _lang=T.language(F.col(text_col)))
     cut = cut_filings(filings, text_col, lines=lines, distinct=True)
+    if lang is not None:
+        cut = cut.where(F.coalesce(T.language(F.col("sents")), F.col("_lang")) == lang).drop("_lang")
     annotated = with_annotation(cut, rules).where(K.valid_sentence(F.col("ann")))
     return with_tokens_and_pos(annotated, labels, tokenizer)
 

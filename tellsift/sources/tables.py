@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 FILE_NAME = r"([^/]*?)_([0-9A-Za-z\-]+)_(\d{4})\.csv$"
@@ -34,15 +34,28 @@ def existing(spark: SparkSession, paths: list[str]) -> list[str]:
 
 
 def _csv(spark, paths: list[str], encoding: str, schema, with_file: bool, options: dict) -> DataFrame:
-    if encoding != "UTF-8":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    latin = encoding.lower() in ("cp1252", "windows-1252")
     reader = spark.read.options(
-        header=True, multiLine=True, escape='"', encoding=encoding, **options
+        header=True, multiLine=True, escape='"', encoding="ISO-8859-1" if latin else encoding, **options
     )
     df = (reader.schema(schema) if schema is not None else reader).csv(paths)
+    if latin:
+        df = df.select(*[_from_latin1(df, name, kind) for name, kind in df.dtypes], *([F.col("_metadata.file_name").alias("file")] if with_file else []))
+        return df
     return df.withColumn("file", F.col("_metadata.file_name")) if with_file else df
 
 
+def _from_latin1(df: DataFrame, name: str, kind: str) -> Column:
+    """cp1252 text that was read as Latin-1: the 32 control codes there are signs here.
+
+    Spark reads Latin-1 in every session, cp1252 only with a session-wide setting.
+    """
+    codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+    signs = bytes(codes).decode("cp1252")
+    column = F.translate(F.col(f"`{name}`"), "".join(map(chr, codes)), signs) if kind == "string" else F.col(f"`{name}`")
+    return column.alias(name)
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | list[str],

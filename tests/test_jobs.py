@@ -70,6 +70,47 @@ def test_empty_inputs(spark):
     assert sample.count() == 0 and tuple(stats.first()) == (0, 0.0)
 
 
+def test_file_sample_with_ids_that_restart(spark):
+    rows = [(i, f"firm{i % 5}", f"text {f} {i}", f"file{f}") for f in range(3) for i in range(40)]
+    df = spark.createDataFrame(rows, "idx long, cik string, filtered_text string, file string")
+    sample, stats = sampling.sample_files(df, nmax=None)
+    got = sample.collect()
+    assert len(got) == 15 and len({(r.file, r.cik) for r in got}) == 15
+    assert all(r.filtered_text == f"text {r.file[-1]} {r.idx}" for r in got)
+    assert {(r.unique_firms, r.select_per) for r in stats.collect()} == {(5, 1.0)}
+
+
+def test_reading_changes_no_setting(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("cik,t\n1,“x”\n".encode("cp1252"))
+    before = spark.conf.get("spark.sql.legacy.javaCharsets")
+    assert SRC.read_csv(spark, f"{tmp_path}/a.csv").first().t == "“x”"
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == before
+
+
+def test_all_terms_are_kept_without_a_limit(spark):
+    df = spark.range(2).select(F.transform(F.sequence(F.lit(1), F.lit(25_000)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("grams"))
+    stage = training.ModelSpec().feature_stages({"max_df": 1.0})[1]
+    assert len(stage.fit(df).vocabulary) == 25_000
+    assert len(training.ModelSpec().feature_stages({"max_df": 1.0, "max_features": 10})[1].fit(df).vocabulary) == 10
+
+
+def test_margin_threshold_holds_when_scoring(spark):
+    rows = [(i, float(i - 10) / 10) for i in range(21)]
+
+    class Margin:
+        def transform(self, data):
+            return data.withColumn("rawPrediction", self.vector(data)).withColumn("prediction", (F.col("x") > 0).cast("double"))
+
+        def vector(self, data):
+            from pyspark.ml.functions import array_to_vector
+
+            return array_to_vector(F.array(-F.col("x"), F.col("x")))
+
+    data = spark.createDataFrame(rows, "id int, x double")
+    scored = predict.score_sentences(data, Margin(), -0.5)
+    assert {r.id for r in scored.where("pred = 1").collect()} == {i for i, x in rows if x > -0.5}
+
+
 def test_natural_full_counts_nulls_as_equal(spark):
     new = spark.createDataFrame([(1, None, 5), (2, "b", 6)], "idx int, t string, a int")
     old = spark.createDataFrame([(1, None, 7), (3, "c", 8)], "idx int, t string, b int")

@@ -10,16 +10,16 @@ from tellsift.functions import features as X, text as T, tokens as K, words as W
 from tellsift.operators import entities as E, lexicon, sentences as S
 
 CLAUSE = (
-    '"Default" means any of these: (i) the borrower (if not cured in 30 days) fails to pay; (ii) any statement '
-    "proves to be false; or (iii) the borrower becomes insolvent."
+    "A pump stands idle where: (i) the float (unless it sticks in mud) drops under the red line; (ii) a fitter "
+    "shuts the valve by hand; or (iii) the river floods the shed."
 )
 RELEASE = (
-    "PORTLAND, Ore., May 3, 2014 Acme Networks (NYSE: ACME), the storage company, today announced the appointment of Jane Roe "
-    "to its Board of Directors. Acme Networks' products are used by more than 9,000 customers in over 100 countries. "
-    "For more information, visit www.acme-networks.com."
+    "Heavy rain flooded the harbour of Quill Freight (NYSE: QFRT) in the north on April 9, 2017. "
+    "The crews of Quill Freight are fed by 240 cooks and over 30 bakers. "
+    "The timetable is kept at www.quill-freight.com."
 )
-TITLE = "Upon (i) such transfer, (ii) delivery of a copy thereof to the Company and (iii) payment, the Bank shall be a party hereto."
-SECTION = "Any notice shall be given in accordance with Section 12(b) of this Agreement."
+TITLE = "After (i) a survey of the lot, (ii) a map of its fences and (iii) the fee, the clerk closes the file."
+SECTION = "Tenants share the cost of lamps as Section 7(c) of the lease says."
 
 
 def rows(spark, texts, column):
@@ -39,7 +39,7 @@ def test_normalise(spark):
 def test_segments_of_lists_and_brackets(spark):
     cut = rows(spark, [CLAUSE, RELEASE, TITLE, SECTION], lambda c: T.segment(T.normalise(c)))
     assert [len(c) for c in cut] == [4, 3, 1, 1]
-    assert cut[0][1].startswith("(i) the borrower (if not cured") and cut[0][2].endswith("or")
+    assert cut[0][1].startswith("(i) the float (unless it sticks") and cut[0][2].endswith("or")
 
 
 def test_abbreviations_end_no_sentence(spark):
@@ -61,7 +61,7 @@ def test_language(spark):
         ("(NYSE: AB, NASDAQ: CD)", "TICKER", "(NYSE: AB, NASDAQ: CD)"),
         ("the Tax Court", "GOV", "the Tax Court"),
         ("our non-GAAP measures", "ACCT", "non-GAAP"),
-        ("Springfield, IL 60015 USA", "GPE", "Springfield, IL 60015 USA"),
+        ("Dayton, OH 45402 USA", "GPE", "Dayton, OH 45402 USA"),
         ("filed on Form 8-K today", "FILING", "Form 8-K"),
         ("the Securities and Exchange Commission ruled", "SEC", "the Securities and Exchange Commission"),
         ("EU regulators met", "GPE", "EU regulators"),
@@ -109,7 +109,7 @@ def test_entity_tokens(spark):
 
 
 def test_valid_sentence(spark):
-    texts = ["$433 $365 $440 $425 42", "Permitted” means:", "(b) Closing Terms.", RELEASE, "a an of to in by"]
+    texts = ["12% 7 $88 9% $3", "Tariff’ denotes", "(q) Spare Parts.", RELEASE, "a an of to in by"]
     assert rows(spark, texts, lambda c: T.let(K.annotate("t"), K.valid_sentence)) == [False, False, False, True, False]
 
 
@@ -153,6 +153,14 @@ def test_to_sentences(spark):
     assert "EvalPython" not in plan and "partitioning" not in plan.lower()
 
 
+def test_language_is_tested_per_sentence(spark):
+    english = "The hackers stole the records of the clinic and sold them to a broker."
+    german = "Die Daten der Klinik sind in der Nacht von einem Dieb kopiert worden. Das Haus ist nicht mehr sicher und die Akten fehlen."
+    df = spark.createDataFrame([(1, f"{english} {german}"), (2, f"{german}")], "idx long, filtered_text string")
+    found = S.to_sentences(df, labels=W.CR_LABELS).select("idx", "sents").collect()
+    assert [(r.idx, r.sents) for r in found] == [(1, english)]
+
+
 def test_lines_are_not_normalised(spark):
     df = spark.createDataFrame([(1, "the  first line here\nthe second line there")], "idx long, Related_sents string")
     out = S.cut_filings(df, "Related_sents", lines=True).orderBy("pos")
@@ -166,6 +174,10 @@ def test_unknown_words_and_gazetteer(spark):
     assert ann.select(K.entity_tokens(F.col("ann"), oov=F.col("oov"))).first()[0] == [
         "the", "OOV", "met", "New", "Amsterdam", "Traders", "in", "the", "fog",
     ]
+    long = spark.createDataFrame([(1, 0, "we met Ash, Birch and First Trust of North Elm River Mills today")], "idx long, pos int, sents string")
+    table = spark.createDataFrame([("ORG", "Ash, Birch"), ("ORG", "First Trust of North Elm River Mills")], "label string, text string")
+    taken = lexicon.with_gazetteer(S.with_annotation(long), table).first().ann
+    assert len([t for t in taken if t.ent == "ORG"]) == 2
     names = spark.createDataFrame([("LOC", "New Amsterdam"), ("ORG", "New Amsterdam Traders")], "label string, text string")
     marked = lexicon.with_gazetteer(ann, names)
     assert [(t.ent, t.text) for t in marked.first().ann if t.ent] == [("ORG", "New Amsterdam Traders")]
