@@ -7,8 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from tellsift.catalog.registry import filings, labels, load, notices, query, r6
-from tellsift.catalog.sqltext import FILINGS, LABELS, cut, inlist, norm, q, score, seg, with_, words_of
-from tellsift.catalog.text_q import SCORE_WORDS, TX_words, keyword
+from tellsift.catalog.sqltext import FILINGS, LABELS, annotated, cut, inlist, norm, q, replaced, score, seg, tagged, with_, words_of
+from tellsift.catalog.text_q import COUNTED, POSF, SCORE_WORDS, TX_words, keyword, sentiment_sql
 from tellsift.functions import text as TX, words as W
 from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, sentences as S, topics, vectorize as V
 from tellsift.plans import explore, predict, selftrain, training
@@ -284,6 +284,55 @@ def i12(spark, sf):
     )
 
 
+def compared(features: str, *parts: str) -> str:
+    """SQL of a comparison by label: ``f`` holds one row per sentence with ``idx`` and the features."""
+    return with_(
+        FILINGS, LABELS, *parts,
+        f"x AS (UNPIVOT f ON {features} INTO NAME feature VALUE v)",
+        "k AS (SELECT feature, 'Incident' AS key, CAST(Incident AS VARCHAR) AS value, v FROM x JOIN lab USING (idx) "
+        "UNION ALL SELECT feature, 'Immaterial', CAST(Immaterial AS VARCHAR), v FROM x JOIN lab USING (idx))",
+        recursive=True,
+    ) + """SELECT feature, key, value, count(*) AS rows, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS stddev, round(min(v), 6) AS low,
+round(quantile_disc(v, 0.25), 6) AS q25, round(quantile_disc(v, 0.5), 6) AS median, round(quantile_disc(v, 0.75), 6) AS q75, round(max(v), 6) AS high FROM k GROUP BY ALL"""
+
+
+def compared_rows(table):
+    return table.select(
+        "feature", "key", "value", "rows", *[F.round(F.col(c), 4).alias(c) for c in ("mean", "stddev")],
+        *[r6(F.col(c), c) for c in ("low", "q25", "median", "q75", "high")],
+    )
+
+
+def labelled_cut(spark, sf):
+    f = filings(spark, sf).join(labels(spark, sf), "idx")
+    return S.cut_filings(f, "filtered_text").select("sents", "Incident", "Immaterial")
+
+
+@query("i12_pos", compared(POSF, cut("filings"), annotated(), tagged(), f"f AS (SELECT idx, {POSF} FROM posf)"))
+def i12_pos(spark, sf):
+    return compared_rows(explore.compare_pos(labelled_cut(spark, sf), ["Incident", "Immaterial"]))
+
+
+@query(
+    "i12_sentiment",
+    compared("polarity, subjectivity", f"f AS ({sentiment_sql('filings', FILINGS)})"),
+)
+def i12_sentiment(spark, sf):
+    return compared_rows(explore.compare_sentiment(labelled_cut(spark, sf), ["Incident", "Immaterial"]))
+
+
+@query(
+    "i12_entities",
+    compared(
+        ", ".join(f'"{c}"' for c in COUNTED), cut("filings"), annotated(), replaced(W.CR_LABELS),
+        "f AS (SELECT idx, " + ", ".join(f"CAST(count(*) FILTER (tok = '{c}') AS DOUBLE) AS \"{c}\"" for c in COUNTED)
+        + " FROM seg LEFT JOIN toks USING (idx, pos) GROUP BY idx, pos)",
+    ),
+)
+def i12_entities(spark, sf):
+    return compared_rows(explore.compare_entities(labelled_cut(spark, sf), ["Incident", "Immaterial"], W.CR_LABELS))
+
+
 RESULTS = """res AS (SELECT form_type AS model_name, Incident AS C, 'l2' AS penalty, Immaterial AS k, avg(proba) AS mean_train_roc_auc, max(proba) AS mean_test_roc_auc
  FROM e JOIN (SELECT idx, form_type FROM filings) USING (idx) GROUP BY ALL)"""
 
@@ -355,7 +404,7 @@ def j6(spark, sf):
 
 def labelled_sentences(spark, sf):
     f = filings(spark, sf).join(labels(spark, sf), "idx")
-    s = S.to_sentences(f, "filtered_text", W.CR_LABELS, lang=None)
+    s = S.to_sentences(f, "filtered_text", W.CR_LABELS)
     return s.withColumn("row_id", F.concat_ws("-", "idx", "pos"))
 
 
@@ -363,7 +412,8 @@ def training_rows(spark, sf):
     return training.with_label(labelled_sentences(spark, sf), "Immaterial")
 
 
-SMALL = {"max_features": 2000, "n_components": 50, "C": 1.0, "max_df": 0.8, "lowercase": True}
+# One candidate of the grid with fewer components than a real run takes; all terms count.
+SMALL = {"n_components": 20, "C": 1.0, "max_df": 0.8, "lowercase": True}
 
 
 def whole_text_grams(low=1, high=2):
@@ -462,7 +512,7 @@ def h4(spark, sf):
 
 @query("j2_selftrain")
 def j2(spark, sf):
-    cut_rows = S.to_sentences(filings(spark, sf), "filtered_text", W.CR_LABELS, lang=None)
+    cut_rows = S.to_sentences(filings(spark, sf), "filtered_text", W.CR_LABELS)
     s = cut_rows.withColumn("row_id", F.concat_ws("-", "idx", "pos")).join(labels(spark, sf), "idx", "left")
     _, result = selftrain.self_train(
         s.where("Immaterial is not null"), s.where("Immaterial is null"), "Immaterial",
@@ -474,7 +524,7 @@ def j2(spark, sf):
 @query("j7_score_filings")
 def j7(spark, sf):
     model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), {**SMALL, "n_components": 20})
-    out = predict.predict_filings(filings(spark, sf), model, 0.6, "Immaterial", lang=None)
+    out = predict.predict_filings(filings(spark, sf), model, 0.6, "Immaterial")
     return out.select("idx", "Immaterial_sents_num", "Immaterial_proba")
 
 
@@ -484,4 +534,4 @@ def j11(spark, sf):
     talk = load(spark, f"{sf}/conversations.parquet").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.lit(0).alias("pos"), F.col("text").alias("sents")
     )
-    return predict.predict_sentences(talk, model, 0.6, lang=None).select("idx", "proba", "pred")
+    return predict.predict_sentences(talk, model, 0.6).select("idx", "proba", "pred")

@@ -124,6 +124,12 @@ def find_forms(
     return existing(spark, [f"{folder}/{tag}_{form}{tail}.csv" for form in form_types])
 
 
+def with_row_key(df: DataFrame, name: str = "idx") -> DataFrame:
+    """Add a key of 60 bits, a hash of all columns in order of their names. It needs no shuffle."""
+    values = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    return df.withColumn(name, F.conv(F.substring(F.md5(values), 1, 15), 16, 10).cast("long"))
+
+
 def read_filings(
     spark: SparkSession,
     folder: str,
@@ -132,11 +138,17 @@ def read_filings(
     year: int | str = "all",
     schema: StructType | str | None = None,
 ) -> DataFrame | None:
-    """All files of the form types in one table with ``file``, ``form_type`` and ``year``."""
+    """All files of the form types in one table with ``file``, ``form_type``, ``year`` and the key ``idx``.
+
+    Files without a column ``idx`` get one from the file's name and the row's values, the same in every
+    run; equal rows of one file share it.
+    """
     globs = find_forms(spark, folder, form_types, tag, year)
     df = read_csv(spark, globs, schema=schema, with_file=True) if globs else None
     if df is None:
         return None
+    if "idx" not in df.columns:
+        df = with_row_key(df)
     wanted = file_parts(df.drop("form_type", "year", "tag"), "file")
     return wanted.where(F.col("form_type").isin(form_types))
 

@@ -127,6 +127,10 @@ def test_csv_sources(spark, tmp_path):
     got = sorted((r.cik, r.filtered_text, r.form_type, r.year) for r in df.collect())
     assert got == [("1", 'Café, a "b"\nline', "8-K", 2014), ("2", "Café “x”", "8-K", 2015)]
     assert SRC.read_filings(spark, str(folder), ["8-K"], year=2015).count() == 1
+    keys = {r.idx for r in df.collect()}
+    assert len(keys) == 2 and keys == {r.idx for r in SRC.read_filings(spark, str(folder), ["8-K"]).collect()}
+    sample, _ = sampling.sample_files(df, nmax=1)
+    assert sample.count() == 2
     both = SRC.merge_csv(spark, [f"{folder}/breach_8-K_2014.csv", f"{folder}/absent.csv", f"{folder}/breach_10-K_2014.csv"], str(tmp_path / "out.csv"))
     assert both.count() == 2 and SRC.read_csv(spark, str(tmp_path / "out.csv")).count() == 2
     assert SRC.read_csv(spark, f"{folder}/absent.csv") is None
