@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tellsift.catalog.registry import filings, labels, load, notices, query, r6
 from tellsift.catalog.sqltext import FILINGS, LABELS, annotated, cut, inlist, norm, q, replaced, score, seg, tagged, with_, words_of
 from tellsift.catalog.text_q import COUNTED, POSF, SCORE_WORDS, TX_words, keyword, sentiment_sql
-from tellsift.functions import text as TX, words as W
-from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, sentences as S, topics, vectorize as V
+from tellsift.functions import features as X, text as TX, words as W
+from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, sentences as S, stages, topics, vectorize as V
 from tellsift.plans import explore, predict, selftrain, training
 
 THRESHOLD = 0.3
@@ -399,6 +400,50 @@ def j6(spark, sf):
     return selftrain.unlabelled_rows(stub(spark, sf)).select("idx", "pos", "Incident", "pseudo_label")
 
 
+# ---- feature stages and scalers ----
+
+LENGTHS = (
+    "w AS (SELECT idx, pos, string_split(sents, ' ') AS l FROM seg)",
+    "m AS (SELECT idx, pos, CAST(length(array_to_string(l, '')) AS DOUBLE) AS c, len(l) AS n, len(list_distinct(l)) AS u FROM w)",
+    "f AS (SELECT idx, pos, ln(c + 1) AS char_count, c / n AS avg_word_length, ln(u + 1) AS unique_count, u / n AS unique_vs_words FROM m)",
+)
+
+
+def cut_rows(spark, sf):
+    return S.cut_filings(filings(spark, sf), "filtered_text").select("idx", "pos", "sents")
+
+
+@query(
+    "e23_length_stage",
+    with_(FILINGS, cut("filings"), *LENGTHS) + "SELECT idx, pos, " + ", ".join(f"round({c}, 6) AS {c}" for c in X.LENGTH_COLUMNS) + " FROM f",
+)
+def e23_length(spark, sf):
+    out = stages.LengthFeatures(inputCol="sents").transform(cut_rows(spark, sf))
+    return out.select("idx", "pos", *[r6(F.col(c), c) for c in X.LENGTH_COLUMNS])
+
+
+@query("e23_sentiment_stage", sentiment_sql("filings", FILINGS))
+def e23_sentiment(spark, sf):
+    out = stages.SentimentFeatures(inputCol="sents").transform(cut_rows(spark, sf))
+    return out.select("idx", "pos", *[r6(F.col(c), c) for c in X.SENTIMENT_COLUMNS])
+
+
+def scaler_query(name, scaler, spread):
+    scaled = ", ".join(f"round({c} / {spread.format(c)}, 4) AS {c}" for c in X.LENGTH_COLUMNS)
+
+    @query(name, with_(FILINGS, cut("filings"), *LENGTHS) + f"SELECT idx, pos, {scaled} FROM f")
+    def run(spark, sf):
+        lengths = stages.LengthFeatures(inputCol="sents").transform(cut_rows(spark, sf))
+        table = VectorAssembler(inputCols=list(X.LENGTH_COLUMNS), outputCol="lengths").transform(lengths).select("idx", "pos", "lengths")
+        out = stages.SCALERS[scaler]("lengths", "scaled").fit(table).transform(table)
+        values = training.vector_to_array("scaled")
+        return out.select("idx", "pos", *[F.round(values[i], 4).alias(c) for i, c in enumerate(X.LENGTH_COLUMNS)])
+
+
+scaler_query("f4_maxabs", "maxabs", "max(abs({})) OVER ()")
+scaler_query("f4_std", "std", "stddev_pop({}) OVER ()")
+
+
 # ---- models: rows only ----
 
 
