@@ -59,11 +59,10 @@ def _segments(vectors: DataFrame, anchors: int, segment: int) -> DataFrame:
     """Add _seg (within _dim) and _near, the nearest anchor; anchors are the vectors of smallest hash."""
     picked = vectors.withColumn("_h", F.xxhash64("_id", "_v"))
     sample = picked.groupBy("_dim", F.pmod("_h", F.lit(anchors)).alias("_slot")).agg(F.min_by("_v", "_h").alias("_v"))
-    held: dict[int, np.ndarray] = {}
-    dims = {r[0]: r[1] for r in vectors.groupBy("_dim").count().collect()}
-    for dim in dims:
-        rows = [r[0] for r in sample.where(F.col("_dim") == dim).orderBy("_slot").select("_v").collect()]
-        held[dim] = np.array(rows, dtype=np.float64).reshape(len(rows), dim)
+    picks: dict[int, list] = {}  # at most ``anchors`` vectors for each length
+    for row in sample.orderBy("_dim", "_slot").collect():
+        picks.setdefault(row["_dim"], []).append(row["_v"])
+    held = {dim: np.array(rows, dtype=np.float64).reshape(len(rows), dim) for dim, rows in picks.items()}
 
     def near(batches):
         for batch in batches:
