@@ -5,10 +5,13 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tellsift.catalog.registry import filings, labels, load, notices, query, r6
-from tellsift.catalog.sqltext import FILINGS, LABELS, annotated, cut, inlist, norm, q, replaced, score, seg, tagged, with_, words_of
+from tellsift.catalog.sqltext import (
+    FILINGS, LABELS, annotated, cut, distinct_cut, inlist, lang, norm, q, replaced, score, seg, tagged, valid, with_, words_of,
+)
 from tellsift.catalog.text_q import COUNTED, POSF, SCORE_WORDS, TX_words, keyword, sentiment_sql
 from tellsift.functions import features as X, text as TX, words as W
 from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, sentences as S, stages, topics, vectorize as V
@@ -580,3 +583,39 @@ def j11(spark, sf):
         (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.lit(0).alias("pos"), F.col("text").alias("sents")
     )
     return predict.predict_sentences(talk, model, 0.6).select("idx", "proba", "pred")
+
+
+class ShareModel:
+    """Stands in for a fitted model, so that all of scoring but the fit can be checked: probability is the share of keywords."""
+
+    def transform(self, df):
+        share = keyword("sents")
+        return df.withColumn("probability", array_to_vector(F.array(1 - share, share)))
+
+
+@query(
+    "j7_by_share",
+    with_(
+        FILINGS, distinct_cut("filings", "cutall"),
+        f"seg AS MATERIALIZED (SELECT c.* FROM cutall c JOIN filings n USING (idx) WHERE coalesce({lang('sents')}, {lang('filtered_text')}) = 'en')",
+        annotated(), valid(), f"scored AS (SELECT idx, pos, sents, {score('sents', SCORE_WORDS)} AS proba FROM seg JOIN ok USING (idx, pos))", recursive=True,
+    )
+    + """SELECT idx, string_agg(sents, chr(10) ORDER BY pos) AS Incident_sents, count(*) AS Incident_sents_num, round(avg(proba), 6) AS Incident_proba
+FROM scored WHERE proba > 0.3 GROUP BY idx""",
+)
+def j7_by_share(spark, sf):
+    out = predict.predict_filings(filings(spark, sf), ShareModel(), THRESHOLD, "Incident")
+    return out.select("idx", "Incident_sents", "Incident_sents_num", r6(F.col("Incident_proba"), "Incident_proba"))
+
+
+@query(
+    "j11_by_share",
+    "WITH RECURSIVE talk AS (SELECT conv_id * 1000 + turn AS idx, 0 AS pos, text AS sents FROM conversations), "
+    + f"seg AS MATERIALIZED (SELECT * FROM talk WHERE {lang('sents')} = 'en'), " + annotated() + ", " + tagged()
+    + f" SELECT idx, round({score('sents', SCORE_WORDS)}, 6) AS proba, CAST({score('sents', SCORE_WORDS)} > 0.3 AS INTEGER) AS pred FROM seg JOIN posf USING (idx, pos)",
+)
+def j11_by_share(spark, sf):
+    talk = load(spark, f"{sf}/conversations.parquet").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.lit(0).alias("pos"), F.col("text").alias("sents")
+    )
+    return predict.predict_sentences(talk, ShareModel(), THRESHOLD).select("idx", r6(F.col("proba"), "proba"), "pred")
