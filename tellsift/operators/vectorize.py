@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tellsift.operators.common import computed
 
 
 def term_counts(df: DataFrame, key: str, grams: Column) -> DataFrame:
-    """Occurrences ``tf`` of every term in every row."""
-    return (
-        df.select(key, F.explode(grams).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
+    """Occurrences ``tf`` of every term in every row.
+
+    A row's terms are sorted and counted inside the row, by the places where a new term begins, so nothing
+    is shuffled.
+    """
+    terms = computed(df.select(key, *[c for c in df.columns if c != key]), _terms=F.sort_array(grams)).select(key, "_terms")
+    places = F.when(F.size("_terms") > 0, F.sequence(F.lit(0), F.size("_terms") - 1)).otherwise(F.array().cast("array<int>"))
+    new = F.filter(places, lambda i: (i == 0) | (F.get("_terms", i) != F.get("_terms", i - 1)))
+    runs = computed(terms, _from=new)
+    tf = F.transform(
+        F.col("_from"),
+        lambda at, i: F.struct(
+            F.get("_terms", at).alias("term"),
+            (F.coalesce(F.get("_from", i + 1), F.size("_terms")) - at).cast("long").alias("tf"),
+        ),
     )
+    return runs.select(key, F.inline(tf))
 
 
 def vocabulary(
