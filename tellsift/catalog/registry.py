@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.sources.tables import load
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,6 +22,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A table for a registered query.
+
+    The tables that come with the queries are files of a single row group, which one task reads; their rows
+    are dealt to all cores once. The library's own readers never do this.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def r6(column, name: str):
     return F.round(column, 6).alias(name)
 

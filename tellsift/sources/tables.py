@@ -12,16 +12,6 @@ from pyspark.sql.types import StructType
 FILE_NAME = r"([^/]*?)_([0-9A-Za-z\-]+)_(\d{4})\.csv$"
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; a scan with fewer splits than cores is spread over them.
-
-    Large tables have many splits and are left as they are.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of the given files or folders that exist, on whatever file system they are."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
