@@ -13,6 +13,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,33 @@ from pyspark.sql import DataFrame, functions as F
 from tellsift.llm.common import cut_lineage
 
 PART_ITEMS = 20_000
-CACHE_WORDS = 1_000_000
-SLICE_BYTES = 6 << 20
+CACHE_WORDS, CACHE_BYTES = 1_000_000, 64 << 20
+SLICE_BYTES = 4 << 20
 ROUNDS = 4
 
 _tokenizers: dict[str, object] = {}
-_known_words: dict[str, dict[str, bytes]] = {}
+_remembered: dict[str, "_Words"] = {}
+
+
+@dataclass
+class _Words:
+    """Words and their ids, as arrays: some tens of bytes a word."""
+
+    words: pa.Array
+    sizes: np.ndarray
+    ids: np.ndarray
+
+    def joined(self, other: "_Words") -> "_Words":
+        return _Words(
+            pa.concat_arrays([self.words, other.words]), np.concatenate([self.sizes, other.sizes]), np.concatenate([self.ids, other.ids])
+        )
+
+
+def _encoded(words: pa.Array, path: str) -> _Words:
+    found = _tokenizer(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+    parts = [array("I", x.ids).tobytes() for x in found]
+    sizes = np.array([len(x) >> 2 for x in parts], dtype=np.int64)
+    return _Words(words, sizes, np.frombuffer(b"".join(parts), dtype="<u4"))
 
 
 def _tokenizer(path: str):
@@ -54,24 +76,24 @@ def token_ids(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.n
     """(ids of all rows, rows' lengths), each row closed by ``end_id``.
 
     The tokenizer drops white space before it merges, so a text's ids are those of its words in turn.
-    Each distinct word of a slice is looked up once. A worker remembers the first ``CACHE_WORDS`` words it
+    Each distinct word of a slice is looked up once. A worker remembers about the first ``CACHE_WORDS`` words it
     met, for all its tasks; this spares repeated work and changes no result.
     """
-    cache = _known_words.setdefault(path, {})
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     if isinstance(lists, pa.ChunkedArray):
         lists = lists.combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    known, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-    missing = [w for w in known if w not in cache]
-    found = _tokenizer(path).encode_batch_fast(missing, add_special_tokens=False)
-    fresh = {w: array("I", x.ids).tobytes() for w, x in zip(missing, found)}
-    parts = [cache.get(w) or fresh.get(w, b"") for w in known]
-    if len(cache) < CACHE_WORDS:
-        cache.update(fresh)
-    sizes = np.array([len(p) >> 2 for p in parts], dtype=np.int64)
-    pool = np.frombuffer(b"".join(parts), dtype="<u4")
-    firsts = np.cumsum(sizes) - sizes
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    cache = _remembered.get(path) or _Words(words.slice(0, 0), np.zeros(0, np.int64), np.zeros(0, "<u4"))
+    place = pc.index_in(words, value_set=cache.words)
+    new = place.is_null().to_numpy(zero_copy_only=False)
+    known = cache.joined(_encoded(words.filter(pa.array(new)), path))
+    if len(cache.words) < CACHE_WORDS and known.words.nbytes < CACHE_BYTES:
+        _remembered[path] = known
+    place = pc.fill_null(place, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    place[new] = len(cache.words) + np.arange(new.sum())
+    sizes, pool = known.sizes[place], known.ids
+    firsts = (np.cumsum(known.sizes) - known.sizes)[place]
     n_ids = sizes[codes]
     upto = np.concatenate([[0], np.cumsum(n_ids)])
     ids = pool[np.repeat(firsts[codes] - upto[:-1], n_ids) + np.arange(upto[-1])]
