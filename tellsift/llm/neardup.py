@@ -272,16 +272,14 @@ def near_duplicates(
     keyed = narrow.where(F.col("_id").isNotNull() & (F.col("n_shingles") > 0))
     same = ["_one", "_two", "n_shingles"]
     classes = cut_lineage(keyed.groupBy(*same).agg(F.min("_row").alias("_node"), F.count("*").alias("_copies")))
-    spread = keyed.join(classes.select(F.col("_node").alias("_row")), "_row", "left_semi").select(
-        "_id", *same, F.col("_row").alias("_node"), F.explode("_bands").alias("_key")
-    )
+    firsts = keyed.join(classes.select(F.col("_node").alias("_row")), "_row", "left_semi").withColumnRenamed("_row", "_node")
+    spread = firsts.select("_node", F.explode("_bands").alias("_key"))
     full = spread.groupBy("_key").agg(F.count("*").alias("_n"), F.min("_node").alias("_pivot")).where("_n > 1")
     members = cut_lineage(spread.join(full.select("_key", "_pivot"), "_key"))
-    wanted = cut_lineage(members.select("_node", "_id", *same).distinct())
+    wanted = cut_lineage(firsts.select("_node", "_id", *same).join(members.select("_node").distinct(), "_node"))
     texts = df.select(F.col(key).cast("long").alias("_id"), text).join(wanted.select("_id"), "_id", "left_semi")
     sets = _sets(texts, text).join(wanted, ["_id", *same]).select("_node", "_sign", "_set")
     sets = cut_lineage(sets.dropDuplicates(["_node"]))
-    members = members.select("_key", "_node", "_pivot")
 
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = cut_lineage(members.where("_node != _pivot").select(*ordered("_node", "_pivot")).distinct())
