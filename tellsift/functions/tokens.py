@@ -26,6 +26,7 @@ ADDRESS_SIGN = r"@|://|[Ww]\.|\.(?:com|org|net|edu|gov)"
 SPLIT_CLITIC = r"(\p{L})(['’][sS]\b|n['’]t\b)"
 RESERVED = "\x01\x02\x03\x1d"
 ALPHA = r"^\p{L}+$"
+# Fixed value: what counts as the text of a list marker.
 ITEM = r"^(?:(\w)\1{2,}|[a-zA-Z]|[ivx]+|\d)$"
 HIT = "\x01"
 BLOCK = 10
