@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tellsift.llm.common import cut_lineage, whole_row
@@ -68,17 +69,21 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((good + 1) / (good.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def log_weights(df: DataFrame, ratios: np.ndarray, keep: tuple[str, ...], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and log_weight; 0 for null, empty and blank texts."""
+def log_weights(df: DataFrame, ratios: np.ndarray, keep: tuple[str, ...], text: str = "text", inside: str | None = None) -> DataFrame:
+    """The columns ``keep`` and log_weight; 0 for null, empty and blank texts.
+
+    ``text`` is a column of its own, or a field of the kept struct ``inside``, so that it travels once.
+    """
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("log_weight", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
-            for first, counts, grams in gram_groups(batch.column(len(keep))):
+            texts = batch.column(len(keep)) if inside is None else pc.struct_field(batch.column(keep.index(inside)), text)
+            for first, counts, grams in gram_groups(texts):
                 columns = [batch.column(i).slice(first, len(counts)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(sums(ratios[grams], counts))], [*keep, "log_weight"])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return df.select(*keep, *([] if inside else [text])).mapInArrow(run, schema)
 
 
 def gumbel(key: Column, seed: int = SEED) -> Column:
@@ -150,7 +155,7 @@ def resample(
     narrow = cut_lineage(log_weights(known, ratios, ("_id", "_learn"), "_text").withColumn("gumbel_key", noisy))
     labelled, good = narrow.where("_learn").join(marks, F.col("_id") == F.col("_key")).agg(F.count("*"), F.count_if("_good")).first()
     least = kth_largest(narrow, "gumbel_key", expected_good(good, labelled, narrow.count()))
-    weighed = log_weights(known, ratios, ("_id", "row"), "_text").withColumn("gumbel_key", noisy) if with_rows else narrow
+    weighed = log_weights(known, ratios, ("_id", "row"), text, inside="row").withColumn("gumbel_key", noisy) if with_rows else narrow
     return weighed.select(
         F.col("_id").alias(key), "log_weight", "gumbel_key",
         (F.col("gumbel_key") >= F.lit(least if least is not None else 0.0)).alias("sampled"),
