@@ -1,25 +1,28 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 A count c is held at level 1 + floor(log_b(c / least)); an n-gram is put into the filter once per level
-up to its own, so probing levels in turn until one misses gives the count back. The filter has a
-fixed number of bits, whatever the corpus. All words and all pairs of the training rows are counted;
-pairs met once are left to the smoothing, and so are the least frequent words, pairs and first words
-of pairs that would fill the filter beyond ``FILL``.
+up to its own, so probing levels in turn until one misses gives the count back. The filter is as large as
+the counted n-grams need: every word, every pair met twice and every first word of such a pair is held, at
+a fixed share of bits set. Its segments have a fixed size and are rows of a written table; they are never
+brought together in one place. To score, each run of rows asks every segment once for its distinct words and pairs.
 
 The model: P(w | v) = (c(v, w) + (u(v) + 1) P(w)) / (h(v) + u(v) + 1 + e), with h(v) the sum of the counts
 held for pairs that begin with v, u(v) what is missing to c(v), and e the count that false positives are
 expected to add over all w. P(w) = (c(w) + 0.5) / Z. Counts are those the filter gives, pairs' rounded down
-and h(v) up, so that probabilities don't sum to more than 1. Where e isn't small against h(v), and for a
-v without pairs, the model is P(w).
+and h(v) up, so that probabilities don't sum to more than 1. For a v without pairs the model is P(w). The more
+words there are, the more bits an entry's first level has, so that e stays under ``FALSE_MASS``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tellsift.llm.common import cut_lineage, written
@@ -27,14 +30,17 @@ from tellsift.llm.hashing import mix, sums, word_groups
 
 END = np.uint64(0x5851F42D4C957F2D)
 BASE = 1.3
-FILTER_BITS = 28
-SEGMENT_BITS = 6
+#: log2 of a segment's bits.
+SEGMENT_BITS = 24
+#: Bits set by all entries, as a share of the filter's bits; with those set twice, FULL of the bits are set.
+FILL, FULL = 0.28, 0.25
 FIRST_PROBES, PROBES = 14, 4
-#: Bits set for words, pairs and first words of pairs, as shares of all bits.
-FILL = {"word": 0.2, "pair": 0.25, "first": 0.15}
-#: A first word is used if false positives add less than this share of its pairs' counts.
-FALSE_SHARE = 0.1
+#: The most that false positives are expected to add to the counts of a first word's pairs.
+FALSE_MASS = 0.01
+#: Distinct sizes of words' counts looked at to choose the head words.
 COUNTED = 100_000
+#: Tokens whose requests a task holds for a segment at a time, about.
+ASKED_TOKENS = 1 << 23
 HEAD_WORDS = 1 << 19
 BUCKET_PAIRS = 1 << 21
 MERGE_AT = 1 << 20
@@ -162,102 +168,107 @@ def count_of(levels: np.ndarray, least: int, place: float) -> np.ndarray:
     return np.where(levels > 0, low + place * (high - low), 0.0)
 
 
-def probes_at(at_level: int) -> int:
-    return FIRST_PROBES if at_level == 1 else PROBES
+def first_probes(words: int) -> int:
+    """Bits of an entry's first level that keep the expected false mass of ``words`` words under ``FALSE_MASS``."""
+    return max(FIRST_PROBES, ceil(log(max(1, words) * LEAST["pair"] / FALSE_MASS) / -log(FULL)))
 
 
-def entry_bits(levels):
+def entry_bits(levels, first: int):
     """Bits that an n-gram of so many levels sets; for numbers, arrays and columns."""
-    return (levels - 1) * PROBES + FIRST_PROBES
+    return (levels - 1) * PROBES + first
 
 
-def least_that_fits(counts: DataFrame, least: int, bits: float) -> int:
-    """The smallest count, not under ``least``, from which on all rows of (n) fit into ``bits``."""
-    rows = counts.where(F.col("n") >= least).groupBy(F.least("n", F.lit(COUNTED)).alias("c")).agg(
-        F.sum(entry_bits(level(F.col("n"), least))).alias("bits")
-    )
-    used, fits = 0, COUNTED + 1
-    for row in rows.orderBy(F.desc("c")).toLocalIterator():
-        used += row["bits"]
-        if used > bits:
-            break
-        fits = row["c"]
-    return fits
+def bits_set(counts: DataFrame, column: str, least: int, first: int) -> int:
+    return counts.agg(F.coalesce(F.sum(entry_bits(level(F.col(column), least), first)), F.lit(0))).first()[0]
 
 
-@dataclass
-class LogFrequencyFilter:
-    """Bits in segments; an entry lies in one segment, so that segments are filled apart."""
+def places(key: np.ndarray, at_level: int, probe: int, segment_bits: int) -> np.ndarray:
+    size = np.uint64((1 << segment_bits) - 1)
+    step = mix(key + np.uint64((at_level * 0xD1342543DE82EF95) & ((1 << 64) - 1)))
+    return (step + np.uint64(probe) * ((step >> np.uint64(32)) | np.uint64(1))) & size
 
-    bits: np.ndarray  # bytes of all segments
-    filter_bits: int = FILTER_BITS
 
-    @staticmethod
-    def segment(key: np.ndarray) -> np.ndarray:
-        return mix(key) >> np.uint64(64 - SEGMENT_BITS)
+def segment_of(spot: np.ndarray, segments: int) -> np.ndarray:
+    """An entry's segment: a pair's by its key, a word's and its pairs' sums by half of the word."""
+    return (mix(spot) % np.uint64(segments)).astype(np.int32)
 
-    @staticmethod
-    def places(key: np.ndarray, at_level: int, probe: int, filter_bits: int) -> np.ndarray:
-        size = np.uint64((1 << (filter_bits - SEGMENT_BITS)) - 1)
-        step = mix(key + np.uint64((at_level * 0xD1342543DE82EF95) & ((1 << 64) - 1)))
-        return (step + np.uint64(probe) * ((step >> np.uint64(32)) | np.uint64(1))) & size
-
-    def levels(self, key: np.ndarray, most: int = 200) -> np.ndarray:
-        found = np.zeros(len(key), dtype=np.int64)
-        live = np.arange(len(key))
-        offset = self.segment(key) << np.uint64(self.filter_bits - SEGMENT_BITS)
-        for at_level in range(1, most):
-            rows = live
-            for probe in range(probes_at(at_level)):
-                if not len(rows):
-                    break
-                place = self.places(key[rows], at_level, probe, self.filter_bits) + offset[rows]
-                rows = rows[(self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+
+def levels_in(bits: np.ndarray, key: np.ndarray, first: int, segment_bits: int, offset=None, most: int = 200) -> np.ndarray:
+    """Levels of keys in a segment's ``bits``; ``offset``: where each key's segment begins, if there are several."""
+    found = np.zeros(len(key), dtype=np.uint8)
+    live = np.arange(len(key))
+    for at_level in range(1, most):
+        rows = live
+        for probe in range(first if at_level == 1 else PROBES):
             if not len(rows):
                 break
-            found[rows] = at_level
-            live = rows
-        return found
+            place = places(key[rows], at_level, probe, segment_bits)
+            place = place if offset is None else place + offset[rows]
+            rows = rows[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        if not len(rows):
+            break
+        found[rows] = at_level
+        live = rows
+    return found
+
+
+@dataclass
+class LogFrequencyFilter:
+    """All segments at one place; for looking into small models."""
+
+    bits: np.ndarray
+    segments: int
+    segment_bits: int
+    first: int
+
+    def levels(self, key: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        offset = segment_of(spot, self.segments).astype(np.uint64) << np.uint64(self.segment_bits)
+        return levels_in(self.bits, key, self.first, self.segment_bits, offset)
 
 
 @dataclass
 class Model:
-    filter: LogFrequencyFilter
+    table: DataFrame  # written: segment, bits, ones; a segment without entries has no row
+    segments: int
+    segment_bits: int
+    first: int  # bits of an entry's first level
     norm: float
     tokens: int
     distinct: int
     false_mass: float  # count that false positives are expected to add to a first word's pairs
     head_words: np.ndarray  # sorted hashes of the most frequent words, at most HEAD_WORDS
     head_counts: np.ndarray
-    probed: np.ndarray | None = None
+
+    @cached_property
+    def filter(self) -> LogFrequencyFilter:
+        out = np.zeros((self.segments, 1 << self.segment_bits >> 3), dtype=np.uint8)
+        for row in self.table.toLocalIterator():
+            out[row["segment"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+        return LogFrequencyFilter(out.ravel(), self.segments, self.segment_bits, self.first)
 
 
-def _filled(entries: DataFrame, filter_bits: int) -> np.ndarray:
-    """The filter of (key, level) rows, one segment per group; the driver gets the fixed number of bits."""
-    size = 1 << (filter_bits - SEGMENT_BITS)
+def _filled(entries: DataFrame, segments: int, segment_bits: int, first: int) -> DataFrame:
+    """The filter of (key, level, spot) rows as a written table, one segment to a row."""
 
     def fill(table: pa.Table) -> pa.Table:
         key, levels = table["key"].to_numpy().view(np.uint64), table["level"].to_numpy()
-        bits = np.zeros(size, dtype=bool)
+        bits = np.zeros(1 << segment_bits, dtype=bool)
         for at_level in range(1, int(levels.max()) + 1):
             key, levels = key[levels >= at_level], levels[levels >= at_level]
-            for probe in range(probes_at(at_level)):
-                bits[LogFrequencyFilter.places(key, at_level, probe, filter_bits).astype(np.int64)] = True
+            for probe in range(first if at_level == 1 else PROBES):
+                bits[places(key, at_level, probe, segment_bits).astype(np.int64)] = True
         part = np.packbits(bits, bitorder="little").tobytes()
-        return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([part], pa.binary())})
+        return pa.table({
+            "segment": table["segment"].slice(0, 1), "bits": pa.array([part], pa.binary()), "ones": pa.array([int(bits.sum())], pa.int64()),
+        })
 
-    def segments(batches):
+    def dealt(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy().view(np.uint64)
-            segment = LogFrequencyFilter.segment(key).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment)], ["key", "level", "segment"])
+            segment = segment_of(batch.column(2).to_numpy().view(np.uint64), segments)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(segment)], ["key", "level", "segment"])
 
-    dealt = entries.mapInArrow(segments, "key long, level int, segment int")
-    out = np.zeros((1 << SEGMENT_BITS, size >> 3), dtype=np.uint8)
-    filled = written(dealt.groupBy("segment").applyInArrow(fill, "segment int, bits binary"))
-    for row in filled.toLocalIterator():
-        out[row["segment"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out.ravel()
+    rows = entries.mapInArrow(dealt, "key long, level int, segment int")
+    return written(rows.groupBy("segment").applyInArrow(fill, "segment int, bits binary, ones long"))
 
 
 def _blocks(words: DataFrame) -> DataFrame:
@@ -272,38 +283,41 @@ def _blocks(words: DataFrame) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "words binary, counts binary")
 
 
-def _key(name: str, tag: np.uint64, kind: str = "long"):
-    """Expression for a filter key: the value, marked with what it counts."""
+def _entry(name: str, tag: np.uint64, count: str, least: str, spot) -> list:
+    """An entry's key, the value marked with what it counts, its level and what its segment follows."""
     signed = int(np.array(tag).view(np.int64))
-    return F.col(name).bitwiseXOR(F.lit(signed)).cast("long").alias("key")
+    return [F.col(name).bitwiseXOR(F.lit(signed)).cast("long").alias("key"), level(F.col(count), LEAST[least]).alias("level"), spot.alias("spot")]
 
 
-def train(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -> tuple[Model, DataFrame]:
-    """Count all words and pairs of ``df`` and build the filter; also returns the table of word counts."""
+def train(df: DataFrame, text: str = "text", filter_bits: int = 0) -> tuple[Model, DataFrame]:
+    """Count all words and pairs of ``df`` and build the filter; also returns the table of word counts.
+
+    The filter has as many segments as its entries need, and 2 ** ``filter_bits`` bits at least.
+    """
     words = cut_lineage(word_counts(df, text))
-    tokens, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tokens, distinct, candidates = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") >= 2)).first()
     pairs = cut_lineage(pair_counts(df, text, tokens, LEAST["pair"]))
-    total = float(1 << filter_bits)
-    least_word = least_that_fits(words, LEAST["word"], FILL["word"] * total)
-    least_pair = least_that_fits(pairs, LEAST["pair"], FILL["pair"] * total)
-    sure, kept = words.where(F.col("n") >= least_word), pairs.where(F.col("n") >= least_pair)
     half = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    held = kept.groupBy(F.shiftrightunsigned("pair", 32).alias("half")).agg(F.sum("n").alias("held"))
+    held = pairs.groupBy(F.shiftrightunsigned("pair", 32).alias("half")).agg(F.sum("n").alias("held"))
     totals = words.select(half("word").alias("half"), "n").groupBy("half").agg(F.sum("n").alias("n"))
     firsts = held.join(totals, "half").withColumn("rest", F.greatest(F.col("n") - F.col("held"), F.lit(0)))
     firsts = cut_lineage(firsts)
-    least_first = least_that_fits(firsts.select(F.col("held").alias("n")), LEAST["held"], FILL["first"] * total / 2)
-    firsts = firsts.where(F.col("held") >= least_first)
+    rests = firsts.where("rest > 0")
+    first, segment_bits = first_probes(candidates), SEGMENT_BITS
+    needed = sum(
+        bits_set(table, column, LEAST[least], first)
+        for table, column, least in ((words, "n", "word"), (pairs, "n", "pair"), (firsts, "held", "held"), (rests, "rest", "rest"))
+    )
+    segments = max(1, ceil(max(needed / FILL, 1 << filter_bits) / (1 << segment_bits)))
     entries = (
-        sure.select(_key("word", WORD), level(F.col("n"), LEAST["word"]).alias("level"))
-        .unionAll(kept.select(_key("pair", PAIR), level(F.col("n"), LEAST["pair"])))
-        .unionAll(firsts.select(_key("half", HELD), level(F.col("held"), LEAST["held"])))
-        .unionAll(firsts.where("rest > 0").select(_key("half", REST), level(F.col("rest"), LEAST["rest"])))
+        words.select(*_entry("word", WORD, "n", "word", half("word")))
+        .unionAll(pairs.select(*_entry("pair", PAIR, "n", "pair", F.col("pair"))))
+        .unionAll(firsts.select(*_entry("half", HELD, "held", "held", F.col("half"))))
+        .unionAll(rests.select(*_entry("half", REST, "rest", "rest", F.col("half"))))
     )
-    bits = _filled(entries, filter_bits)
-    full = sum(int(np.bitwise_count(bits[at : at + (1 << 20)]).sum()) for at in range(0, len(bits), 1 << 20)) / total
-    candidates = sure.where("n >= 2").count()
-    by_level = sure.groupBy(level(F.col("n"), LEAST["word"]).alias("level")).count().collect()
+    table = _filled(entries, segments, segment_bits, first)
+    full = table.agg(F.coalesce(F.sum("ones"), F.lit(0))).first()[0] / (segments << segment_bits)
+    by_level = words.groupBy(level(F.col("n"), LEAST["word"]).alias("level")).count().collect()
     norm = 0.5 * (distinct + 1) + sum(
         r["count"] * float(count_of(np.array([r["level"]]), LEAST["word"], 0.5)[0]) for r in by_level
     )
@@ -321,47 +335,131 @@ def train(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) ->
         at += len(part)
     order = np.argsort(head_words)
     model = Model(
-        LogFrequencyFilter(bits, filter_bits), norm, int(tokens), int(distinct),
-        full**FIRST_PROBES * candidates * LEAST["pair"],
+        table, segments, segment_bits, first, norm, int(tokens), int(distinct),
+        full**first * candidates * LEAST["pair"],
         head_words[order], head_counts[order],
     )
     return model, words.where(F.col("n") < least_head)
 
 
-def _probed(model: Model, words: np.ndarray) -> np.ndarray:
-    """Rows c(w), h(w), u(w) as the filter gives them; h and u are 0 where h is too small to be used."""
-    out = np.zeros((3, len(words)))
-    out[0] = count_of(model.filter.levels(words ^ WORD), LEAST["word"], 0.5)
-    halves = words & _LOW
-    some = np.flatnonzero(out[0] >= 2)
-    held = count_of(model.filter.levels(halves[some] ^ HELD), LEAST["held"], 1.0)
-    some, held = some[held * FALSE_SHARE >= model.false_mass], held[held * FALSE_SHARE >= model.false_mass]
-    out[1, some] = held
-    some = some[held > 0]
-    out[2, some] = count_of(model.filter.levels(halves[some] ^ REST), LEAST["rest"], 0.5)
-    return out
+def _log10(norm: float, false_mass: float, levels: np.ndarray, pair: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """log10 P of each token: ``levels`` has rows for c, h and u of the distinct words, ``pair`` one for each token."""
+    c = count_of(levels[0], LEAST["word"], 0.5)
+    held = np.where(c >= 2, count_of(levels[1], LEAST["held"], 1.0), 0.0)
+    rest = np.where(held > 0, count_of(levels[2], LEAST["rest"], 0.5), 0.0)
+    single = (c + 0.5) / norm
+    h, u, p = held[before], rest[before], single[at]
+    both = np.where((h > 0) & (c[at] >= 2), count_of(pair, LEAST["pair"], 0.0), 0.0)
+    smooth = (np.minimum(both, h) + (u + 1) * p) / (h + u + 1 + false_mass)
+    return np.log10(np.where(h > 0, smooth, p))
 
 
 def model_log10(model: Model, uniques: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """log10 P of each token; ``at`` and ``before`` are places in ``uniques``.
+    """log10 P of each token; ``at`` and ``before`` are places in ``uniques``. Reads the whole filter; ``score`` doesn't."""
+    halves = uniques & _LOW
+    levels = np.stack([model.filter.levels(keys, halves) for keys in (uniques ^ WORD, halves ^ HELD, halves ^ REST)])
+    pairs = pair_keys(uniques[before], uniques[at])
+    return _log10(model.norm, model.false_mass, levels, model.filter.levels(pairs ^ PAIR, pairs), at, before)
+
+
+class _Run:
+    """Consecutive rows: their tokens, and the distinct words and pairs in order of their segments."""
+
+    def __init__(self, texts: pa.Array, segments: int):
+        groups = list(token_groups(texts))
+        self.counts = np.concatenate([g[1] for g in groups])
+        self.tokens = np.concatenate([g[2] for g in groups])
+        words, at = np.unique(np.append(self.tokens, END), return_inverse=True)
+        self.words, self.at, self.word_ends = self._dealt(words, at, words & _LOW, segments)
+        self.at, end = self.at[:-1], self.at[-1]
+        self.before = np.concatenate([[end], self.at[:-1]])
+        pairs, of = np.unique(pair_keys(self.words[self.before], self.tokens), return_inverse=True)
+        self.pairs, self.pair_at, self.pair_ends = self._dealt(pairs, of, pairs, segments)
 
-    The most frequent words are probed once per worker and remembered.
-    """
-    if model.probed is None:
-        model.probed = _probed(model, model.head_words)
-    place = np.minimum(np.searchsorted(model.head_words, uniques), max(0, len(model.head_words) - 1))
-    known = model.head_words[place] == uniques if len(model.head_words) else np.zeros(len(uniques), bool)
-    found = np.zeros((3, len(uniques)))
-    found[:, known] = model.probed[:, place[known]]
-    found[:, ~known] = _probed(model, uniques[~known])
-    c, held, rest = found
-    single = (c + 0.5) / model.norm
-    ask = np.flatnonzero((held[before] > 0) & (c[at] >= 2))
-    pair = np.zeros(len(at))
-    pair[ask] = count_of(model.filter.levels(pair_keys(uniques[before[ask]], uniques[at[ask]]) ^ PAIR), LEAST["pair"], 0.0)
-    h, u, p = held[before], rest[before], single[at]
-    smooth = (np.minimum(pair, h) + (u + 1) * p) / (h + u + 1 + model.false_mass)
-    return np.log10(np.where(h > 0, smooth, p))
+    @staticmethod
+    def _dealt(keys, at, spots, segments):
+        segment = segment_of(spots, segments)
+        order = np.argsort(segment, kind="stable")
+        place = np.empty(len(keys), dtype=np.int64)
+        place[order] = np.arange(len(keys))
+        return keys[order], place[at], np.searchsorted(segment[order], np.arange(segments + 1))
+
+
+def _runs(chunks: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.concatenate([[0], np.flatnonzero(chunks[1:] != chunks[:-1]) + 1, [len(chunks)]])
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist()) if len(chunks) else ()
+
+
+def _chunked(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
+    """Written rows (_chunk, _place, _tokens, keep, text); a chunk has about a megabyte of text of one task."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join(["_chunk long, _place long, _tokens long", *[f"`{c}` {kinds[c]}" for c in keep], "_text string"])
+
+    def run(batches):
+        chunk = place = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for first, counts, _, _ in token_groups(batch.column(len(keep))):
+                rows = len(counts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(rows, chunk, dtype=np.int64)), pa.array(np.arange(place, place + rows, dtype=np.int64)),
+                        pa.array(counts.astype(np.int64)), *[c.slice(first, rows) for c in batch.columns],
+                    ],
+                    ["_chunk", "_place", "_tokens", *keep, "_text"],
+                )
+                chunk, place = chunk + 1, place + rows
+
+    return written(df.select(*keep, text).mapInArrow(run, schema))
+
+
+def _answers(rows: DataFrame, model: Model) -> DataFrame:
+    """(_chunk, _first, segment, words, pairs): levels of the run's distinct words (c, h, u) and pairs in a segment."""
+    segments, segment_bits, first = model.segments, model.segment_bits, model.first
+    tokens = rows.agg(F.coalesce(F.sum("_tokens"), F.lit(0))).first()[0]
+    parts = max(1, -(-tokens // (segments * ASKED_TOKENS)))
+
+    def ask(batches):
+        for batch in batches:
+            chunks, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi in _runs(chunks):
+                run = _Run(batch.column(2).slice(lo, hi - lo), segments)
+                w, p = run.word_ends, run.pair_ends
+                asked = [s for s in range(segments) if w[s + 1] > w[s] or p[s + 1] > p[s]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(asked), chunks[lo])), pa.array(np.full(len(asked), at[lo])), pa.array(asked, pa.int32()),
+                        pa.array(np.full(len(asked), int(chunks[lo]) % parts, dtype=np.int32)),
+                        pa.array([run.words[w[s] : w[s + 1]].tobytes() for s in asked], pa.binary()),
+                        pa.array([run.pairs[p[s] : p[s + 1]].tobytes() for s in asked], pa.binary()),
+                    ],
+                    ["_chunk", "_first", "segment", "_part", "words", "pairs"],
+                )
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        bits = np.frombuffer(held["bits"][0].as_py(), dtype=np.uint8) if held.num_rows else np.zeros(1 << segment_bits >> 3, dtype=np.uint8)
+        out = ([], [])
+        for batch in asked.select(["words", "pairs"]).to_batches(max_chunksize=256):
+            for name, into in (("words", out[0]), ("pairs", out[1])):
+                given = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(name).to_pylist()]
+                keys, ends = np.concatenate(given), np.cumsum([len(x) for x in given])[:-1]
+                sought = (keys ^ PAIR,) if name == "pairs" else (keys ^ WORD, (keys & _LOW) ^ HELD, (keys & _LOW) ^ REST)
+                found = np.stack([levels_in(bits, k, first, segment_bits) for k in sought])
+                into += [part.tobytes() for part in np.split(found, ends, axis=1)]
+        return pa.table({
+            "_chunk": asked["_chunk"], "_first": asked["_first"], "segment": asked["segment"],
+            "words": pa.array(out[0], pa.binary()), "pairs": pa.array(out[1], pa.binary()),
+        })
+
+    asked = rows.select("_chunk", "_place", "_text").mapInArrow(ask, "_chunk long, _first long, segment int, _part int, words binary, pairs binary")
+    held = model.table.select("segment", "bits").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["segment", "_part"]
+
+    def met(one: pa.Table, other: pa.Table) -> pa.Table:
+        if one.num_rows:
+            return answer(one, other)
+        return pa.table({n: pa.array([], t) for n, t in (("_chunk", pa.int64()), ("_first", pa.int64()), ("segment", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()))})
+
+    return asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(met, "_chunk long, _first long, segment int, words binary, pairs binary")
 
 
 def score(df: DataFrame, model: Model, tail: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -373,32 +471,45 @@ def score(df: DataFrame, model: Model, tail: DataFrame, keep: tuple[str, ...] =
     """
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_tokens long, _known long, _base double, score double, _tail array<long>"])
-    shared = df.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            for first, counts, tokens, before in token_groups(batch.column(len(keep))):
-                uniques, at = np.unique(np.append(tokens, END), return_inverse=True)
-                end, at = at[-1], at[:-1]
-                previous = np.concatenate([[end], at[:-1]])
-                place = np.minimum(np.searchsorted(model.head_words, uniques), max(0, len(model.head_words) - 1))
-                known = model.head_words[place] == uniques if len(model.head_words) else np.zeros(len(uniques), bool)
-                exact = np.where(known, model.head_counts[place], 0) if len(model.head_words) else np.zeros(len(uniques))
-                logs = np.where(known, np.log10(exact + 0.5), 0.0)
-                n_known = sums(known[at].astype(np.int64), counts)
-                rare = ~known[at]
-                n_rare = sums(rare.astype(np.int64), counts)
-                offsets = np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32)
-                columns = [
-                    *[batch.column(i).slice(first, len(counts)) for i in range(len(keep))],
-                    pa.array(counts.astype(np.int64)), pa.array(n_known), pa.array(sums(logs[at], counts)),
-                    pa.array(sums(model_log10(model, uniques, at, previous), counts)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens[rare].view(np.int64))),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "_known", "_base", "score", "_tail"])
-
-    scored = cut_lineage(df.select(*keep, text).mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
+    names = [*keep, "n_tokens", "_known", "_base", "score", "_tail"]
+    norm_, false_mass, segments = model.norm, model.false_mass, model.segments
+    shared = df.sparkSession.sparkContext.broadcast((model.head_words, model.head_counts))
+
+    def scores(texts: pa.Array, answers: pa.Table) -> list:
+        head_words, head_counts = shared.value
+        run = _Run(texts, segments)
+        levels, pair = np.zeros((3, len(run.words)), dtype=np.uint8), np.zeros(len(run.pairs), dtype=np.uint8)
+        for s, words, pairs in zip(*(answers[c].to_pylist() for c in ("segment", "words", "pairs"))):
+            levels[:, run.word_ends[s] : run.word_ends[s + 1]] = np.frombuffer(words, dtype=np.uint8).reshape(3, -1)
+            pair[run.pair_ends[s] : run.pair_ends[s + 1]] = np.frombuffer(pairs, dtype=np.uint8)
+        place = np.minimum(np.searchsorted(head_words, run.words), max(0, len(head_words) - 1))
+        known = head_words[place] == run.words if len(head_words) else np.zeros(len(run.words), bool)
+        exact = np.where(known, head_counts[place], 0) if len(head_words) else np.zeros(len(run.words))
+        logs = np.where(known, np.log10(exact + 0.5), 0.0)
+        rare = ~known[run.at]
+        offsets = np.concatenate([[0], np.cumsum(sums(rare.astype(np.int64), run.counts))]).astype(np.int32)
+        return [
+            pa.array(run.counts.astype(np.int64)), pa.array(sums(known[run.at].astype(np.int64), run.counts)), pa.array(sums(logs[run.at], run.counts)),
+            pa.array(sums(_log10(norm_, false_mass, levels, pair[run.pair_at], run.at, run.before), run.counts)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(run.tokens[rare].view(np.int64))),
+        ]
+
+    def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        """Rows of a chunk, by the runs in which they asked: a run begins at its first row's place."""
+        rows = rows.sort_by("_place")
+        begun = answers["_first"].to_numpy()
+        firsts = np.unique(begun)
+        cuts = [*np.searchsorted(rows["_place"].to_numpy(), firsts).tolist(), rows.num_rows]
+        parts = []
+        for lo, hi, first in zip(cuts[:-1], cuts[1:], firsts):
+            part = rows.slice(lo, hi - lo)
+            found = scores(part["_text"].combine_chunks(), answers.filter(pa.array(begun == first)))
+            parts.append(pa.table([*[part[c] for c in keep], *found], names=names))
+        return pa.concat_tables(parts)
+
+    rows = _chunked(df, keep, text)
+    met = rows.select("_chunk", "_place", *keep, "_text").groupBy("_chunk").cogroup(_answers(rows, model).groupBy("_chunk"))
+    scored = cut_lineage(met.applyInArrow(finish, schema).withColumn("_row", F.monotonically_increasing_id()))
     rare = scored.select("_row", F.explode("_tail").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("_tf"))
     rare = rare.join(tail, "word", "left").groupBy("_row").agg(
         F.sum(F.col("_tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("_rest"),

@@ -307,6 +307,33 @@ def test_lm_probabilities_sum_to_at_most_one(spark, docs):
         assert 0.3 < total < 1.02
 
 
+def test_lm_filter_holds_every_ngram(spark, docs, monkeypatch):
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")
+    single, double, held = Counter(), Counter(), Counter()
+    texts = pa.array([d[1] for d in docs])
+    for _, _, tokens, before in lm_scoring.token_groups(texts):
+        single.update(tokens.tolist())
+        double.update(lm_scoring.pair_keys(before, tokens).tolist())
+    double = {k: n for k, n in double.items() if n >= 2}
+    for k, n in double.items():
+        held[k >> 32] += n
+    whole = lm_scoring.score(frame, *lm_scoring.train(frame)).orderBy("doc_id").collect()
+    monkeypatch.setattr(lm_scoring, "SEGMENT_BITS", 14)
+    monkeypatch.setattr(lm_scoring, "ASKED_TOKENS", 50)
+    model, tail = lm_scoring.train(frame, filter_bits=14)
+    assert model.segments > 8 and model.false_mass <= lm_scoring.FALSE_MASS
+    for counts, tag, least, half in ((single, "WORD", "word", True), (double, "PAIR", "pair", False), (held, "HELD", "held", True)):
+        keys = np.array(list(counts), dtype=np.uint64)
+        spots = keys & np.uint64(0xFFFFFFFF) if half else keys
+        right = np.floor(np.log(np.array(list(counts.values())) / lm_scoring.LEAST[least]) / np.log(lm_scoring.BASE) + 1e-9) + 1
+        found = model.filter.levels(keys ^ getattr(lm_scoring, tag), spots)
+        assert (found >= right).all() and (found == right).mean() > 0.97
+    parted = lm_scoring.score(frame, model, tail).orderBy("doc_id").collect()
+    assert [r.doc_id for r in parted] == [r.doc_id for r in whole]
+    for a, b in zip(whole, parted):
+        assert a.base_score == pytest.approx(b.base_score) and a.score == pytest.approx(b.score, rel=0.02)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
