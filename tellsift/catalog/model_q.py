@@ -460,9 +460,8 @@ def training_rows(spark, sf):
     return training.with_label(labelled_sentences(spark, sf), "Immaterial")
 
 
-# One candidate of the grid, small enough for a query to end in a minute on one machine; the library's own
-# default takes all terms.
-SMALL = {"max_features": 4000, "n_components": 20, "C": 1.0, "max_df": 0.8, "lowercase": True}
+# One candidate of settings, over all terms.
+SMALL = {"n_components": 50, "C": 1.0, "max_df": 0.8, "lowercase": True}
 
 
 def whole_text_grams(low=1, high=2):
@@ -533,7 +532,7 @@ def classifier_query(name, classifier):
     def run(spark, sf):
         spec = training.ModelSpec(classifier, classifier=classifier)
         rows = training_rows(spark, sf).persist()
-        model = training.fit_model(spec, rows, {**SMALL, "trees": 10, "depth": 4, "n_components": 20})
+        model = training.fit_model(spec, rows, {**SMALL, "trees": 10, "depth": 4})
         return training.positive_score(model.transform(rows), "margin").select("row_id", "label", "proba")
 
 
@@ -572,14 +571,14 @@ def j2(spark, sf):
 
 @query("j7_score_filings")
 def j7(spark, sf):
-    model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), {**SMALL, "n_components": 20})
+    model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), SMALL)
     out = predict.predict_filings(filings(spark, sf), model, 0.6, "Immaterial")
     return out.select("idx", "Immaterial_sents_num", "Immaterial_proba")
 
 
 @query("j11_score_sentences")
 def j11(spark, sf):
-    model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), {**SMALL, "n_components": 20})
+    model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), SMALL)
     talk = load(spark, f"{sf}/conversations.parquet").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.lit(0).alias("pos"), F.col("text").alias("sents")
     )

@@ -1,11 +1,13 @@
 """Ranks, curves, sources, models, self-training, topics and streaming."""
 
 import random
+from unittest.mock import MagicMock
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tellsift.catalog import all_queries, model_q
 from tellsift.functions.rules import default_rules, read_rules, rule_table
 from tellsift.operators import evaluate as EV, ranks, sampling, scoring, tables, topics
 from tellsift.operators.frequency import token_grams
@@ -309,3 +311,25 @@ def test_stream_scores_each_file_once(spark, tmp_path):
     assert run() == 3 and run() == 3
     done = spark.createDataFrame([("a.csv",)], "file string")
     assert pending(spark.createDataFrame([("a.csv",), ("b.csv",)], "file string"), done).count() == 1
+
+
+@pytest.mark.parametrize("name", ["h1_logistic", "h2_linear_svc", "h3_forest", "h3_boosted_trees", "f8_univariate_selection", "j7_score_filings", "j11_score_sentences"])
+def test_model_queries_take_all_terms(spark, monkeypatch, name):
+    given = caught(monkeypatch, name, spark, training, "fit_model")
+    assert "max_features" not in given.args[2] and given.args[2]["n_components"] >= 50
+
+
+class Caught(Exception):
+    pass
+
+
+def caught(monkeypatch, name, spark, module, function):
+    """The arguments with which a registered query calls ``function``; nothing is read or fitted."""
+    called = MagicMock(side_effect=Caught)
+    monkeypatch.setattr(module, function, called)
+    for helper in ("filings", "labels", "load", "training_rows"):
+        monkeypatch.setattr(model_q, helper, MagicMock())
+    monkeypatch.setattr(model_q.S, "to_sentences", MagicMock())
+    with pytest.raises(Caught):
+        all_queries()[name](spark, "nowhere")
+    return called.call_args
