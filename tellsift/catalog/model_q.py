@@ -483,7 +483,7 @@ def g1(spark, sf):
 def nmf_query(name, loss):
     @query(name)
     def run(spark, sf):
-        model, words = topics.nmf_topics(filings(spark, sf), "idx", whole_text_grams(), k=10, loss=loss, max_iter=15)
+        model, words = topics.nmf_topics(filings(spark, sf), "idx", whole_text_grams(), k=10, loss=loss)
         return topics.topic_words(spark, model.components, words, 20)
 
 
@@ -493,7 +493,7 @@ nmf_query("g3_nmf_kl", "kullback-leibler")
 
 @query("g4_lda")
 def g4(spark, sf):
-    model, _, _ = topics.lda_topics(filings(spark, sf), whole_text_grams(), k=10, max_iter=10)
+    model, _, _ = topics.lda_topics(filings(spark, sf), whole_text_grams(), k=10)
     mixed = model.transform(S.computed(filings(spark, sf), grams=whole_text_grams()))
     return mixed.select("idx", training.vector_to_array("topicDistribution").alias("mix")).select(
         "idx", F.posexplode("mix").alias("topic", "weight")
@@ -502,7 +502,7 @@ def g4(spark, sf):
 
 @query("g5_topic_words")
 def g5(spark, sf):
-    _, components, words = topics.lda_topics(filings(spark, sf), whole_text_grams(), k=10, max_iter=10)
+    _, components, words = topics.lda_topics(filings(spark, sf), whole_text_grams(), k=10)
     return topics.topic_words(spark, components, words, 20)
 
 
@@ -553,8 +553,7 @@ def f8(spark, sf):
 def h4(spark, sf):
     rows = training_rows(spark, sf)
     spec = training.ModelSpec("Baseline", stop_lower=W.CR_STOP_LOWER, stop_cased=W.CR_STOP_CASED)
-    features = {"lowercase": [True], "max_df": [0.8], "sublinear_tf": [True], "max_features": [500]}
-    _, _, table = training.tune(spec, rows, features, {"C": [0.1, 1], "n_components": [10]})
+    _, _, table = training.tune(spec, rows)
     return table
 
 
@@ -564,7 +563,7 @@ def j2(spark, sf):
     s = cut_rows.withColumn("row_id", F.concat_ws("-", "idx", "pos")).join(labels(spark, sf), "idx", "left")
     _, result = selftrain.self_train(
         s.where("Immaterial is not null"), s.where("Immaterial is null"), "Immaterial",
-        training.ModelSpec(fselector="svd"), {**SMALL, "max_features": 500, "n_components": 20}, threshold=0.9, max_rounds=3,
+        training.ModelSpec(fselector="svd"), SMALL, threshold=0.9,
     )
     return result.select("row_id", "Immaterial", "pseudo_label", "round", "Immaterial_proba")
 

@@ -333,3 +333,18 @@ def caught(monkeypatch, name, spark, module, function):
     with pytest.raises(Caught):
         all_queries()[name](spark, "nowhere")
     return called.call_args
+
+
+def test_grid_query_searches_the_whole_grid(spark, monkeypatch):
+    given = caught(monkeypatch, "h4_grid", spark, training, "tune")
+    assert len(given.args) == 2 and not given.kwargs
+
+
+def test_selftrain_query_takes_all_terms_and_rounds(spark, monkeypatch):
+    given = caught(monkeypatch, "j2_selftrain", spark, selftrain, "self_train")
+    assert "max_features" not in given.args[4] and given.kwargs == {"threshold": 0.9}
+
+
+@pytest.mark.parametrize("name, function", [("g2_nmf", "nmf_topics"), ("g3_nmf_kl", "nmf_topics"), ("g4_lda", "lda_topics"), ("g5_topic_words", "lda_topics")])
+def test_topic_queries_take_all_iterations(spark, monkeypatch, name, function):
+    assert "max_iter" not in caught(monkeypatch, name, spark, topics, function).kwargs
