@@ -6,7 +6,9 @@
    with probability 5e-6.
 3. Pairs are verified in two steps. Signatures are compared 16 values at a time; a pair is pruned once
    the posterior probability (uniform prior) of reaching the threshold falls under ``MISS``. Survivors
-   are compared on their full shingle sets, and only that makes a link.
+   are compared on their full shingle sets, and only that makes a link. A pruned pair isn't looked at
+   again: at similarity 0.75 that is a pair in 6.3e-6, so bands and pruning together lose 1.2e-5 of such
+   pairs; at 0.78 it is 7e-7.
 4. A bucket isn't expanded into all pairs. Each member meets pivots first; links found so join
    components. Then only pairs that lie in different components and haven't been compared are left:
    small buckets list them, large ones compare blocks of ``BLOCK`` members with blocks, and stop
@@ -32,7 +34,7 @@ WIDTH = 5
 THRESHOLD = (75, 100)
 BANDS, ROWS = 32, 4
 BATCH = 16
-MISS = 1e-5
+MISS = 1e-6
 SMALL = 48
 BLOCK = 2048
 _ODD = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
