@@ -68,8 +68,8 @@ def call_order(calls: DataFrame) -> DataFrame:
     anchor is the latest turn among a call and all calls it needs, directly or not. Most calls need earlier
     ones and stand at their own turn; only those that need a later one, and those that need these, move, one
     join a round, and there are as many rounds as the longest chain of moves. level orders calls of one anchor:
-    0 needs none of them, others come after the highest they need; -1 is in a circle, or behind one of the
-    same anchor. Needs that name no call count as met.
+    0 needs none of them, others come after the highest they need; -1 is in a circle, or needs a call of one,
+    directly or not. Needs that name no call count as met. Calls behind a circle take a round for each step.
     """
     anchors = written(calls.select("conv", "call", F.col("at").alias("anchor")))
     edges = calls.select("conv", "call", F.explode("needs").alias("need")).distinct()
@@ -96,7 +96,13 @@ def call_order(calls: DataFrame) -> DataFrame:
     stuck = waiting.join(ties.select("conv", "call"), ["conv", "call"], "left_semi").withColumn("level", F.lit(-1))
     last = waiting.join(ties.select("conv", "call"), ["conv", "call"], "left_anti").withColumn("level", F.lit(level))
     rest = stuck.unionByName(last)
-    levels = rest if levels is None else levels.unionByName(rest)
+    levels = written(rest if levels is None else levels.unionByName(rest))
+    circular = fresh = written(levels.where("level < 0").select("conv", "call"))
+    while fresh.limit(1).count():
+        behind = edges.join(fresh.withColumnRenamed("call", "need"), ["conv", "need"], "left_semi").select("conv", "call").distinct()
+        fresh = written(behind.join(circular, ["conv", "call"], "left_anti"))
+        circular = circular.unionByName(fresh)
+    levels = levels.join(circular, ["conv", "call"], "left_anti").unionByName(circular.withColumn("level", F.lit(-1)))
     return anchors.join(levels, ["conv", "call"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 

@@ -93,7 +93,9 @@ TOOLS: chat.Schemas = {
 
 def tool_messages(spark: SparkSession, sf: str) -> DataFrame:
     """The conversations as tool traffic: an assistant's turn calls a tool with its whole text as the argument,
-    the user's turn after it is the result, and every call needs the one before it in the conversation."""
+    the user's turn after it is the result. A call needs the one before it in the conversation, or the one after it
+    where its text has a length of 0 modulo 8, or none where that is 1 or 16 turns begin; so some calls are moved behind later
+    ones, and some stand in circles or behind them."""
     turns = read(spark, sf, "conversations", "conv_id", "turn", "role", "text")
     asks = F.col("role") == "assistant"
     size = F.coalesce(F.char_length("text"), F.lit(0))
@@ -103,7 +105,8 @@ def tool_messages(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select(
         "conv_id", "turn", "role", "text", F.when(asks, at(0)).alias("call_id"), F.when(asks, name).alias("tool"),
         F.when(asks, F.when(size % 7 == 0, F.col("text")).otherwise(arguments)).alias("arguments"),
-        F.when(asks & (F.col("turn") >= 2), F.array(at(2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+        F.when(asks & (size % 8 == 0) & (F.col("turn") % 16 < 14), F.array(at(-2)))
+        .when(asks & (F.col("turn") >= 2) & (size % 8 != 1) & (F.col("turn") % 16 >= 2), F.array(at(2))).otherwise(F.array().cast("array<string>")).alias("needs"),
         F.when((F.col("role") == "user") & (F.col("turn") > 0), at(1)).alias("result_of"),
     )
 
