@@ -25,19 +25,24 @@ SEGMENT = 4096
 QUERY_BATCH = 4096
 #: Sums of products under this many bits are exact in doubles.
 _EXACT = float(1 << 53)
+#: Sums of products under this many bits are exact in 64-bit integers, and so is the sum of two.
+_WIDE = float(1 << 62)
+#: Under every score.
+_NONE = -(1 << 140)
 
 
 def quantised(df: DataFrame, key: str, vector: str, scale: int = SCALE) -> DataFrame:
     """(_id, _dim, _v): floor(scale * x) of each component. Rows with a null key, a null vector or a component
-    that is null, not finite or, scaled, outside of 32 bits take no part."""
+    that is null or not finite take no part. A scaled component or a score outside of 64 bits stops the query, as in SQL."""
     wide = F.transform(F.col(vector), lambda x: x.cast("double"))
-    limit = float(1 << 31) / scale
+    limit = float(1 << 63)
+    level = lambda x: F.when(F.abs(x * scale) < limit, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a scaled component passes 64 bits")).cast("long"))
     fit = F.col(key).isNotNull() & F.col(vector).isNotNull() & F.forall(
-        F.col(vector), lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < limit), F.lit(False))
+        F.col(vector), lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False))
     )
     return df.where(fit).select(
         F.col(key).cast("long").alias("_id"), F.size(vector).alias("_dim"),
-        F.transform(wide, lambda x: F.floor(x * scale).cast("int")).alias("_v"),
+        F.transform(wide, level).alias("_v"),
     )
 
 
@@ -47,12 +52,13 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Integer inner products; in doubles where they are exact there."""
+    """Integer inner products; in doubles where they are exact there, in Python integers where 64 bits may not do."""
     if left.shape[1] == 0 or not len(left) or not len(right):
         return np.zeros((len(left), len(right)), dtype=np.int64)
-    if float(np.abs(left).max()) * float(np.abs(right).max()) * left.shape[1] < _EXACT:
+    most = float(np.abs(left).max()) * float(np.abs(right).max()) * left.shape[1]
+    if most < _EXACT:
         return (left.astype(np.float64) @ right.T.astype(np.float64)).astype(np.int64)
-    return left @ right.T
+    return left @ right.T if most < _WIDE else left.astype(object) @ right.T.astype(object)
 
 
 def _segments(vectors: DataFrame, anchors: int, segment: int) -> DataFrame:
@@ -76,7 +82,7 @@ def _segments(vectors: DataFrame, anchors: int, segment: int) -> DataFrame:
                     out[rows] = (points @ places.T - (places**2).sum(axis=1) / 2).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], ["_id", "_dim", "_v", "_near"])
 
-    placed = cut_lineage(vectors.mapInArrow(near, "_id long, _dim int, _v array<int>, _near int"))
+    placed = cut_lineage(vectors.mapInArrow(near, "_id long, _dim int, _v array<long>, _near int"))
     sizes = placed.groupBy("_dim", "_near").agg(F.count("*").alias("_n"))
     order = Window.partitionBy("_dim").orderBy("_near")
     sizes = sizes.select(
@@ -89,6 +95,12 @@ def _segments(vectors: DataFrame, anchors: int, segment: int) -> DataFrame:
     )
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i]))[:k], dtype=np.int64)
+    return np.lexsort((ids, -scores))[:k]
+
+
 def _search(queries: pa.Table, rows: pa.Table, dim: int, k: int, block: int) -> pa.Table:
     """Best k of ``rows`` for each query, not below its threshold."""
     order = np.lexsort((rows["_id"].to_numpy(), rows["_near"].to_numpy()))
@@ -101,7 +113,7 @@ def _search(queries: pa.Table, rows: pa.Table, dim: int, k: int, block: int) ->
     bounds = products(np.maximum(asked, 0), high) + products(np.minimum(asked, 0), low)
     ranked = np.argsort(-bounds, axis=1, kind="stable")
     for q in range(len(asked)):
-        least = -(1 << 62) if floor_[q] is None else floor_[q]
+        least = _NONE if floor_[q] is None else floor_[q]
         best_s, best_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = 0
         while at < len(starts) and bounds[q, ranked[q, at]] >= least:
@@ -114,7 +126,7 @@ def _search(queries: pa.Table, rows: pa.Table, dim: int, k: int, block: int) ->
             good = score >= least
             best_s, best_i = np.concatenate([best_s, score[good]]), np.concatenate([best_i, ids[places[good]]])
             if len(best_s) > k:
-                top = np.lexsort((best_i, -best_s))[:k]
+                top = _best(best_s, best_i, k)
                 best_s, best_i = best_s[top], best_i[top]
             if len(best_s) == k:
                 least = max(least, int(best_s.min()))
@@ -122,7 +134,7 @@ def _search(queries: pa.Table, rows: pa.Table, dim: int, k: int, block: int) ->
         out[1].append(best_i)
         out[2].append(best_s)
     parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
-    return pa.table({"_row": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2].astype(np.int64))})
+    return pa.table({"_row": pa.array(parts[0].astype(np.int64)), "vec_id": pa.array(parts[1].astype(np.int64)), "score": pa.array(parts[2].tolist(), pa.int64())})
 
 
 def top_k(
