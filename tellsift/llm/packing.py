@@ -4,12 +4,14 @@ Every document's ids end with one end id; only documents longer than a sequence
 dealt to partitions of about ``PART_ITEMS``; each partition packs best-fit decreasing and compares
 its number of sequences with lower bounds from dual-feasible functions. Partitions that meet their
 bound are certified and stay. The others give up the pieces of all sequences that aren't full, these
-are dealt anew together and packed again, for as long as that takes fewer sequences.
+are dealt anew together and packed again, for as long as that takes fewer sequences. At last the emptiest
+sequence of every partition joins what is still open in one more exchange, if that takes fewer.
 """
 
 from __future__ import annotations
 
 import os
+import warnings
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -25,7 +27,8 @@ from tellsift.llm.common import cut_lineage
 PART_ITEMS = 20_000
 CACHE_WORDS, CACHE_BYTES = 1_000_000, 64 << 20
 SLICE_BYTES = 4 << 20
-ROUNDS = 4
+#: A guard only: repacking that still saves sequences after so many rounds is given up with a warning.
+ROUNDS = 100
 
 _tokenizers: dict[str, object] = {}
 _remembered: dict[str, "_Words"] = {}
@@ -147,7 +150,11 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """
     if not len(lengths):
         return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+    return _bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def _bound(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of pieces of each length."""
     sizes = np.arange(capacity + 1)
     total = np.cumsum(count * sizes)
     number = np.cumsum(count)
@@ -190,7 +197,8 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack(items: DataFrame, capacity: int, turn: int, groups: int) -> DataFrame:
-    """One round: (_item, length) dealt to groups; adds sequence_id, offset, _fill, _gap."""
+    """One round: (_item, length) dealt to groups; adds sequence_id, offset, _fill, _gap and
+    _least, 1 in the group's emptiest sequence."""
 
     def run(table: pa.Table) -> pa.Table:
         lengths, item = table["length"].to_numpy(), table["_item"].to_numpy()
@@ -200,14 +208,14 @@ def _pack(items: DataFrame, capacity: int, turn: int, groups: int) -> DataFrame:
         number = (turn << 56) + (int(table["_group"][0].as_py()) << 24) + bins
         columns = {
             "_item": item[order], "length": lengths[order], "sequence_id": number, "offset": offsets,
-            "_fill": fill[bins], "_gap": np.full(len(bins), gap),
+            "_fill": fill[bins], "_gap": np.full(len(bins), gap), "_least": bins == fill.argmin(),
         }
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+        return pa.table({k: pa.array(np.asarray(v, dtype=np.int64)) for k, v in columns.items()})
 
     dealt = items.select("_item", "length").withColumn(
         "_group", F.pmod(F.xxhash64("_item", F.lit(turn)), F.lit(groups)).cast("long")
     )
-    schema = "_item long, length long, sequence_id long, offset long, _fill long, _gap long"
+    schema = "_item long, length long, sequence_id long, offset long, _fill long, _gap long, _least long"
     return dealt.groupBy("_group").applyInArrow(run, schema)
 
 
@@ -222,20 +230,31 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, part_items: int = PART_
     loose = pieces.where(F.col("length") < capacity).select("_item", "length")
     n_items = loose.count()
     packed = cut_lineage(_pack(loose, capacity, 1, -(-n_items // part_items) or 1))
-    done = []
-    for turn in range(2, rounds + 1):
-        open_ = (F.col("_gap") > 0) & (F.col("_fill") < capacity)
+
+    def exchanged(open_, turn: int) -> DataFrame | None:
+        """The open sequences' pieces packed anew, if that takes fewer sequences."""
         released = packed.where(open_)
         n_items, before = released.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        if n_items == 0:
-            break
+        if before < 2:
+            return None
         again = cut_lineage(_pack(released, capacity, turn, -(-n_items // part_items)))
-        if again.agg(F.count_distinct("sequence_id")).first()[0] >= before:
-            break
+        return again if again.agg(F.count_distinct("sequence_id")).first()[0] < before else None
+
+    partly, done, turn = F.col("_fill") < capacity, [], 2
+    open_ = (F.col("_gap") > 0) & partly
+    while (again := exchanged(open_, turn)) is not None:
         done.append(packed.where(~open_))
-        packed = again
+        packed, turn = again, turn + 1
+        if turn > rounds:
+            warnings.warn(f"packing stopped after {rounds} rounds that all saved sequences", stacklevel=2)
+            break
     for rest in done:
         packed = packed.unionByName(rest)
+    emptiest = (F.col("_least") == 1) & partly
+    for last in (open_ | emptiest, emptiest):
+        if (again := exchanged(last, turn)) is not None:
+            packed = packed.where(~last).unionByName(again)
+            break
     alone = pieces.where(F.col("length") >= capacity).select(
         "_item", (-1 - F.col("_item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
@@ -243,6 +262,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, part_items: int = PART_
     return pieces.join(placed, "_item").drop("_item")
 
 
+def sequences_and_bound(packed: DataFrame, capacity: int = 2048) -> tuple[int, int]:
+    """Sequences of packed pieces, and how many any packing of all of them together needs at least."""
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for row in packed.groupBy("length").count().collect():  # at most ``capacity`` rows
+        count[row["length"]] = row["count"]
+    return packed.agg(F.count_distinct("sequence_id")).first()[0], _bound(count, capacity)
+
+
 def pack_documents(df: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False, **options) -> DataFrame:
     """Tokenize, cut and pack: one row per piece with its sequence and place there."""
     return pack_pieces(token_pieces(df, path, capacity=capacity, with_ids=with_ids, **options), capacity)

@@ -1,10 +1,14 @@
 """Whole results where earlier versions left something out."""
 
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tellsift.llm import chat, neardup, topk
+import corpus_pipeline
+from tellsift.llm import chat, neardup, packing, topk
 from tellsift.llm.queries import tool_messages
 
 
@@ -56,3 +60,35 @@ def test_tool_messages_need_later_calls_and_stand_in_circles(spark, sf):
     calls = calls.withColumn("need", F.substring("need", 2, 20).cast("long")).collect()
     met = {(r.conv_id, r.turn, r.need) for r in calls}
     assert any(n > t for _, t, n in met) and any((c, n, t) in met for c, t, n in met)
+
+
+def test_certified_partitions_exchange_their_last_sequences(spark):
+    # pieces of length 1: every partition meets its bound and leaves a sequence partly filled
+    pieces = spark.createDataFrame([(i, 1) for i in range(1000)], "doc_id long, length long")
+    packed = packing.pack_pieces(pieces, 64, part_items=200).cache()
+    assert packing.sequences_and_bound(packed, 64) == (16, 16)
+    used = defaultdict(list)
+    for r in packed.collect():
+        used[r.sequence_id].append((r.offset, r.length))
+    assert sum(len(x) for x in used.values()) == 1000
+    for places in used.values():
+        assert [o for o, _ in sorted(places)] == list(range(len(places))) and len(places) <= 64
+
+
+def test_pipeline_near_duplicates_against_brute_force(spark):
+    from test_operators import brute_components
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    alone = [" ".join(f"u{rng.randrange(10**6)}" for _ in range(30)) for _ in range(6)]
+    texts = [" ".join(base), " ".join(near), " ".join(base), " ".join(near), *alone, alone[0], alone[1], alone[1], " ".join(base)]
+    ids = [7, 5, None, 9, 9, None, 3, 4, 6, 8, None, None, None, 9]
+    rows = [(i, t, "en", "a", k) for k, (i, t) in enumerate(zip(ids, texts))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    groups = defaultdict(list)
+    for k, root in enumerate(brute_components(texts)[0]):
+        groups[root].append((ids[k] is None, ids[k] or 0, k))
+    want = Counter((ids[k], texts[k]) for *_, k in (min(g) for g in groups.values()))
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == want
