@@ -11,12 +11,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tellsift.llm import mixing, neardup, packing, quality_rules, resampling
-from tellsift.llm.common import cut_lineage
+from tellsift.llm.common import written
 from tellsift.llm.queries import tokenizer_path
 from tellsift.session import checkpoint_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Learned rules, drawn weights and tokens have no SQL; tests compare the stages with brute force.
+#: Learned rules, drawn weights and tokens have no SQL; tests compare their operators with brute force.
 ORACLE_SQL = None
 
 
@@ -39,14 +39,14 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of smallest id.
 
-    A document without an id stays. Of rows that repeat an id that stays, equal texts leave one.
+    Rows are told apart by a number that is written first, so rows without an id and rows that share one are judged
+    each for itself. Of a group an id goes before none, and of equal ids the first row stays. Texts without words are no copies.
     """
-    docs = docs.select(*COLUMNS)
-    found = cut_lineage(neardup.near_duplicates(docs).where("kept").groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    repeated = found.where("_rows > 1").select("doc_id")
-    once = docs.join(found.where("_rows = 1").select("doc_id"), "doc_id", "left_semi")
-    more = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.unionByName(more).unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    docs = written(docs.select(*COLUMNS).withColumn("_number", F.monotonically_increasing_id()))
+    found = neardup.near_duplicates(docs.select("_number", "text"), key="_number").select("_number", "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_number")).alias("_first")
+    kept = docs.select("_number", "doc_id").join(found, "_number").groupBy("component_id").agg(first)
+    return docs.join(kept.select("_first._number"), "_number", "left_semi").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
