@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, sharding, sql, topk
-from tellsift.llm.common import read, remainder
+from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, runs, sharding, sql, topk
+from tellsift.llm.common import read, remainder, words
+from tellsift.operators.common import computed
 
 QUERIES, SQL = {}, {}
 
@@ -114,3 +115,30 @@ def tool_messages(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_chat_tool_calls")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return chat.link_tool_calls(tool_messages(spark, sf), TOOLS)
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The texts; where crc32 of doc_id ends in 0, their words joined by one space, and from word a on repeated with the
+    period that the contract names. A row without an id keeps its text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = computed(docs, _h=h, _w=F.when(h % 10 == 0, words(F.col("text"))))
+    n, g = F.size("_w"), F.expr("_h div 10")
+    docs = docs.withColumn("_a", F.when(n > 0, g % n)).withColumn("_p", 1 + F.expr("(size(_w) - _a) div (3 + (_h div 10) % 8)"))
+    at = F.when(F.col("_a") < n, F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % F.col("_p"))))
+    periodic = F.array_join(F.transform(at, lambda i: F.get("_w", i.cast("int"))), " ")
+    return docs.select("doc_id", F.coalesce(periodic, "text").alias("text"))
+
+
+@query("op11_runs", sql.OP11)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = runs.find_runs(with_periods(read(spark, sf, "documents", "doc_id", "text")))
+    better = lambda x, best: best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"])
+    best = F.aggregate("runs", F.lit(None).cast(runs.RUN), lambda kept, x: F.when(better(x, kept), x).otherwise(kept))
+    lines = F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    ).select(
+        "doc_id", "n_runs", "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words",
+    )

@@ -66,3 +66,34 @@ p AS (SELECT d.*, source_size, target, coalesce(floor(target / nullif(source_siz
 q AS (SELECT *, CAST(whole AS BIGINT) + CASE WHEN start + size / 2.0 < target - whole * source_size AND size > 0 THEN 1 ELSE 0 END AS copies FROM p)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, source, copies FROM q
 """
+
+#: Pairs of equal words q apart, consecutive ones as stretches; of stretches at the same place the smallest period counts.
+OP11 = f"""
+WITH tab AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT)) AS c
+    FROM range(256) r(i))),
+h AS (
+  SELECT row_number() OVER () AS id, doc_id, {WORDS} AS w,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda p: CAST('0x' || p AS BIGINT)),
+             lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM documents, tab),
+g AS (SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, (h // 10) % greatest(len(w), 1) AS a FROM h),
+d AS (SELECT id, doc_id, n, CASE WHEN planted THEN
+             list_transform(w, lambda x, i: CASE WHEN i - 1 < a THEN x ELSE w[a + (i - 1 - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) ELSE w END AS w
+      FROM g),
+t AS (SELECT id, n, unnest(w) AS word, unnest(range(n)) AS i FROM d),
+e AS (SELECT x.id, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.id = y.id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT id, q, min(i) AS start, count(*) + q AS length
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY id, q ORDER BY i) AS island FROM e) GROUP BY id, q, island),
+r AS (SELECT id, start, length, min(q) AS period FROM s WHERE length >= 6 AND length >= 4 * q GROUP BY id, start, length),
+b AS (SELECT id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines,
+             first({{'start': start, 'length': length, 'period': period}} ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best
+      FROM r GROUP BY id),
+c AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS kept FROM t
+      WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id = t.id AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period,
+       1000 * best.length // best.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words
+FROM d LEFT JOIN b USING (id) LEFT JOIN c USING (id)
+"""
