@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, quality_rules, resampling, runs, sharding, sql, topk
+from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, phrases, quality_rules, resampling, runs, sharding, sql, topk
 from tellsift.llm.common import read, remainder, words
 from tellsift.operators.common import computed
 
@@ -142,3 +142,8 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_runs", "_best.start", "_best.length", "_best.period",
         F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256", "n_words",
     )
+
+
+@query("op12_phrases", sql.OP12)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.mine(read(spark, sf, "documents", "text", "lang"))

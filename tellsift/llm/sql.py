@@ -97,3 +97,25 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length A
        sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, n AS n_words
 FROM d LEFT JOIN b USING (id) LEFT JOIN c USING (id)
 """
+
+OP12 = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, (2000000::HUGEINT * k.a) // (x.f + y.f) AS score
+      FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ')
+             JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, array_to_string(w[i:i + q - 1], ' ') AS phrase, max(a) AS f
+      FROM (SELECT lang, a, m, w, q, unnest(range(1, m - q + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS q) WHERE q < m) GROUP BY 1, 2),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN o USING (lang, phrase) WHERE o.f IS NULL OR 100::HUGEINT * o.f < 80::HUGEINT * b.a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score, CAST(k AS INTEGER) AS cut FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
