@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, phrases, quality_rules, resampling, runs, sharding, sql, topk
+from tellsift.llm import chat, language_id, lm_scoring, mixing, neardup, packing, phrases, quality_rules, resampling, runs, sharding, sql, topk, toxicity
 from tellsift.llm.common import read, remainder, words
 from tellsift.operators.common import computed
 
@@ -147,3 +147,12 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
 @query("op12_phrases", sql.OP12)
 def op12(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.mine(read(spark, sf, "documents", "text", "lang"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    docs = read(spark, sf, "documents", "doc_id", "text").withColumn("held_out", held_out)
+    labels = read(spark, sf, "labels", "doc_id", "toxic").where(~held_out)
+    model = toxicity.train(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return toxicity.score(docs, model, keep=("doc_id", "held_out"))
