@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tellsift.llm.common import SPACE, cut_lineage
+from tellsift.llm.common import cut_lineage
 
 SAMPLE, FOLDS, TERMS, PRIOR, LEAST = 30_000, 3, 3_000, 4.0, 3
 TREES, DEPTH, RATE, BINS, LEAF = 60, 3, 0.15, 48, 4.0
@@ -54,13 +54,16 @@ _WEIGHT, _TERM, _SECOND, _LETTERS, _UPPER, _CAPITAL, _EXCLAIM, _QUESTION, _OTHER
 
 def split(text: str | None) -> list[str]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text."""
-    return [w for w in re.split(f"[{SPACE}]+", text) if w] if text else []
+    text = text or ""
+    for gap in "\t\n\x0b\f\r":
+        text = text.replace(gap, " ")
+    return [w for w in text.split(" ") if w]
 
 
 def terms(word: str) -> list[str]:
     """What the lexicon may know of a word: its runs of letters and digits and their beginnings."""
     out = []
-    for part in _PARTS.findall(word.lower()):
+    for part in [word.lower()] if word.isalpha() else _PARTS.findall(word.lower()):
         out.append(part[:64])
         out += [part[:k] + "*" for k in PREFIXES if k < len(part)]
     return out
@@ -71,33 +74,44 @@ class Words(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.number = lexicon, {term: i for i, term in enumerate(lexicon)}
-        self.table = np.zeros((1024, 14), dtype=np.float32)
+        self.heads = {term[: PREFIXES[0]] for term in lexicon}
+        self.table = np.zeros((0, 14), dtype=np.float32)
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at] = self.row(word)
-        self[word] = at
-        return at
+    def learn(self, words: list[str]) -> None:
+        """Rows for the words that have none."""
+        new = set(words) - self.keys()
+        if new:
+            self.update(zip(new, range(len(self), len(self) + len(new))))
+            self.table = np.concatenate([self.table, np.array([self.row(word) for word in new], dtype=np.float32)])
 
     def best(self, word: str) -> tuple[float, int]:
-        return max(((self.lexicon[t], self.number[t]) for t in terms(word) if t in self.lexicon), default=(0.0, -1))
+        if word.isalpha() and word.lower()[: PREFIXES[0]] not in self.heads:
+            return 0.0, -1
+        found = [t for t in terms(word) if t in self.lexicon]
+        return max(((self.lexicon[t], self.number[t]) for t in found), default=(0.0, -1))
 
     def row(self, word: str) -> tuple:
-        weight, term = self.best(word)
-        disguised = False
-        folded = re.sub(r"[*_.\-]", "", word.translate(_FOLD))
-        if weight < HIT and folded != word:
+        core = word.rstrip(".,;:!?")
+        weight, term = self.best(core)
+        lengthened = bool(_LONG.search(core))
+        exclaim, question = word.count("!"), word.count("?")
+        if core.isalpha():  # most words: no sign stands for a letter
+            letters, upper = len(core), 0 if core.islower() else sum(map(str.isupper, core))
+            other, doubled, mixed, disguised = len(word) - letters, len(word) - letters > 1 and bool(_TWICE.search(word)), False, False
+            second = core.lower() in SECOND_PERSON
+        else:
+            letters, upper = sum(map(str.isalpha, word)), sum(map(str.isupper, word))
+            other, doubled, mixed = len(word) - sum(map(str.isalnum, word)), bool(_TWICE.search(word)), bool(_MIXED.search(word))
+            second = any(p in SECOND_PERSON for p in _PARTS.findall(word.lower()))
+            disguised = False
+        if weight < HIT and (lengthened or not core.isalpha()):
+            folded = re.sub(r"[*_.\-]", "", word.translate(_FOLD))
             found = self.best(_LONG.sub(r"\1", folded))
             disguised = found[0] >= HIT
             weight, term = max((weight, term), found)
-        letters, upper = sum(c.isalpha() for c in word), sum(c.isupper() for c in word)
-        other = sum(not c.isalnum() for c in word) - word.count("!") - word.count("?")
-        second = any(p in SECOND_PERSON for p in _PARTS.findall(word.lower()))
         return (
-            weight, term, second, letters, upper, letters > 2 and upper == letters, word.count("!"), word.count("?"), other, bool(_TWICE.search(word)),
-            bool(_LONG.search(word)), bool(_MIXED.search(word)), disguised, letters == 1 and len(word) == 1,
+            weight, term, second, letters, upper, letters > 2 and upper == letters, exclaim, question, other - exclaim - question, doubled,
+            lengthened, mixed, disguised, letters == 1 and len(word) == 1,
         )
 
 
@@ -122,6 +136,7 @@ def features(texts: list[str | None], words: Words) -> np.ndarray:
     if not size.sum():
         return out
     flat = [w for x in lists for w in x]
+    words.learn(flat)
     ids = np.fromiter(map(words.__getitem__, flat), dtype=np.int64, count=len(flat))
     row = np.repeat(np.arange(len(texts)), size)
     table = words.table[ids]
