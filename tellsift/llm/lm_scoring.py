@@ -3,8 +3,9 @@
 A count c is held at level 1 + floor(log_b(c / least)); an n-gram is put into the filter once per level
 up to its own, so probing levels in turn until one misses gives the count back. The filter is as large as
 the counted n-grams need: every word, every pair met twice and every first word of such a pair is held, at
-a fixed share of bits set. Its segments have a fixed size and are rows of a written table; they are never
-brought together in one place. To score, each run of rows asks every segment once for its distinct words and pairs.
+a fixed share of bits set. Its segments have a fixed size and are rows of a written table. Up to ``BROADCAST_BYTES`` the
+filter is broadcast to the workers and probed in place; a larger one is never brought together, and each run of rows asks
+every segment once for its distinct words and pairs.
 
 The model: P(w | v) = (c(v, w) + (u(v) + 1) P(w)) / (h(v) + u(v) + 1 + e), with h(v) the sum of the counts
 held for pairs that begin with v, u(v) what is missing to c(v), and e the count that false positives are
@@ -22,6 +23,7 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -41,6 +43,8 @@ FALSE_MASS = 0.01
 COUNTED = 100_000
 #: Tokens whose requests a task holds for a segment at a time, about.
 ASKED_TOKENS = 1 << 23
+#: The largest filter that is broadcast, and the text of a run that asks a larger one, in bytes.
+BROADCAST_BYTES, RUN_BYTES = 1 << 28, 1 << 23
 HEAD_WORDS = 1 << 19
 BUCKET_PAIRS = 1 << 21
 MERGE_AT = 1 << 20
@@ -239,6 +243,10 @@ class Model:
     head_words: np.ndarray  # sorted hashes of the most frequent words, at most HEAD_WORDS
     head_counts: np.ndarray
 
+    @property
+    def bytes(self) -> int:
+        return self.segments << self.segment_bits >> 3
+
     @cached_property
     def filter(self) -> LogFrequencyFilter:
         out = np.zeros((self.segments, 1 << self.segment_bits >> 3), dtype=np.uint8)
@@ -356,24 +364,35 @@ def _log10(norm: float, false_mass: float, levels: np.ndarray, pair: np.ndarray,
 
 def model_log10(model: Model, uniques: np.ndarray, at: np.ndarray, before: np.ndarray) -> np.ndarray:
     """log10 P of each token; ``at`` and ``before`` are places in ``uniques``. Reads the whole filter; ``score`` doesn't."""
-    halves = uniques & _LOW
-    levels = np.stack([model.filter.levels(keys, halves) for keys in (uniques ^ WORD, halves ^ HELD, halves ^ REST)])
     pairs = pair_keys(uniques[before], uniques[at])
-    return _log10(model.norm, model.false_mass, levels, model.filter.levels(pairs ^ PAIR, pairs), at, before)
+    return _log10(model.norm, model.false_mass, *_looked_up(model.filter, uniques, pairs, at, before), at, before)
+
+
+def _looked_up(held: LogFrequencyFilter, words: np.ndarray, pairs: np.ndarray, at: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the distinct words (c, h, u) and of each token's pair, 0 where a pair of these words can't be held."""
+    halves = words & _LOW
+    levels = np.stack([held.levels(keys, halves) for keys in (words ^ WORD, halves ^ HELD, halves ^ REST)])
+    pair = np.zeros(len(pairs), dtype=np.uint8)
+    asked = np.flatnonzero((levels[1][before] > 0) & (count_of(levels[0], LEAST["word"], 0.5) >= 2)[at])
+    pair[asked] = held.levels(pairs[asked] ^ PAIR, pairs[asked])
+    return levels, pair
 
 
 class _Run:
     """Consecutive rows: their tokens, and the distinct words and pairs in order of their segments."""
 
-    def __init__(self, texts: pa.Array, segments: int):
-        groups = list(token_groups(texts))
+    def __init__(self, groups: list, segments: int, with_pairs: bool = True):
         self.counts = np.concatenate([g[1] for g in groups])
         self.tokens = np.concatenate([g[2] for g in groups])
         words, at = np.unique(np.append(self.tokens, END), return_inverse=True)
         self.words, self.at, self.word_ends = self._dealt(words, at, words & _LOW, segments)
         self.at, end = self.at[:-1], self.at[-1]
         self.before = np.concatenate([[end], self.at[:-1]])
-        pairs, of = np.unique(pair_keys(self.words[self.before], self.tokens), return_inverse=True)
+        pairs = pair_keys(self.words[self.before], self.tokens)
+        if not with_pairs:
+            self.pairs = pairs  # of each token
+            return
+        pairs, of = np.unique(pairs, return_inverse=True)
         self.pairs, self.pair_at, self.pair_ends = self._dealt(pairs, of, pairs, segments)
 
     @staticmethod
@@ -391,15 +410,17 @@ def _runs(chunks: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _chunked(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
-    """Written rows (_chunk, _place, _tokens, keep, text); a chunk has about a megabyte of text of one task."""
+    """Written rows (_chunk, _place, _tokens, keep, text); a chunk has about ``RUN_BYTES`` of text of one task."""
     kinds = dict(df.dtypes)
     schema = ", ".join(["_chunk long, _place long, _tokens long", *[f"`{c}` {kinds[c]}" for c in keep], "_text string"])
 
     def run(batches):
         chunk = place = TaskContext.get().partitionId() << 33
+        held = 0
         for batch in batches:
             for first, counts, _, _ in token_groups(batch.column(len(keep))):
                 rows = len(counts)
+                held += pc.sum(pc.binary_length(batch.column(len(keep)).slice(first, rows))).as_py() or 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(rows, chunk, dtype=np.int64)), pa.array(np.arange(place, place + rows, dtype=np.int64)),
@@ -407,7 +428,7 @@ def _chunked(df: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
                     ],
                     ["_chunk", "_place", "_tokens", *keep, "_text"],
                 )
-                chunk, place = chunk + 1, place + rows
+                chunk, held, place = (chunk + 1, 0, place + rows) if held >= RUN_BYTES else (chunk, held, place + rows)
 
     return written(df.select(*keep, text).mapInArrow(run, schema))
 
@@ -422,7 +443,7 @@ def _answers(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             chunks, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo, hi in _runs(chunks):
-                run = _Run(batch.column(2).slice(lo, hi - lo), segments)
+                run = _Run(list(token_groups(batch.column(2).slice(lo, hi - lo))), segments)
                 w, p = run.word_ends, run.pair_ends
                 asked = [s for s in range(segments) if w[s + 1] > w[s] or p[s + 1] > p[s]]
                 yield pa.RecordBatch.from_arrays(
@@ -465,6 +486,8 @@ def _answers(rows: DataFrame, model: Model) -> DataFrame:
 def score(df: DataFrame, model: Model, tail: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """Per row: the columns ``keep``, n_tokens, n_known, train_tokens, base_score and score.
 
+    A filter of at most ``BROADCAST_BYTES`` is broadcast and probed where the rows are; the segments of a larger one answer
+    runs of rows by a join. The scores are the same.
     The base score needs exact counts. The most frequent words' are at hand in each task (at most
     ``HEAD_WORDS``); the other words of a row are joined with the table ``tail`` of the other counts.
     Null or blank text: the end token alone. Rows with equal keys are scored apart.
@@ -475,13 +498,8 @@ def score(df: DataFrame, model: Model, tail: DataFrame, keep: tuple[str, ...] =
     norm_, false_mass, segments = model.norm, model.false_mass, model.segments
     shared = df.sparkSession.sparkContext.broadcast((model.head_words, model.head_counts))
 
-    def scores(texts: pa.Array, answers: pa.Table) -> list:
+    def scores(run: _Run, levels: np.ndarray, pair: np.ndarray) -> list:
         head_words, head_counts = shared.value
-        run = _Run(texts, segments)
-        levels, pair = np.zeros((3, len(run.words)), dtype=np.uint8), np.zeros(len(run.pairs), dtype=np.uint8)
-        for s, words, pairs in zip(*(answers[c].to_pylist() for c in ("segment", "words", "pairs"))):
-            levels[:, run.word_ends[s] : run.word_ends[s + 1]] = np.frombuffer(words, dtype=np.uint8).reshape(3, -1)
-            pair[run.pair_ends[s] : run.pair_ends[s + 1]] = np.frombuffer(pairs, dtype=np.uint8)
         place = np.minimum(np.searchsorted(head_words, run.words), max(0, len(head_words) - 1))
         known = head_words[place] == run.words if len(head_words) else np.zeros(len(run.words), bool)
         exact = np.where(known, head_counts[place], 0) if len(head_words) else np.zeros(len(run.words))
@@ -490,10 +508,17 @@ def score(df: DataFrame, model: Model, tail: DataFrame, keep: tuple[str, ...] =
         offsets = np.concatenate([[0], np.cumsum(sums(rare.astype(np.int64), run.counts))]).astype(np.int32)
         return [
             pa.array(run.counts.astype(np.int64)), pa.array(sums(known[run.at].astype(np.int64), run.counts)), pa.array(sums(logs[run.at], run.counts)),
-            pa.array(sums(_log10(norm_, false_mass, levels, pair[run.pair_at], run.at, run.before), run.counts)),
+            pa.array(sums(_log10(norm_, false_mass, levels, pair, run.at, run.before), run.counts)),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(run.tokens[rare].view(np.int64))),
         ]
 
+    def given(run: _Run, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        levels, pair = np.zeros((3, len(run.words)), dtype=np.uint8), np.zeros(len(run.pairs), dtype=np.uint8)
+        for s, words, pairs in zip(*(answers[c].to_pylist() for c in ("segment", "words", "pairs"))):
+            levels[:, run.word_ends[s] : run.word_ends[s + 1]] = np.frombuffer(words, dtype=np.uint8).reshape(3, -1)
+            pair[run.pair_ends[s] : run.pair_ends[s + 1]] = np.frombuffer(pairs, dtype=np.uint8)
+        return levels, pair
+
     def finish(rows: pa.Table, answers: pa.Table) -> pa.Table:
         """Rows of a chunk, by the runs in which they asked: a run begins at its first row's place."""
         rows = rows.sort_by("_place")
@@ -503,13 +528,28 @@ def score(df: DataFrame, model: Model, tail: DataFrame, keep: tuple[str, ...] =
         parts = []
         for lo, hi, first in zip(cuts[:-1], cuts[1:], firsts):
             part = rows.slice(lo, hi - lo)
-            found = scores(part["_text"].combine_chunks(), answers.filter(pa.array(begun == first)))
+            run = _Run(list(token_groups(part["_text"].combine_chunks())), segments)
+            levels, pair = given(run, answers.filter(pa.array(begun == first)))
+            found = scores(run, levels, pair[run.pair_at])
             parts.append(pa.table([*[part[c] for c in keep], *found], names=names))
         return pa.concat_tables(parts)
 
-    rows = _chunked(df, keep, text)
-    met = rows.select("_chunk", "_place", *keep, "_text").groupBy("_chunk").cogroup(_answers(rows, model).groupBy("_chunk"))
-    scored = cut_lineage(met.applyInArrow(finish, schema).withColumn("_row", F.monotonically_increasing_id()))
+    if model.bytes <= BROADCAST_BYTES:
+        whole = df.sparkSession.sparkContext.broadcast(model.filter)
+
+        def at_once(batches):
+            for batch in batches:
+                for group in token_groups(batch.column(len(keep))):
+                    run = _Run([group], 1, with_pairs=False)
+                    found = scores(run, *_looked_up(whole.value, run.words, run.pairs, run.at, run.before))
+                    yield pa.RecordBatch.from_arrays([*(c.slice(group[0], len(group[1])) for c in batch.columns[: len(keep)]), *found], names=names)
+
+        scored = df.select(*keep, text).mapInArrow(at_once, schema)
+    else:
+        rows = _chunked(df, keep, text)
+        met = rows.select("_chunk", "_place", *keep, "_text").groupBy("_chunk").cogroup(_answers(rows, model).groupBy("_chunk"))
+        scored = met.applyInArrow(finish, schema)
+    scored = cut_lineage(scored.withColumn("_row", F.monotonically_increasing_id()))
     rare = scored.select("_row", F.explode("_tail").alias("word")).groupBy("_row", "word").agg(F.count("*").alias("_tf"))
     rare = rare.join(tail, "word", "left").groupBy("_row").agg(
         F.sum(F.col("_tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("_rest"),
