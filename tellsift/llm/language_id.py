@@ -11,7 +11,7 @@ with the number of languages, is bounded whatever the corpus.
 
 from __future__ import annotations
 
-import re
+import regex
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ PROBES = 3
 SLICE = 1 << 20
 MERGE_AT = 1 << 21
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _PAD = b" " * max(ORDERS)
 

@@ -186,10 +186,15 @@ def bits_set(counts: DataFrame, column: str, least: int, first: int) -> int:
     return counts.agg(F.coalesce(F.sum(entry_bits(level(F.col(column), least), first)), F.lit(0))).first()[0]
 
 
-def places(key: np.ndarray, at_level: int, probe: int, segment_bits: int) -> np.ndarray:
-    size = np.uint64((1 << segment_bits) - 1)
+def _steps(key: np.ndarray, at_level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where an entry's places at a level begin, and how far they lie apart."""
     step = mix(key + np.uint64((at_level * 0xD1342543DE82EF95) & ((1 << 64) - 1)))
-    return (step + np.uint64(probe) * ((step >> np.uint64(32)) | np.uint64(1))) & size
+    return step, (step >> np.uint64(32)) | np.uint64(1)
+
+
+def places(key: np.ndarray, at_level: int, probe: int, segment_bits: int) -> np.ndarray:
+    step, stride = _steps(key, at_level)
+    return (step + np.uint64(probe) * stride) & np.uint64((1 << segment_bits) - 1)
 
 
 def segment_of(spot: np.ndarray, segments: int) -> np.ndarray:
@@ -200,15 +205,17 @@ def segment_of(spot: np.ndarray, segments: int) -> np.ndarray:
 def levels_in(bits: np.ndarray, key: np.ndarray, first: int, segment_bits: int, offset=None, most: int = 200) -> np.ndarray:
     """Levels of keys in a segment's ``bits``; ``offset``: where each key's segment begins, if there are several."""
     found = np.zeros(len(key), dtype=np.uint8)
-    live = np.arange(len(key))
+    live, size = np.arange(len(key)), np.uint64((1 << segment_bits) - 1)
     for at_level in range(1, most):
-        rows = live
-        for probe in range(first if at_level == 1 else PROBES):
+        rows, (step, stride) = live, _steps(key[live], at_level)
+        begin = np.uint64(0) if offset is None else offset[live]
+        for _ in range(first if at_level == 1 else PROBES):
+            place = begin + (step & size)
+            hit = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            rows, stride = rows[hit], stride[hit]
+            step, begin = step[hit] + stride, begin if offset is None else begin[hit]
             if not len(rows):
                 break
-            place = places(key[rows], at_level, probe, segment_bits)
-            place = place if offset is None else place + offset[rows]
-            rows = rows[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         if not len(rows):
             break
         found[rows] = at_level
