@@ -14,7 +14,7 @@ from tellsift.catalog.sqltext import (
 )
 from tellsift.catalog.text_q import COUNTED, POSF, SCORE_WORDS, TX_words, keyword, sentiment_sql
 from tellsift.functions import features as X, text as TX, words as W
-from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, sentences as S, stages, topics, vectorize as V
+from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, selection, sentences as S, stages, topics, vectorize as V
 from tellsift.plans import explore, predict, selftrain, training
 
 THRESHOLD = 0.3
@@ -445,6 +445,32 @@ def scaler_query(name, scaler, spread):
 
 scaler_query("f4_maxabs", "maxabs", "max(abs({})) OVER ()")
 scaler_query("f4_std", "std", "stddev_pop({}) OVER ()")
+# a column without a spread is left as it is
+scaler_query("f4_robust", "robust", "coalesce(nullif(quantile_cont({0}, 0.75) OVER () - quantile_cont({0}, 0.25) OVER (), 0), 1)")
+
+
+# Only values above zero are given; the operator counts the others as what is missing.
+@query(
+    "f8_mutual_information",
+    """
+WITH v AS (SELECT l_returnflag AS label, unnest(['quantity', 'price', 'discount', 'tax', 'month']) AS feature,
+                  unnest([CAST(l_quantity AS DOUBLE), l_extendedprice, l_discount, l_tax, month(l_shipdate)]) AS x FROM lineitem),
+e AS (SELECT feature, list_distinct(quantile_disc(x, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875])) AS edges FROM v GROUP BY feature),
+b AS (SELECT feature, label, len(list_filter(edges, lambda y: y < x)) AS bin FROM v JOIN e USING (feature)),
+c AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY ALL),
+s AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS in_bin, sum(n) OVER (PARTITION BY feature, label) AS size, sum(n) OVER (PARTITION BY feature) AS total FROM c)
+SELECT feature, round(sum(n / total * ln(CAST(n AS DOUBLE) * total / (CAST(in_bin AS DOUBLE) * size))), 6) AS mi FROM s GROUP BY feature
+""",
+)
+def f8_mutual_information(spark, sf):
+    rows = load(spark, f"{sf}/lineitem.parquet")
+    values = rows.select(
+        F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"),
+        F.col("l_tax").alias("tax"), F.month("l_shipdate").cast("double").alias("month"),
+    )
+    sizes = {r["label"]: r["count"] for r in values.groupBy("label").count().collect()}
+    cells = values.unpivot("label", ["quantity", "price", "discount", "tax", "month"], "feature", "value").where("value <> 0")
+    return selection.mutual_information(cells, sizes).select("feature", r6(F.col("mi"), "mi"))
 
 
 # ---- models: rows only ----

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from tellsift.catalog.registry import filings, labels, load, query, r6
 from tellsift.catalog.sqltext import FILINGS, LABELS, with_
 from tellsift.operators import ranks, results, sampling, tables as T
-from tellsift.sources import tables as S
+from tellsift.sources import aligned, tables as S
 
 
 def labelled(spark, sf):
@@ -205,6 +205,18 @@ def b11(spark, sf):
     return d.withColumnsRenamed({"Incident": "true_label", "Immaterial": "Incident"})
 
 
+@query(
+    "c4_aligned",
+    """WITH a AS (SELECT row_number() OVER () - 1 AS position, doc_id, n_chars FROM documents),
+b AS (SELECT row_number() OVER () - 1 AS position, page_id, url FROM pages)
+SELECT coalesce(a.position, b.position) AS position, doc_id, n_chars, page_id, url FROM a FULL JOIN b ON a.position = b.position""",
+)
+def c4(spark, sf):
+    docs = aligned.read_with_position(spark, f"{sf}/documents.parquet").select("position", "doc_id", "n_chars")
+    pages = aligned.read_with_position(spark, f"{sf}/pages.parquet").select("position", "page_id", "url")
+    return aligned.side_by_side(docs, pages)
+
+
 @query(
     "c3_natural_full",
     with_(*LABELLED)

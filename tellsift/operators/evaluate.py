@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tellsift.operators.quantiles import exact_quantiles
 from tellsift.session import cut_lineage
 
 
@@ -170,12 +171,9 @@ def no_skill(df: DataFrame, label: str) -> DataFrame:
 
 
 def compare_features(
-    df: DataFrame, keys: list[str], features: list[str] | None = None, accuracy: int = 100_000
+    df: DataFrame, keys: list[str], features: list[str] | None = None
 ) -> DataFrame:
-    """Distribution of every numeric feature by the value of every label.
-
-    Quartiles come from a mergeable sketch; they are exact up to about ``accuracy`` rows a group.
-    """
+    """Distribution of every numeric feature by the value of every label. Quartiles are exact."""
     if features is None:
         features = [c for c, t in df.dtypes if t != "string" and c not in keys]
     long = (
@@ -193,28 +191,13 @@ def compare_features(
         .select(*features, "g.key", "g.value")
         .unpivot(["key", "value"], features, "feature", "x")
     )
-    quartiles = F.percentile_approx("x", [0.25, 0.5, 0.75], accuracy)
-    return (
-        long.groupBy("feature", "key", "value")
-        .agg(
-            F.count("x").alias("rows"),
-            F.avg("x").alias("mean"),
-            F.stddev_samp("x").alias("stddev"),
-            F.min("x").alias("low"),
-            F.max("x").alias("high"),
-            quartiles.alias("q"),
-        )
-        .select(
-            "feature",
-            "key",
-            "value",
-            "rows",
-            "mean",
-            "stddev",
-            "low",
-            F.col("q")[0].alias("q25"),
-            F.col("q")[1].alias("median"),
-            F.col("q")[2].alias("q75"),
-            "high",
-        )
+    long = cut_lineage(long)
+    stats = long.groupBy("feature", "key", "value").agg(
+        F.count("x").alias("rows"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("stddev"), F.min("x").alias("low"), F.max("x").alias("high")
+    )
+    found = exact_quantiles(long, ["feature", "key", "value"], "x", [0.25, 0.5, 0.75], "disc")
+    at = lambda share, name: F.max(F.when(F.col("share") == share, F.col("quantile"))).alias(name)
+    found = found.groupBy(F.struct("feature", "key", "value").alias("_g")).agg(at(0.25, "q25"), at(0.5, "median"), at(0.75, "q75"))
+    return stats.withColumn("_g", F.struct("feature", "key", "value")).join(found, "_g", "left").select(
+        "feature", "key", "value", "rows", "mean", "stddev", "low", "q25", "median", "q75", "high"
     )

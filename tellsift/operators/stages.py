@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import (
-    ElementwiseProduct, IDF, MaxAbsScaler, Normalizer, RobustScaler, VectorAssembler,
+    ElementwiseProduct, IDF, MaxAbsScaler, Normalizer, VectorAssembler, VectorSlicer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import DenseVector, VectorUDT
@@ -27,6 +27,8 @@ from tellsift.functions.text import let
 from tellsift.functions.tokens import annotate
 from tellsift.operators.common import computed, computed_struct
 from tellsift.operators.frequency import token_grams
+from tellsift.operators.quantiles import exact_quantiles
+from tellsift.operators.selection import entries, mutual_information
 
 
 # Up to this many columns the SVD is read off the matrix of column products.
@@ -140,10 +142,43 @@ class SmoothIdf(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, Def
         )
 
 
+def quartile_ranges(dataset: DataFrame, column: str) -> np.ndarray:
+    """The distance between the quartiles of each column of the vectors; zeros that sparse vectors leave out count."""
+    n, width = dataset.select(F.count(column), F.max(F.unwrap_udt(F.col(column))["size"])).first()
+    first = dataset.select(column).where(F.col(column).isNotNull()).first()
+    out = np.zeros(width or (len(first[0]) if first else 0))
+    values = entries(dataset.where(F.col(column).isNotNull()), column).withColumn("n", F.lit(1).cast("long"))
+    zeros = values.groupBy("feature").agg(F.lit(0.0).alias("value"), (F.lit(n) - F.count("*")).alias("n"))
+    found = exact_quantiles(values.unionByName(zeros), ["feature"], "value", [0.25, 0.75], weight="n")
+    for row in found.groupBy("feature").agg((F.max("quantile") - F.min("quantile")).alias("spread")).toLocalIterator():
+        out[row["feature"]] = row["spread"]
+    return out
+
+
+class MutualInformationSelector(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Keeps the ``k`` columns that tell most about the label, by mutual information; ties by column number."""
+
+    k = Param(Params._dummy(), "k", "columns kept", TypeConverters.toInt)
+    labelCol = Param(Params._dummy(), "labelCol", "label", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, inputCol="assembled", outputCol="features", labelCol="label", k=100):
+        super().__init__()
+        self._setDefault(inputCol="assembled", outputCol="features", labelCol="label", k=100)
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset):
+        column = self.getInputCol()
+        rows = dataset.select(column, F.col(self.getOrDefault("labelCol")).alias("label")).where(F.col("label").isNotNull() & F.col(column).isNotNull())
+        sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+        best = mutual_information(entries(rows, column, "label"), sizes).orderBy(F.desc("mi"), "feature").limit(self.getOrDefault("k"))
+        return VectorSlicer(inputCol=column, outputCol=self.getOutputCol(), indices=sorted(r["feature"] for r in best.collect()))
+
+
 class ColumnScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Divides every column by its spread, without centring; a spread of 0 leaves the column.
 
-    ``spread`` is ``std`` (deviation with denominator n) or ``iqr`` (quartile range).
+    ``spread`` is ``std`` (deviation with denominator n) or ``iqr`` (exact quartile range, zeros included).
     """
 
     spread = Param(Params._dummy(), "spread", "std or iqr", TypeConverters.toString)
@@ -163,7 +198,7 @@ class ColumnScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
             n = max(stats["count"], 1)
             spread = np.sqrt(stats["variance"].toArray() * (n - 1) / n)
         else:
-            spread = RobustScaler(inputCol=column, outputCol="_r", withScaling=True).fit(dataset).range.toArray()
+            spread = quartile_ranges(dataset, column)
         scale = np.divide(1.0, spread, out=np.ones_like(spread), where=spread > 0)
         return ElementwiseProduct(
             scalingVec=DenseVector(scale), inputCol=column, outputCol=self.getOutputCol()
@@ -265,7 +300,7 @@ SCALERS = {
 }
 
 __all__ = [
-    "ColumnScaler", "LengthFeatures", "PosFeatures", "SCALERS", "SentimentFeatures", "SmoothIdf",
+    "ColumnScaler", "LengthFeatures", "MutualInformationSelector", "PosFeatures", "SCALERS", "SentimentFeatures", "SmoothIdf",
     "SublinearTf", "TokenGrams", "TruncatedSvd", "TruncatedSvdModel", "VectorAssembler",
     "array_to_vector", "vector_to_array",
 ]
