@@ -113,9 +113,12 @@ voc AS MATERIALIZED (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tot
  HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT n FROM nd))"""
 
 
+def grams():
+    return FR.gram_array(F.col("filtered_text"), 1, 2, stop=W.CR_STOP_LOWER)
+
+
 def counts(spark, sf):
-    grams = FR.gram_array(F.col("filtered_text"), 1, 2, stop=W.CR_STOP_LOWER)
-    return V.term_counts(filings(spark, sf), "idx", grams)
+    return V.term_counts(filings(spark, sf), "idx", grams())
 
 
 def n_filings(spark, sf):
@@ -150,13 +153,13 @@ def weights_sql(tf: str) -> str:
 
 @query("f2_tfidf", weights_sql("tf"))
 def f2(spark, sf):
-    t = V.tfidf(counts(spark, sf), vocabulary(spark, sf), n_filings(spark, sf), "idx")
+    t = V.corpus_tfidf(filings(spark, sf), "idx", grams(), n_filings(spark, sf), 2, 0.8)
     return t.select("idx", "term", r6(F.col("weight"), "weight"))
 
 
 @query("f3_sublinear", weights_sql("(1 + ln(tf))"))
 def f3(spark, sf):
-    t = V.tfidf(counts(spark, sf), vocabulary(spark, sf), n_filings(spark, sf), "idx", sublinear=True)
+    t = V.corpus_tfidf(filings(spark, sf), "idx", grams(), n_filings(spark, sf), 2, 0.8, sublinear=True)
     return t.select("idx", "term", r6(F.col("weight"), "weight"))
 
 

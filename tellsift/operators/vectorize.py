@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tellsift.operators.common import computed
+from tellsift.session import cut_lineage
 
 
 def term_counts(df: DataFrame, key: str, grams: Column) -> DataFrame:
@@ -45,6 +46,15 @@ def vocabulary(
     return terms
 
 
+def corpus_tfidf(
+    df: DataFrame, key: str, grams: Column, n_docs: Column | int, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False
+) -> DataFrame:
+    """The weights of all rows against their own vocabulary. Texts are cut and counted once: the counts are written,
+    and both the vocabulary and the weights read them."""
+    counts = cut_lineage(term_counts(df, key, grams))
+    return tfidf(counts, vocabulary(counts, n_docs, min_df, max_df), n_docs, key, sublinear=sublinear)
+
+
 def tfidf(
     counts: DataFrame,
     terms: DataFrame,
