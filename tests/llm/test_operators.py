@@ -185,6 +185,13 @@ def test_language(spark, docs, odd, none):
     assert language_id.predict(none, model).count() == 0
 
 
+def test_signs_are_no_letters(spark, docs):
+    learn = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    signs = spark.createDataFrame([(1, "\u00b2 \u00bd \u2460 12"), (2, "\u00b2 the")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(signs, language_id.train(learn)).collect()}
+    assert got[1] == "und" and got[2] != "und"
+
+
 def test_language_filter_counts_every_member():
     gram = np.arange(5000, dtype=np.int64) + (3 << 40)
     model = language_id.LanguageFilter([f"l{i}" for i in range(11)], np.arange(5000) % 11, gram)
