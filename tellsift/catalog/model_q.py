@@ -14,8 +14,9 @@ from tellsift.catalog.sqltext import (
 )
 from tellsift.catalog.text_q import COUNTED, POSF, SCORE_WORDS, TX_words, keyword, sentiment_sql
 from tellsift.functions import features as X, text as TX, words as W
-from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, selection, sentences as S, stages, topics, vectorize as V
+from tellsift.operators import evaluate as EV, frequency as FR, results, scoring, selection, sentences as S, stages, svd, topics, vectorize as V
 from tellsift.plans import explore, predict, selftrain, training
+from tellsift.session import cut_lineage
 
 THRESHOLD = 0.3
 
@@ -144,6 +145,57 @@ def f1_limited(spark, sf):
     return V.vocabulary(counts(spark, sf), n_filings(spark, sf), 2, 0.8, 1000)
 
 
+IDS = "ids AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM voc)"
+
+
+@query("f1_sparse_rows", with_(FILINGS, GRAMS, IDS) + "SELECT idx, id, tf FROM tf JOIN ids USING (term)")
+def f1_sparse_rows(spark, sf):
+    """The counts with a dense number for each term, the dictionary a table."""
+    held = cut_lineage(counts(spark, sf))
+    return V.sparse_rows(held, V.term_ids(V.vocabulary(held, n_filings(spark, sf), 2, 0.8)), "idx")
+
+
+def subspace_sql(rounds: int) -> str:
+    """Rounds of a block of two columns, each made orthonormal by subtraction, and the two-by-two eigenvectors at the end."""
+    start = [f"CAST('0x' || substr(md5(concat_ws('|', id, {j}, 2021)), 1, 8) AS BIGINT) / 2147483648.0 - 1 AS v{j}" for j in (0, 1)]
+    steps = [
+        "a AS MATERIALIZED (SELECT idx, id, 1 + ln(tf) AS x FROM tf JOIN ids USING (term))",
+        f"b0 AS MATERIALIZED (SELECT id, {', '.join(start)} FROM ids)",
+    ]
+    for r in range(rounds + 1):
+        steps += [
+            f"y{r} AS MATERIALIZED (SELECT idx, sum(x * v0) AS y0, sum(x * v1) AS y1 FROM a JOIN b{r} USING (id) GROUP BY idx)",
+            f"z{r} AS MATERIALIZED (SELECT id, sum(x * y0) AS w0, sum(x * y1) AS w1 FROM a JOIN y{r} USING (idx) GROUP BY id)",
+        ]
+        if r < rounds:
+            steps += [
+                f"n{r} AS MATERIALIZED (SELECT sqrt(sum(w0 * w0)) AS l FROM z{r})",
+                f"p{r} AS MATERIALIZED (SELECT sum(w0 / l * w1) AS d FROM z{r}, n{r})",
+                f"o{r} AS MATERIALIZED (SELECT id, w0 / l AS v0, w1 - d * w0 / l AS u FROM z{r}, n{r}, p{r})",
+                f"m{r} AS MATERIALIZED (SELECT sqrt(sum(u * u)) AS l FROM o{r})",
+                f"b{r + 1} AS MATERIALIZED (SELECT id, v0, u / l AS v1 FROM o{r}, m{r})",
+            ]
+    steps += [
+        f"t AS (SELECT sum(v0 * w0) AS p, sum(v0 * w1) AS q, sum(v1 * w1) AS r FROM b{rounds} JOIN z{rounds} USING (id))",
+        "e AS (SELECT atan2(2 * q, p - r) / 2 AS g FROM t)",
+        f"c AS (SELECT 0 AS component, id, v0 * cos(g) + v1 * sin(g) AS x FROM b{rounds}, e UNION ALL SELECT 1, id, v1 * cos(g) - v0 * sin(g) FROM b{rounds}, e)",
+        "s AS (SELECT component, arg_max(sign(x), abs(x)) AS s FROM c GROUP BY component)",
+    ]
+    return with_(FILINGS, GRAMS, IDS, *steps) + "SELECT component, term, CASE WHEN abs(x) < 0.0000005 THEN 0.0 ELSE round(x * s, 6) END AS weight FROM c JOIN s USING (component) JOIN ids USING (id)"
+
+
+@query("f5_svd_rounds", subspace_sql(3))
+def f5_rounds(spark, sf):
+    """Two components of the logarithmic counts after three rounds without further columns."""
+    held = cut_lineage(counts(spark, sf))
+    numbered = cut_lineage(V.term_ids(V.vocabulary(held, n_filings(spark, sf), 2, 0.8)))
+    rows = V.sparse_rows(held, numbered, "idx")
+    found = svd.leading(rows.select(F.col("idx").alias("row"), F.col("id").alias("col"), (1 + F.log("tf")).alias("value")), 2, rounds=3, extra=0)
+    named = found.weights().join(numbered.select(F.col("id").alias("col"), "term"), "col")
+    weight = F.when(F.abs("weight") < 0.0000005, F.lit(0.0)).otherwise(F.round("weight", 6))
+    return named.select("component", "term", weight.alias("weight"))
+
+
 def weights_sql(tf: str) -> str:
     return with_(
         FILINGS, GRAMS,
@@ -499,14 +551,14 @@ def whole_text_grams(low=1, high=2):
 
 @query("f5_svd")
 def f5(spark, sf):
-    _, components, words = topics.lsa_topics(filings(spark, sf), whole_text_grams(), k=10)
-    return topics.topic_words(spark, components, words, len(words))
+    weights, _ = topics.lsa_topics(filings(spark, sf), "idx", whole_text_grams(), k=10)
+    return topics.rank_words(weights, 1000)
 
 
 @query("g1_lsa")
 def g1(spark, sf):
-    _, components, words = topics.lsa_topics(filings(spark, sf), whole_text_grams(), k=10)
-    return topics.topic_words(spark, components, words, 20)
+    weights, _ = topics.lsa_topics(filings(spark, sf), "idx", whole_text_grams(), k=10)
+    return topics.rank_words(weights, 20)
 
 
 def nmf_query(name, loss):

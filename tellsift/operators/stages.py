@@ -18,21 +18,21 @@ from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
     MLReadable, MLReader, MLWritable, MLWriter,
 )
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
 from tellsift.functions import features as X
 from tellsift.functions.text import let
 from tellsift.functions.tokens import annotate
+from tellsift.operators import svd
 from tellsift.operators.common import computed, computed_struct
 from tellsift.operators.frequency import token_grams
 from tellsift.operators.quantiles import exact_quantiles
 from tellsift.operators.selection import entries, mutual_information
+from tellsift.session import cut_lineage
 
 
-# Up to this many columns the SVD is read off the matrix of column products.
-GRAM_COLUMNS = 4096
+#: Numbers of an SVD's basis that are broadcast: 256 MB.
+BROADCAST_CELLS = 2**25
 
 
 def max_share(share: float) -> float:
@@ -206,7 +206,7 @@ class ColumnScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
 
 class TruncatedSvd(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Projection on the ``k`` leading right singular vectors, found by Spark's row matrix."""
+    """Projection on the ``k`` leading right singular vectors, found by rounds over a table of cells."""
 
     k = Param(Params._dummy(), "k", "number of components", TypeConverters.toInt)
 
@@ -217,51 +217,78 @@ class TruncatedSvd(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        column = self.getInputCol()
-        rows = MLUtils.convertVectorColumnsFromML(dataset.select(column), column).persist()
-        matrix = RowMatrix(rows)
-        k = min(self.getOrDefault("k"), matrix.numCols())
-        if matrix.numCols() <= GRAM_COLUMNS:
-            # One pass adds up the columns x columns products; their eigenvectors are wanted.
-            values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
-            order = np.argsort(values)[::-1][:k]
-            components = vectors[:, order].T
-        else:
-            components = matrix.computeSVD(k, computeU=False, rCond=1e-9).V.toArray().T
-        rows.unpersist()
-        largest = np.abs(components).argmax(axis=1)
-        components = components * np.sign(components[np.arange(len(components)), largest])[:, None]
-        model = TruncatedSvdModel(components)
+        found = svd.leading(_cells(dataset.withColumn("_row", F.monotonically_increasing_id()), self.getInputCol()), self.getOrDefault("k"))
+        model = TruncatedSvdModel(found.basis, len(found.values))
         model._setDefault(inputCol="scaled", outputCol="features", k=100)
         return self._copyValues(model)
 
 
+def _cells(dataset: DataFrame, column: str) -> DataFrame:
+    return entries(dataset.where(F.col(column).isNotNull()), column, "_row").select(F.col("_row").alias("row"), F.col("feature").alias("col"), "value")
+
+
 class TruncatedSvdModel(Model, HasInputCol, HasOutputCol, MLReadable, MLWritable):
-    """``components`` is the k x columns matrix; its size is fixed by the vocabulary limit."""
+    """The basis is a table ``(col, v)`` with ``size`` weights per column.
+
+    A basis of up to ``BROADCAST_CELLS`` numbers is sent to the workers, a larger one is met by a join, with equal results.
+    A column that had only zeros adds nothing; a null vector stays null.
+    """
 
     k = TruncatedSvd.k
 
-    def __init__(self, components=None):
+    def __init__(self, basis=None, size=0):
         super().__init__()
-        self.components = components
+        self.basis, self.size = basis, size
+        self._columns = None
+
+    def columns(self) -> int:
+        """One more than the last column that the basis holds."""
+        if self._columns is None:
+            last = self.basis.agg(F.max("col")).first()[0]
+            self._columns = 0 if last is None else last + 1
+        return self._columns
+
+    @property
+    def components(self) -> np.ndarray:
+        """The components x columns matrix, for a small basis."""
+        out = np.zeros((self.columns(), self.size))
+        for row in self.basis.toLocalIterator():
+            out[row["col"]] = row["v"]
+        return out.T
 
     def _transform(self, dataset):
-        context = dataset.sparkSession.sparkContext
-        shared = context.broadcast(np.ascontiguousarray(self.components.T))
+        if self.columns() * self.size > BROADCAST_CELLS:
+            return self._joined(dataset)
+        shared = dataset.sparkSession.sparkContext.broadcast(np.ascontiguousarray(self.components.T))
 
         @F.pandas_udf(VectorUDT())
         def project(batch: pd.DataFrame) -> pd.DataFrame:
             basis = shared.value
-            dense = [
-                values @ (basis if indices is None else basis[indices])
-                for indices, values in zip(batch["indices"], batch["values"])
-            ]
+            dense = []
+            for indices, values in zip(batch["indices"], batch["values"]):
+                if values is None:
+                    dense.append(None)
+                    continue
+                at = np.arange(len(values)) if indices is None else np.asarray(indices, "int64")
+                known = at < len(basis)
+                dense.append(np.asarray(values)[known] @ basis[at[known]])
             none = [None] * len(dense)
             return pd.DataFrame(
                 {"type": np.ones(len(dense), "int8"), "size": pd.array(none, "Int32"), "indices": none, "values": dense}
             )
 
-        return dataset.withColumn(self.getOutputCol(), project(self.getInputCol()))
+        column = self.getInputCol()
+        return dataset.withColumn(self.getOutputCol(), F.when(F.col(column).isNotNull(), project(column)))
+
+    def _joined(self, dataset):
+        """The same by a join of cells and basis; the rows are written first, so that their numbers stay."""
+        column = self.getInputCol()
+        rows = cut_lineage(dataset.withColumn("_row", F.monotonically_increasing_id()))
+        found = svd.project(_cells(rows, column), self.basis, self.size).select(F.col("row").alias("_row"), F.col("v").alias("_v"))
+        value = F.coalesce("_v", F.array_repeat(F.lit(0.0), self.size))
+        return rows.join(found, "_row", "left").withColumn(
+            self.getOutputCol(), F.when(F.col(column).isNotNull(), array_to_vector(value))
+        ).drop("_row", "_v")
 
     def write(self):
         return _SvdWriter(self)
@@ -279,15 +306,15 @@ class _SvdWriter(MLWriter):
     def saveImpl(self, path):
         spark = self.sparkSession
         DefaultParamsWriter.saveMetadata(self.instance, path, spark)
-        rows = [(i, [float(x) for x in row]) for i, row in enumerate(self.instance.components)]
-        spark.createDataFrame(rows, "component int, weights array<double>").write.parquet(f"{path}/components")
+        self.instance.basis.withColumn("size", F.lit(self.instance.size)).write.parquet(f"{path}/basis")
 
 
 class _SvdReader(MLReader):
     def load(self, path):
         metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
-        rows = self.sparkSession.read.parquet(f"{path}/components").orderBy("component").collect()
-        model = TruncatedSvdModel(np.array([r.weights for r in rows]))
+        table = self.sparkSession.read.parquet(f"{path}/basis")
+        size = table.agg(F.max("size")).first()[0] or 0
+        model = TruncatedSvdModel(table.select("col", "v"), size)
         DefaultParamsReader.getAndSetParams(model, metadata)
         return model
 

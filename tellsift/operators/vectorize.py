@@ -46,6 +46,26 @@ def vocabulary(
     return terms
 
 
+def term_ids(terms: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Add ``id``, from 0 without gaps in the order of the terms.
+
+    Terms are cut into ranges, numbered inside each and moved up by the terms of the ranges before; only one count per
+    range meets in one task.
+    """
+    cut = (terms.repartitionByRange(tasks, "term") if tasks else terms.repartitionByRange("term")).withColumn("_range", F.spark_partition_id())
+    cut = cut_lineage(cut)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("term"))
+    return cut.withColumn("_at", inside).join(offsets, "_range").select(*terms.columns, (F.col("_before") + F.col("_at") - 1).alias("id"))
+
+
+def sparse_rows(counts: DataFrame, numbered: DataFrame, key: str) -> DataFrame:
+    """``(key, id, tf)`` of the numbered terms; the dictionary is a table and is met by a join."""
+    return counts.join(numbered.select("term", "id"), "term").select(key, "id", "tf")
+
+
 def corpus_tfidf(
     df: DataFrame, key: str, grams: Column, n_docs: Column | int, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False
 ) -> DataFrame:
