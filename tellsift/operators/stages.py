@@ -18,6 +18,8 @@ from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
     MLReadable, MLReader, MLWritable, MLWriter,
 )
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, functions as F
 
 from tellsift.functions import features as X
@@ -31,6 +33,8 @@ from tellsift.operators.selection import entries, mutual_information
 from tellsift.session import cut_lineage
 
 
+#: Up to this many columns an SVD adds up the columns' products, 128 MB at most.
+GRAM_COLUMNS = 4096
 #: Numbers of an SVD's basis that are broadcast: 256 MB.
 BROADCAST_CELLS = 2**25
 
@@ -206,7 +210,11 @@ class ColumnScaler(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
 
 
 class TruncatedSvd(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Projection on the ``k`` leading right singular vectors, found by rounds over a table of cells."""
+    """Projection on the ``k`` leading right singular vectors.
+
+    Up to ``GRAM_COLUMNS`` columns they are read off the columns' products, exactly and in one pass; beyond, found by rounds
+    over a table of cells, and no matrix of all columns meets in one place.
+    """
 
     k = Param(Params._dummy(), "k", "number of components", TypeConverters.toInt)
 
@@ -217,11 +225,27 @@ class TruncatedSvd(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable,
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
-        found = svd.leading(_cells(dataset.withColumn("_row", F.monotonically_increasing_id()), self.getInputCol()), self.getOrDefault("k"))
-        model = TruncatedSvdModel(found.basis, len(found.values))
+        column, k = self.getInputCol(), self.getOrDefault("k")
+        rows = MLUtils.convertVectorColumnsFromML(dataset.select(column).where(F.col(column).isNotNull()), column).persist()
+        first = rows.first()
+        if first is not None and first[0].size <= GRAM_COLUMNS:
+            model = self._narrow(dataset, RowMatrix(rows), k)
+        else:
+            found = svd.leading(_cells(dataset.withColumn("_row", F.monotonically_increasing_id()), column), k)
+            model = TruncatedSvdModel(found.basis, len(found.values))
+        rows.unpersist()
         model._setDefault(inputCol="scaled", outputCol="features", k=100)
         return self._copyValues(model)
 
+    def _narrow(self, dataset, matrix, k):
+        """The eigenvectors of the columns x columns products, which one pass adds up."""
+        values, vectors = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
+        components = vectors[:, np.argsort(values)[::-1][:k]]
+        largest = np.abs(components).argmax(axis=0)
+        components = components * np.sign(components[largest, np.arange(components.shape[1])])
+        rows = [(i, [float(x) for x in row]) for i, row in enumerate(components)]
+        return TruncatedSvdModel(dataset.sparkSession.createDataFrame(rows, "col int, v array<double>"), components.shape[1])
+
 
 def _cells(dataset: DataFrame, column: str) -> DataFrame:
     return entries(dataset.where(F.col(column).isNotNull()), column, "_row").select(F.col("_row").alias("row"), F.col("feature").alias("col"), "value")

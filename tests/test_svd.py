@@ -74,7 +74,10 @@ def test_model_joins_beyond_its_limit(spark, monkeypatch):
     x[3] = 0
     rows = [(i, Vectors.sparse(6, {j: v for j, v in enumerate(r) if v})) for i, r in enumerate(x)] + [(20, Vectors.dense(x[0]))]
     df = spark.createDataFrame(rows, ["id", "scaled"])
+    narrow = stages.TruncatedSvd(k=2).fit(df)
+    monkeypatch.setattr(stages, "GRAM_COLUMNS", 0)
     model = stages.TruncatedSvd(k=2).fit(df)
+    assert np.allclose(narrow.components, model.components, atol=1e-6)
     sent = [r.features.toArray() for r in model.transform(df).orderBy("id").collect()]
     monkeypatch.setattr(stages, "BROADCAST_CELLS", 0)
     joined = [r.features.toArray() for r in model.transform(df).orderBy("id").collect()]
