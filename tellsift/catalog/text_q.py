@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tellsift.catalog.registry import filings, labels, notices, query, r6
 from tellsift.catalog.sqltext import (
-    FILINGS, LABELS, NOTICES, annotated, cut, distinct_cut, inlist, lang, norm, q, replaced, score,
+    FILINGS, LABELS, NOTICES, annotated, cut, distinct_cut, inlist, lang, mark, norm, q, replaced, score,
     tagged, valid, with_, words_of,
 )
 from tellsift.functions import features as X, text as TX, tokens as K, words as W
+from tellsift.functions.rules import CLOSE, OPEN
 from tellsift.operators import entities as E, frequency as FR, lexicon, scoring, sentences as S
 from tellsift.operators.common import computed_struct
 
@@ -95,6 +96,59 @@ def e6(spark, sf):
     return E.mentions(ann_notices(spark, sf))
 
 
+# All places where a name's tokens stand in a sentence's tokens, by comparing lists.
+PLACES = """tn AS MATERIALIZED (SELECT DISTINCT label, {words_n} AS l FROM names),
+ts AS MATERIALIZED (SELECT idx, pos, {words_s} AS l FROM seg),
+places AS MATERIALIZED (SELECT idx, pos, unnest(l) AS w, generate_subscripts(l, 1) AS i, l FROM ts)
+SELECT DISTINCT idx, pos, CAST(i - 1 AS INTEGER) AS token, CAST(len(tn.l) AS INTEGER) AS words, label, array_to_string(tn.l, ' ') AS text
+FROM places p JOIN tn ON p.w = tn.l[1] AND p.l[i:i + len(tn.l) - 1] = tn.l"""
+
+
+def places(names: str) -> str:
+    def tokens(x):
+        return f"regexp_extract_all({mark(x)}, {q(OPEN + '([^' + CLOSE + ']*)' + CLOSE)}, 1)"
+
+    return f"names AS ({names}), " + PLACES.format(words_n=tokens("trim(text)"), words_s=tokens("sents"))
+
+
+@query(
+    "e6_gazetteer",
+    with_(NOTICES, cut("notices"), places("""SELECT 'GPE' AS label, n_name AS text FROM nation UNION SELECT 'PLACE', n_name FROM nation
+ UNION SELECT 'ORG', c_name FROM customer UNION SELECT 'CASE', n_name || ' v. Acme Holdings, Inc.' FROM nation
+ UNION SELECT 'ORG', 'Acme Holdings, Inc.' UNION SELECT 'GOV', 'Securities and Exchange Commission'
+ UNION SELECT 'GOV', 'U.S. Department of Justice' UNION SELECT 'SEGMENT', lower(c_mktsegment) || '.com' FROM customer""")),
+)
+def e6_gazetteer(spark, sf):
+    """Places of nations, customers, cases and authorities in the notices; names overlap and hold punctuation."""
+    nation = spark.read.parquet(f"{sf}/nation.parquet")
+    customer = spark.read.parquet(f"{sf}/customer.parquet")
+    name = "label string, text string"
+    fixed = spark.createDataFrame(
+        [("ORG", "Acme Holdings, Inc."), ("GOV", "Securities and Exchange Commission"), ("GOV", "U.S. Department of Justice")], name
+    )
+    named = [
+        nation.select(F.explode(F.array(F.lit("GPE"), F.lit("PLACE"))).alias("label"), F.col("n_name").alias("text")),
+        nation.select(F.lit("CASE").alias("label"), F.concat("n_name", F.lit(" v. Acme Holdings, Inc.")).alias("text")),
+        customer.select(F.lit("ORG").alias("label"), F.col("c_name").alias("text")),
+        customer.select(F.lit("SEGMENT").alias("label"), F.concat(F.lower("c_mktsegment"), F.lit(".com")).alias("text")),
+    ]
+    for more in named:
+        fixed = fixed.unionByName(more)
+    return lexicon.name_spans(cut_notices(spark, sf), K.plain_tokens(F.col("sents")), fixed)
+
+
+@query(
+    "e6_quotes",
+    with_(FILINGS, cut("filings"), "quoted AS (SELECT item_id AS idx, text AS filtered_text FROM benchmark)", cut("quoted", "qs"),
+          places("SELECT 'QUOTE' AS label, sents AS text FROM qs")),
+)
+def e6_quotes(spark, sf):
+    """Every sentence of the benchmark as a name, sought in the sentences of the documents; names of any length."""
+    quoted = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("idx"), F.lit("").alias("cik"), F.col("text").alias("filtered_text"))
+    names = S.cut_filings(quoted, "filtered_text").select(F.lit("QUOTE").alias("label"), F.col("sents").alias("text"))
+    return lexicon.name_spans(S.cut_filings(filings(spark, sf), "filtered_text"), K.plain_tokens(F.col("sents")), names)
+
+
 @query(
     "e7_org_noise",
     with_(*ANN, recursive=True)

@@ -184,6 +184,36 @@ def test_unknown_words_and_gazetteer(spark):
     assert [t.text for t in marked.first().ann][:3] == ["the", "zorb", "met"]
 
 
+def spans_by_hand(sentences, names):
+    """Every place of every name, by comparing token lists."""
+    return {
+        (idx, pos, i, len(name), label, " ".join(name))
+        for idx, pos, words in sentences
+        for label, name in names
+        for i in range(len(words or []))
+        if name and words[i : i + len(name)] == name
+    }
+
+
+@pytest.mark.parametrize("bound", [lexicon.BROADCAST_BYTES, -1], ids=["sent", "shuffled"])
+def test_name_spans_against_lists(spark, monkeypatch, bound):
+    monkeypatch.setattr(lexicon, "BROADCAST_BYTES", bound)
+    draw = random.Random(7)
+    words = ["the", "the", "the", "bank", "of", "north", "x"]
+    text = [[draw.choice(words) for _ in range(draw.randint(0, 30))] for _ in range(200)]
+    sentences = [(i, 0, w) for i, w in enumerate(text)] + [(500, 0, None), (501, 0, ["the", None, "bank", "the", "bank"])]
+    names = [(draw.choice("AB"), [draw.choice(words) for _ in range(draw.randint(1, 5))]) for _ in range(40)]
+    names += [("A", text[3][:25]), ("B", text[3][:25]), ("A", ["absent", "name"])]
+    listed = [(label, "  " + " ".join(name)) for label, name in names] + [("A", ""), ("A", None), (None, "the")]
+    df = spark.createDataFrame(sentences, "idx long, pos int, words array<string>")
+    table = spark.createDataFrame(listed, "label string, text string")
+    found = [tuple(r) for r in lexicon.name_spans(df, F.col("words"), table).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == spans_by_hand(sentences, names)
+    assert lexicon.name_spans(df, F.col("words"), table.limit(0)).count() == 0
+    assert lexicon.name_spans(df.limit(0), F.col("words"), table).count() == 0
+
+
 def test_entity_table(spark):
     df = spark.createDataFrame([(1, 0, "The FDA told Acme Corp. that IBM filed Form 8-K")], "idx long, pos int, sents string")
     table = {(r.label, r.text) for r in E.word_entity_table(S.with_annotation(df)).collect()}
