@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tellsift.catalog.registry import filings, labels, load, query, r6
 from tellsift.catalog.sqltext import FILINGS, LABELS, with_
-from tellsift.operators import ranks, results, sampling, tables as T
+from tellsift.operators import chunks, ranks, results, sampling, tables as T
 from tellsift.sources import aligned, tables as S
 
 
@@ -387,3 +387,27 @@ def d11(spark, sf):
     o = load(spark, f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("idx"), "o_orderstatus")
     ranked = ranks.exact_rank(o.withColumn("h", ranks.order_key(7, "idx")), ["o_orderstatus"], "h", ["idx"])
     return ranked.select("idx", "o_orderstatus", "rank")
+
+
+@query(
+    "x13_own_function",
+    """SELECT doc_id AS idx, CASE WHEN len(l) > 1 THEN l[2] END AS line, CASE WHEN len(l) > 1 THEN NULL
+ WHEN l IS NULL THEN 'TypeError: no text' ELSE 'ValueError: only one line' END AS error
+FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
+)
+def x13(spark, sf):
+    """A function of one's own over all documents, the rows on which it fails beside the others."""
+
+    def second(text):
+        if text is None:
+            raise TypeError("no text")
+        lines = text.split("\n")
+        if len(lines) < 2:
+            raise ValueError("only one line")
+        return lines[1]
+
+    def function(chunk):
+        return chunk.assign(line=[second(t) for t in chunk["filtered_text"]])
+
+    done, failed = chunks.map_chunks(filings(spark, sf), function, "line string")
+    return done.unionByName(failed, allowMissingColumns=True)

@@ -57,24 +57,28 @@ def read_csv(
     """CSV files with a header; fields may hold line ends and doubled quotes.
 
     Without ``encoding`` each file is read as UTF-8 where all its bytes are valid UTF-8, and as
-    cp1252 otherwise; this takes one more scan of the bytes. Only files that are not empty count;
+    cp1252 otherwise; without ``schema`` files are read together where their first lines are equal, and the columns of
+    different headers are matched by name. Either takes one more scan of the bytes, for all files at once. Only files that are not empty count;
     without any, the result is an empty table of ``schema``, or None when no schema is given.
     ``with_file`` adds the file name as ``file``.
     """
     paths = existing(spark, [paths] if isinstance(paths, str) else paths)
-    groups: dict[str, list[str]] = {}
-    if paths and encoding is not None:
-        groups[encoding] = paths
+    groups: dict[tuple[str, str], list[str]] = {}
+    if paths and encoding is not None and schema is not None:
+        groups[encoding, ""] = paths
     elif paths:
         # One row per file comes to the driver, as its file listing does anyway.
+        place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
         checks = (
             spark.read.text(paths)
-            .groupBy(F.col("_metadata.file_path").alias("file"))
-            .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"))
+            .select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+            .groupBy("file")
+            .agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.hex(F.min_by("value", "place")).alias("header"))
         )
         for row in checks.toLocalIterator():
-            groups.setdefault("UTF-8" if row.utf8 else "windows-1252", []).append(row.file)
-    frames = [_csv(spark, files, enc, schema, with_file, options) for enc, files in sorted(groups.items())]
+            kind = encoding or ("UTF-8" if row.utf8 else "windows-1252")
+            groups.setdefault((kind, row.header if schema is None else ""), []).append(row.file)
+    frames = [_csv(spark, files, enc, schema, with_file, options) for (enc, _), files in sorted(groups.items())]
     if not frames:
         return None if schema is None else spark.createDataFrame([], schema)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -83,14 +87,10 @@ def read_csv(
 def merge_csv(
     spark: SparkSession, paths: list[str], out: str | None = None, schema=None, **options
 ) -> DataFrame:
-    """Union by name of the listed files that exist, written to ``out`` when given."""
-    frames = [read_csv(spark, p, schema=schema, **options) for p in existing(spark, paths)]
-    frames = [f for f in frames if f is not None]
-    if not frames:
-        if schema is None:
-            raise ValueError("none of the files exists or has content; give a schema")
-        frames = [spark.createDataFrame([], schema)]
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    """Union by name of the listed files that exist, written to ``out`` when given; one scan per distinct header."""
+    merged = read_csv(spark, paths, schema=schema, **options)
+    if merged is None:
+        raise ValueError("none of the files exists or has content; give a schema")
     if out:
         write_table(merged, out)
     return merged

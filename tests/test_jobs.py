@@ -4,12 +4,13 @@ import random
 from unittest.mock import MagicMock
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tellsift.catalog import all_queries, model_q
 from tellsift.functions.rules import default_rules, read_rules, rule_table
-from tellsift.operators import evaluate as EV, ranks, sampling, scoring, tables, topics
+from tellsift.operators import chunks, evaluate as EV, ranks, sampling, scoring, tables, topics
 from tellsift.operators.frequency import token_grams
 from tellsift.operators.stages import (
     ColumnScaler, LengthFeatures, PosFeatures, SentimentFeatures, SmoothIdf, SublinearTf, TruncatedSvd,
@@ -140,6 +141,53 @@ def test_csv_sources(spark, tmp_path):
         SRC.merge_csv(spark, [f"{folder}/absent.csv"])
 
 
+def test_many_files_with_few_headers_are_few_scans(spark, tmp_path):
+    for i in range(12):
+        (tmp_path / f"a{i}.csv").write_text(f"cik,note\n{i},n{i}\n")
+    for i in range(3):
+        (tmp_path / f"b{i}.csv").write_text(f"note,more,cik\nm{i},x{i},{100 + i}\n")
+    (tmp_path / "c.csv").write_bytes("cik,note\n200,“q”\n".encode("cp1252"))
+    (tmp_path / "empty.csv").write_text("")
+    merged = SRC.merge_csv(spark, [str(p) for p in sorted(tmp_path.iterdir())])
+    rows = {(r.cik, r.note, r.more) for r in merged.collect()}
+    assert rows == {(str(i), f"n{i}", None) for i in range(12)} | {(str(100 + i), f"m{i}", f"x{i}") for i in range(3)} | {("200", "“q”", None)}
+    assert merged._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 3
+
+
+def test_natural_full_on_texts(spark):
+    new = spark.createDataFrame([("a" * 5000, 1, 1), (None, 2, 2), ("c", 3, 3)], "text string, k int, x int")
+    old = spark.createDataFrame([("a" * 5000, 1, 7), (None, 2, 8), ("c", None, 9)], "text string, k int, y int")
+    got = {tuple(r) for r in tables.natural_full(new, old).collect()}
+    assert got == {("a" * 5000, 1, 1, 7), (None, 2, 2, 8), ("c", 3, 3, None), ("c", None, None, 9)}
+
+
+@pytest.mark.parametrize("chunk_bytes", [1, 300, chunks.CHUNK_BYTES])
+def test_own_function_over_chunks(spark, chunk_bytes):
+    df = spark.range(500).select(
+        F.col("id").alias("idx"), F.when(F.col("id") % 50 == 7, "bad").otherwise(F.col("id").cast("string")).alias("t"), F.lit(1).alias("more")
+    )
+    df = df.unionByName(spark.createDataFrame([(500, None, 1), (501, "9" * 400, 1), (7, "12", 1)], "idx long, t string, more int"))
+
+    def function(rows):
+        if len(rows) > 1 and rows["t"].map(lambda t: len(t or "")).sum() > chunk_bytes:
+            raise AssertionError("more than the bytes of a chunk")
+        return pd.DataFrame({"n": [int(t) for t in rows["t"]]})
+
+    done, failed = chunks.map_chunks(df, function, "n long", chunk_bytes=chunk_bytes)
+    good = {(i, i) for i in range(500) if i % 50 != 7} | {(7, 12)}
+    assert sorted(map(tuple, done.collect())) == sorted(good)
+    assert sorted(r.idx for r in failed.collect()) == [*range(7, 500, 50), 500, 501]
+    kinds = {r.idx: r.error.split(":")[0] for r in failed.collect()}
+    assert kinds[7] == "ValueError" and kinds[500] == "TypeError"
+    assert done.columns == ["idx", "n"] and done.schema["idx"].dataType == df.schema["idx"].dataType
+    both = chunks.map_chunks(df.limit(0), function, "n long")
+    assert [t.count() for t in both] == [0, 0]
+    short = chunks.map_chunks(df.limit(3), lambda rows: rows.head(0).assign(n=1)[["n"]], "n long")
+    assert [t.count() for t in short] == [0, 3]
+    with pytest.raises(ValueError):
+        chunks.map_chunks(df, function, "idx long")
+
+
 def test_rules_from_json_lines(spark, tmp_path):
     path = tmp_path / "rules.jsonl"
     path.write_text(
