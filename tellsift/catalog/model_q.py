@@ -294,11 +294,12 @@ def i7(spark, sf):
     + f"SELECT model_name, {PRF.replace('round(tp / (tp + fp), 6)', 'round(coalesce(tp / nullif(tp + fp, 0), 0), 6)').replace('round(tp / (tp + fn), 6)', 'round(coalesce(tp / nullif(tp + fn, 0), 0), 6)').replace('round(2 * tp / (2 * tp + fp + fn), 6)', 'round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6)')} FROM c",
 )
 def h8(spark, sf):
-    """One row of scores per source, each source standing for a model."""
+    """One row of scores per source, each source standing for a model; the table is built from the models' summaries."""
     p = EV.apply_threshold(evaluated(spark, sf), THRESHOLD).join(filings(spark, sf).select("idx", F.col("cik").alias("model_name")), "idx")
-    return EV.precision_recall_f1(p, "Incident", by=["model_name"]).select(
+    found = EV.precision_recall_f1(p, "Incident", by=["model_name"]).select(
         "model_name", *[r6(F.col(c), c) for c in ("precision", "recall", "f1")]
     )
+    return results.model_table(spark, [row.asDict() for row in found.collect()])
 
 
 @query("i8_apply_threshold", with_(*EVAL) + "SELECT idx, pos, CAST(proba > 0.3 AS INTEGER) AS pred, CAST(proba >= 0.25 AS INTEGER) AS pred_incl FROM e")
@@ -649,6 +650,45 @@ def j2(spark, sf):
     return result.select("row_id", "Immaterial", "pseudo_label", "round", "Immaterial_proba")
 
 
+ROUNDS, SURE = 10, 0.95
+
+
+def rounds_sql() -> str:
+    """Every round counted anew over all known rows; a round after the last that adopts changes nothing."""
+    parts = [
+        "tm AS MATERIALIZED (SELECT idx || '-' || pos AS row_id, list_distinct(" + words_of("sents") + ") AS terms FROM seg)",
+        "ct AS MATERIALIZED (SELECT row_id, unnest(terms) AS t FROM tm)",
+        "v AS (SELECT greatest(count(DISTINCT t), 1) AS v FROM ct)",
+        "s0 AS MATERIALIZED (SELECT row_id, coalesce(Immaterial, -1) AS y, y AS label, CASE WHEN y <> -1 THEN 0 END AS round "
+        "FROM tm LEFT JOIN lab ON lab.idx = CAST(split_part(row_id, '-', 1) AS BIGINT))",
+    ]
+    for r in range(ROUNDS + 1):
+        parts += [
+            f"k{r} AS MATERIALIZED (SELECT t, count_if(label = 1) AS p, count_if(label = 0) AS n FROM ct JOIN s{r} USING (row_id) WHERE label <> -1 GROUP BY t)",
+            f"z{r} AS MATERIALIZED (SELECT coalesce(sum(p), 0) + any_value(v) AS p, coalesce(sum(n), 0) + any_value(v) AS n FROM v LEFT JOIN k{r} ON true)",
+            f"m{r} AS (SELECT row_id, sum(ln((coalesce(k.p, 0) + 1) / z.p) - ln((coalesce(k.n, 0) + 1) / z.n)) AS w FROM ct LEFT JOIN k{r} k USING (t), z{r} z GROUP BY row_id)",
+            f"q{r} AS MATERIALIZED (SELECT s.*, 1 / (1 + exp(-(ln((SELECT (count_if(label = 1) + 1) / (count_if(label = 0) + 1) FROM s{r})) + coalesce(w, 0)))) AS pr FROM s{r} s LEFT JOIN m{r} USING (row_id))",
+        ]
+        if r < ROUNDS:
+            sure = f"label = -1 AND greatest(pr, 1 - pr) > {SURE}"
+            parts.append(
+                f"s{r + 1} AS MATERIALIZED (SELECT row_id, y, CASE WHEN {sure} THEN CAST(pr > 0.5 AS INTEGER) ELSE label END AS label, "
+                f"CASE WHEN {sure} THEN {r + 1} ELSE round END AS round FROM q{r})"
+            )
+    return with_(FILINGS, cut("filings"), LABELS, *parts) + (
+        f"SELECT row_id, y AS Immaterial, label AS pseudo_label, CAST(round AS INTEGER) AS round, round(pr, 6) AS proba FROM q{ROUNDS}"
+    )
+
+
+@query("j2_rounds", rounds_sql())
+def j2_rounds(spark, sf):
+    """Self-training over all sentences by counts of their words, all ten rounds."""
+    cut_rows = S.cut_filings(filings(spark, sf), "filtered_text").join(labels(spark, sf), "idx", "left")
+    rows = cut_rows.select(F.concat_ws("-", "idx", "pos").alias("row_id"), TX_words(F.col("sents")).alias("terms"), "Immaterial")
+    out = selftrain.self_train_by_counts(rows, "Immaterial", threshold=SURE, max_rounds=ROUNDS)
+    return out.select("row_id", "Immaterial", "pseudo_label", "round", r6(F.col("Immaterial_proba"), "proba"))
+
+
 @query("j7_score_filings")
 def j7(spark, sf):
     model = training.fit_model(training.ModelSpec(), training_rows(spark, sf).persist(), SMALL)
