@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tellsift.functions import features as X, text as T, tokens as K, words as W
+from tellsift.functions.rules import Rule, default_rules
 from tellsift.operators import entities as E, lexicon, sentences as S
 
 CLAUSE = (
@@ -218,3 +219,19 @@ def test_entity_table(spark):
     df = spark.createDataFrame([(1, 0, "The FDA told Acme Corp. that IBM filed Form 8-K")], "idx long, pos int, sents string")
     table = {(r.label, r.text) for r in E.word_entity_table(S.with_annotation(df)).collect()}
     assert {("GOV", "FDA"), ("FILING", "Form 8-K"), ("is_upper", "IBM"), ("modified_ORG", "Acme Corp.")} <= table
+
+
+def test_costly_patterns_are_tried_only_where_they_can_match(spark, capsys):
+    free = [r for r in default_rules() if r.anchors is None]
+    assert [r.sign for r in free] == ["FY", "FY", "-", ":"]
+    assert [Rule("X", p).sign for p in (r"i:fy\d{2}", r"[A-Z]\d", r"\d{2} FY\d{1,2}", r"a{0,1}\d")] == [None, None, "FY", None]
+    texts = ["the FY21 and FY2021 on 2020-01-02 at 10:30 a.m. in Acme Holdings, Inc. it's", "(NYSE: ABC) won't", "x", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "sents string").select(K.annotate("sents").alias("ann"))
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "array_sort(" not in plan
+    found = [[(t.i, t.text, t.ent) for t in r.ann if t.ent] for r in df.collect()]
+    assert found == [
+        [(1, "FY21", "ACCT"), (3, "FY2021", "ACCT"), (5, "2020-01-02", "DATE"), (7, "10:30 a.m.", "TIME"), (10, "Acme Holdings, Inc.", "ORG")],
+        [(0, "(NYSE: ABC)", "TICKER")], [], [],
+    ]
