@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tellsift.catalog.registry import filings, labels, load, query, r6
 from tellsift.catalog.sqltext import FILINGS, LABELS, with_
@@ -311,8 +311,8 @@ SELECT idx, cik, form_type FROM (SELECT *, row_number() OVER (PARTITION BY form_
 )
 def d4_restart(spark, sf):
     """The same sample where every file numbers its filings from 1."""
-    numbered = filings(spark, sf).withColumn("idx", F.row_number().over(Window.partitionBy("form_type").orderBy("idx")).cast("long"))
-    sample, _ = sampling.sample_files(numbered, nmax=11, file_col="form_type")
+    restarted = ranks.numbered(filings(spark, sf), ["form_type"], ["idx"], "idx")
+    sample, _ = sampling.sample_files(restarted, nmax=11, file_col="form_type")
     return sample.select("idx", "cik", "form_type")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tellsift.session import written
+
 # A window limit up to this many rows per group is applied by Spark before the shuffle.
 GROUP_LIMIT = 1000
 SALTS = 64
@@ -21,7 +23,25 @@ def exact_rank(df: DataFrame, keys: list[str], hashed: str, ties: list[str]) ->
     its own and moved up by the number of rows in the stretches before it, so that a class with
     most of the rows is ranked by many tasks.
     """
-    cut = df.withColumn("_stretch", F.substring(hashed, 1, 3))
+    return _ranked(df.withColumn("_stretch", F.substring(hashed, 1, 3)), keys, [hashed, *ties])
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with rows numbered from 1 per ``keys`` in the given order, in place of a column ``name`` if there is one.
+
+    Rows are dealt by range of keys and order, so that a group with most rows is numbered by many tasks. They are
+    written once, since Spark draws the bounds of ranges anew each time; only keys and order are ranked, the other
+    columns meet their number by a row id, which spreads evenly.
+    """
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_row", F.monotonically_increasing_id())
+    cut = written(dealt.withColumn("_stretch", F.spark_partition_id()))
+    ranked = _ranked(cut.select(*dict.fromkeys([*keys, *order]), "_row", "_stretch"), keys, order)
+    whole = cut.join(ranked.select("_row", F.col("rank").alias("_rank")), "_row")
+    return whole.withColumn(name, F.col("_rank")).select(*dict.fromkeys([*df.columns, name]))
+
+
+def _ranked(cut: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add ``rank`` and ``group_rows``; ``_stretch`` says in which stretch of its group's order a row stands."""
     counts = cut.groupBy(*keys, "_stretch").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(
         Window.unboundedPreceding, -1
@@ -32,13 +52,13 @@ def exact_rank(df: DataFrame, keys: list[str], hashed: str, ties: list[str]) ->
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*keys)).alias("group_rows"),
     )
-    inside = Window.partitionBy(*keys, "_stretch").orderBy(hashed, *ties)
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(*order)
     ranked = cut.withColumn("_r", F.row_number().over(inside))
     match = F.col("_stretch") == F.col("_s")
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return ranked.join(offsets, match).select(
-        *df.columns, (F.col("_r") + F.col("_before")).alias("rank"), "group_rows"
+        *[c for c in cut.columns if c != "_stretch"], (F.col("_r") + F.col("_before")).alias("rank"), "group_rows"
     )
 
 

@@ -396,3 +396,17 @@ def test_selftrain_query_takes_all_terms_and_rounds(spark, monkeypatch):
 @pytest.mark.parametrize("name, function", [("g2_nmf", "nmf_topics"), ("g3_nmf_kl", "nmf_topics"), ("g4_lda", "lda_topics"), ("g5_topic_words", "lda_topics")])
 def test_topic_queries_take_all_iterations(spark, monkeypatch, name, function):
     assert "max_iter" not in caught(monkeypatch, name, spark, topics, function).kwargs
+
+
+def test_numbered_deals_a_hot_group_to_many_tasks(spark, capsys):
+    rows = [("a" if i % 20 else None, (i * 7919) % 4000 if i % 50 else None, i) for i in range(4000)]
+    found = ranks.numbered(spark.createDataFrame(rows, "g string, k long, row long").repartition(8), ["g"], ["k", "row"], "k")
+    assert found.columns == ["g", "k", "row"]
+    wanted = {}
+    for g in ("a", None):
+        inside = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
+        wanted |= {r[2]: (g, n) for n, r in enumerate(inside, 1)}
+    assert {r.row: (r.g, r.k) for r in found.collect()} == wanted
+    found.explain()
+    numbering = [line for line in capsys.readouterr().out.splitlines() if "row_number()" in line]
+    assert numbering and all("_stretch" in line for line in numbering)
