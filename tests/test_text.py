@@ -235,3 +235,23 @@ def test_costly_patterns_are_tried_only_where_they_can_match(spark, capsys):
         [(1, "FY21", "ACCT"), (3, "FY2021", "ACCT"), (5, "2020-01-02", "DATE"), (7, "10:30 a.m.", "TIME"), (10, "Acme Holdings, Inc.", "ORG")],
         [(0, "(NYSE: ABC)", "TICKER")], [], [],
     ]
+
+
+def test_a_rule_is_searched_where_all_its_words_stand(spark):
+    """Rules are found by the hash of one word; the other long words and the case of plain ones must be there too."""
+    needs = {r.pattern: r.needs for r in default_rules()}
+    assert needs["i:the dddd{?} Act"] == [(["Act"], True)]
+    assert needs["Financial Industry Regulatory Authority"][0] == (["Regulatory"], True) and len(needs["Financial Industry Regulatory Authority"]) == 4
+    assert needs["i:annual i:report"] == [(["annual"], False), (["report"], False)]
+    assert Rule("X", "[^ab] Title").needs == []
+    texts = [
+        "THE Act and the act of May 5, may 5", "aNNual REPORT at Acme company, at Acme Company of the United\tStates", None, "  ",
+        "the Financial Authority met the Financial Industry Regulatory Authority (nasdaq: X, NYSE: Y) \t end",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, sents string").select("id", K.annotate("sents").alias("ann"))
+    found = [r.ann and [(t.i, t.text, t.ent) for t in r.ann if t.ent] for r in df.orderBy("id").collect()]
+    assert found == [
+        [(0, "THE Act", "LAW"), (6, "May 5", "DATE")], [(0, "aNNual REPORT", "FILING"), (7, "Acme Company", "ORG")], None, [],
+        [(5, "Financial Industry Regulatory Authority", "GOV"), (9, "(nasdaq: X, NYSE: Y)", "TICKER")],
+    ]
+    assert [tuple(t) for t in one(spark, "a \t b of  c", lambda c: K.annotate(c, [Rule("E", ".+ of")]))] == [(0, "a b of", "E"), (3, "c", None)]
