@@ -89,3 +89,31 @@ def test_rows_side_by_side(spark, tmp_path):
     assert [r.position for r in a.repartition(7).orderBy("a").collect()] == list(range(100))
     with pytest.raises(ValueError):
         side_by_side(a, a)
+
+
+def test_few_keys_do_not_gather_the_rows(spark, monkeypatch):
+    """The few intervals and edges are sent to the rows, with equal results where they are joined instead."""
+    from tellsift.operators import quantiles, selection
+
+    rng = random.Random(7)
+    cells = spark.createDataFrame([(rng.choice("ab"), float(rng.randint(1, 900)), rng.choice("xy")) for _ in range(2000)], "feature string, value double, label string")
+    sizes = {r["label"]: r["count"] for r in cells.groupBy("label").count().collect()}
+    plans, kept = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def planned(df, limit=100_000):
+            out = common.hinted(df, limit)
+            plans.append(out._jdf.queryExecution().toString())
+            return out
+
+        from tellsift.operators import common
+        for module in (quantiles, selection):
+            monkeypatch.setattr(module, "hinted", planned)
+        sent = sorted(map(tuple, mutual_information(cells, sizes).collect()))
+        assert plans and all("ResolvedHint" in p or "broadcast" in p.lower() for p in plans)
+        plans.clear()
+        for module in (quantiles, selection):
+            monkeypatch.setattr(module, "hinted", lambda df: common.hinted(df, 0))
+        assert [(f, pytest.approx(x)) for f, x in sent] == sorted(map(tuple, mutual_information(cells, sizes).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
