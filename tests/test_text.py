@@ -255,3 +255,17 @@ def test_a_rule_is_searched_where_all_its_words_stand(spark):
         [(5, "Financial Industry Regulatory Authority", "GOV"), (9, "(nasdaq: X, NYSE: Y)", "TICKER")],
     ]
     assert [tuple(t) for t in one(spark, "a \t b of  c", lambda c: K.annotate(c, [Rule("E", ".+ of")]))] == [(0, "a b of", "E"), (3, "c", None)]
+
+
+def test_a_small_lexicon_is_sent_to_the_sentences(spark, monkeypatch):
+    """The words of the sentences aren't shuffled, whether or not adaptive execution learns the table's size in time."""
+    df = spark.createDataFrame([(1, 0, "a very good plan"), (1, 0, "a very good plan"), (2, 0, None), (3, 1, "not bad")], "idx long, pos int, sents string")
+    lex = spark.createDataFrame([("good", 0.5, 0.6), ("bad", -0.5, 0.6), (None, 1.0, 1.0), ("good", 0.1, 0.2)], "word string, polarity double, subjectivity double")
+    words = F.split("sents", " ")
+    small = lexicon.sentiment_by_join(df, words, lex)
+    hits = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [word" in hits
+    monkeypatch.setattr(lexicon, "hinted", lambda table: table)
+    joined = lexicon.sentiment_by_join(df, words, lex)
+    assert "BroadcastHashJoin [word" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
