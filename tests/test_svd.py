@@ -109,3 +109,24 @@ def test_term_ids_and_lsa(spark):
     weights, values = topics.lsa_topics(df, "idx", token_grams(F.col("tokens")), k=2)
     assert np.allclose(values, [5**0.5] * 2) and weights.count() == 12
     assert all(abs(w) < 1.0 for w in (r.weight for r in topics.rank_words(weights, 3).collect()))
+
+
+def test_blocks_are_packed_rows(spark, monkeypatch):
+    """A round reads a row per block, not one per cell; equal cells and columns that the basis lacks are kept apart."""
+    monkeypatch.setattr(svd, "BLOCK_CELLS", 100)
+    rng = np.random.default_rng(5)
+    cells = [(f"r{i}", int(j), float(v)) for i in range(40) for j, v in zip(rng.integers(0, 30, 12), rng.random(12))]
+    blocks = svd._blocks(spark.createDataFrame(cells, "row string, col long, value double")).collect()
+    assert len(blocks) <= 5
+    found = [
+        (b["rows"][r], b["cols"][c], x)
+        for b in blocks for r, c, x in zip(np.frombuffer(b["r"], "<i4"), np.frombuffer(b["c"], "<i4"), np.frombuffer(b["x"], "<f8"))
+    ]
+    assert sorted(found) == sorted(cells)
+    basis = spark.createDataFrame([(j, [float(j), 1.0]) for j in range(0, 30, 2)], "col long, v array<double>")
+    product = {r["row"]: r["v"] for r in svd.project(spark.createDataFrame(cells, "row string, col long, value double"), basis, 2).collect()}
+    for row in {c[0] for c in cells}:
+        even = [(j, x) for r, j, x in cells if r == row and j % 2 == 0]
+        assert (row in product) == bool(even)
+        if even:
+            assert np.allclose(product[row], [sum(j * x for j, x in even), sum(x for _, x in even)])
