@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tellsift.functions import features as X, text as T, tokens as K, words as W
 from tellsift.functions.rules import Rule, default_rules
 from tellsift.operators import entities as E, lexicon, sentences as S
+from tellsift.session import cut_lineage
 
 CLAUSE = (
     "A pump stands idle where: (i) the float (unless it sticks in mud) drops under the red line; (ii) a fitter "
@@ -215,6 +216,21 @@ def test_name_spans_against_lists(spark, monkeypatch, bound):
     assert lexicon.name_spans(df.limit(0), F.col("words"), table).count() == 0
 
 
+@pytest.mark.parametrize("starts", [lexicon.FIRST_TOKENS, 0])
+def test_many_names_of_few_first_tokens_shuffle_no_sentence(spark, monkeypatch, starts):
+    monkeypatch.setattr(lexicon, "BROADCAST_BYTES", 2000)
+    monkeypatch.setattr(lexicon, "FIRST_TOKENS", starts)
+    kept = []
+    monkeypatch.setattr(lexicon, "cut_lineage", lambda df: kept.append(df.columns) or cut_lineage(df))
+    sentences = [(i, 0, ["we", "met", "Customer", "No", str(i), "and", "Customer", "No", "x", None]) for i in range(60)]
+    names = [("A", ["Customer", "No", str(i)]) for i in range(50)] + [("B", ["Customer"])]
+    table = spark.createDataFrame([(label, " ".join(name)) for label, name in names], "label string, text string")
+    df = spark.createDataFrame(sentences, "idx long, pos int, words array<string>")
+    found = {tuple(r) for r in lexicon.name_spans(df, F.col("words"), table).collect()}
+    assert found == spans_by_hand(sentences, names)
+    assert not [columns for columns in kept if "sentence" in columns]
+
+
 def test_entity_table(spark):
     df = spark.createDataFrame([(1, 0, "The FDA told Acme Corp. that IBM filed Form 8-K")], "idx long, pos int, sents string")
     table = {(r.label, r.text) for r in E.word_entity_table(S.with_annotation(df)).collect()}
