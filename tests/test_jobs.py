@@ -16,6 +16,7 @@ from tellsift.operators.stages import (
     ColumnScaler, LengthFeatures, PosFeatures, SentimentFeatures, SmoothIdf, SublinearTf, TruncatedSvd,
 )
 from tellsift.plans import explore, labelling, predict, selftrain, training
+from tellsift.session import cut_lineage
 from tellsift.sources import tables as SRC
 from tellsift.streaming.incremental import pending, score_new_files
 
@@ -410,3 +411,32 @@ def test_numbered_deals_a_hot_group_to_many_tasks(spark, capsys):
     found.explain()
     numbering = [line for line in capsys.readouterr().out.splitlines() if "row_number()" in line]
     assert numbering and all("_stretch" in line for line in numbering)
+
+
+@pytest.mark.parametrize("loss", ["frobenius", "kullback-leibler"])
+def test_nmf_works_on_blocks_of_rows(spark, monkeypatch, loss):
+    from tellsift.operators import nmf
+
+    kept = []
+    monkeypatch.setattr(nmf, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 8)) * (rng.random((300, 8)) < 0.5)
+    rows = [(f"k{i}", [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "name string, ids array<int>, vals array<double>").coalesce(2)
+    model = nmf.fit_nmf(df, "name", 8, k=3, loss=loss, max_iter=1, checkpoint_every=1)
+    assert kept[0].count() == 2
+    first = nmf.fit_nmf(df, "name", 8, k=3, loss=loss, max_iter=0)
+    start, w = ({r["name"]: np.array(r["w"]) for r in m.rows.collect()} for m in (first, model))
+    assert set(start) == set(w) == {r[0] for r in rows}
+    h, l1, l2 = first.components, 0.05, 0.05
+    for i in (0, 7, 299):
+        old, at, v = start[f"k{i}"], x[i] > 0, x[i][x[i] > 0]
+        if loss == "frobenius":
+            top, low = h[:, at] @ v, h @ h.T @ old
+        else:
+            top, low = h[:, at] @ (v / (old @ h[:, at])), h.sum(axis=1)
+        assert np.allclose(w[f"k{i}"], old * top / (low + l1 + l2 * old))
+    new = np.array([w[f"k{i}"] for i in range(300)])
+    given = x if loss == "frobenius" else np.where(x > 0, x / (new @ h), 0)
+    low = new.T @ new @ h if loss == "frobenius" else new.sum(axis=0)[:, None]
+    assert np.allclose(model.components, h * (new.T @ given) / (low + l1 + l2 * h))
