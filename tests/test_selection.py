@@ -117,3 +117,9 @@ def test_few_keys_do_not_gather_the_rows(spark, monkeypatch):
         assert [(f, pytest.approx(x)) for f, x in sent] == sorted(map(tuple, mutual_information(cells, sizes).collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_notices_are_dealt_to_many_tasks(spark, sf):
+    from tellsift.catalog.registry import notices
+
+    assert notices(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
