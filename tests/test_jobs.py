@@ -305,6 +305,26 @@ def test_training_run(spark, tmp_path):
     assert again.first().Immaterial_sents == out.first().Incident_sents
 
 
+def test_classifier_sees_written_rows(spark, monkeypatch):
+    """Each of a classifier's jobs would send the feature stages' vectors, as long as the vocabulary, with its plan."""
+    plans = []
+
+    class Watched:
+        def __init__(self, stage):
+            self.stage = stage
+
+        def fit(self, rows):
+            plans.append(rows._jdf.queryExecution().analyzed().toString())
+            return self.stage.fit(rows)
+
+    plain = training.ModelSpec.classifier_stage
+    monkeypatch.setattr(training.ModelSpec, "classifier_stage", lambda *a, **k: Watched(plain(*a, **k)))
+    rows = training.with_label(sentences(spark), "Incident")
+    model = training.fit_model(training.ModelSpec(), rows, PARAMS)
+    assert len(plans) == 1 and "UDF" not in plans[0] and "Generate" not in plans[0]
+    assert all((r.probability[1] > 0.5) == (r.label == 1) for r in model.transform(rows).collect())
+
+
 def test_self_training_keeps_given_labels(spark):
     known, unknown = sentences(spark), sentences(spark, 30, unknown=True).withColumn("row_id", F.col("idx") + 1000)
     _, result = selftrain.self_train(known, unknown, "Incident", training.ModelSpec(), PARAMS, threshold=0.6, max_rounds=3)

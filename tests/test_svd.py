@@ -130,3 +130,19 @@ def test_blocks_are_packed_rows(spark, monkeypatch):
         assert (row in product) == bool(even)
         if even:
             assert np.allclose(product[row], [sum(j * x for j, x in even), sum(x for _, x in even)])
+
+
+def test_start_is_drawn_by_many_tasks(spark, monkeypatch):
+    """The start's numbers cost much and its columns are few bytes, which adaptive execution puts into one task."""
+    tasks = []
+    kept = svd.written
+
+    def watched(df):
+        out = kept(df)
+        if df.columns == ["col", "v"]:
+            tasks.append(df.select(F.spark_partition_id()).distinct().count())
+        return out
+
+    monkeypatch.setattr(svd, "written", watched)
+    found = svd.leading(table(spark, np.random.default_rng(3).random((30, 200))), 3)
+    assert len(found.values) == 3 and tasks == [spark.sparkContext.defaultParallelism]
