@@ -13,7 +13,7 @@ from tellsift.functions.rules import default_rules, read_rules, rule_table
 from tellsift.operators import chunks, evaluate as EV, ranks, sampling, scoring, tables, topics
 from tellsift.operators.frequency import token_grams
 from tellsift.operators.stages import (
-    ColumnScaler, LengthFeatures, PosFeatures, SentimentFeatures, SmoothIdf, SublinearTf, TruncatedSvd,
+    ColumnScaler, LengthFeatures, PosFeatures, SentimentFeatures, SmoothIdf, SublinearTf, TruncatedSvd, max_share,
 )
 from tellsift.plans import explore, labelling, predict, selftrain, training
 from tellsift.session import cut_lineage
@@ -98,6 +98,17 @@ def test_all_terms_are_kept_without_a_limit(spark):
     assert len(training.ModelSpec().feature_stages({"max_df": 1.0, "max_features": 10})[1].fit(df).vocabulary) == 10
 
 
+def test_counter_is_told_the_rows(spark):
+    """A counter that has only a share keeps the terms of all rows to count the rows; the vocabulary is the same."""
+    assert [max_share(0.8, 10), max_share(0.9, 1), max_share(0.9, 2, 2.0), max_share(0.8), max_share(1.0, 5)] == [8.0, 0.9, 0.9, 0.8, 2.0**62]
+    texts = spark.createDataFrame([(i, f"all w{i % 4} v{i % 2}") for i in range(20)] + [(20, "")], "idx long, text string")
+    for share, kept in ((0.9, {"w0", "w1", "w2", "w3", "v0", "v1"}), (0.96, {"all", "w0", "w1", "w2", "w3", "v0", "v1"}), (10 / 21, {"w0", "w1", "w2", "w3", "v0", "v1"})):
+        model, _, words = topics.lda_topics(texts, F.split("text", " "), k=2, max_df=share, max_iter=1)
+        assert set(words) == kept and model.stages[0].getMaxDF() == share * 21
+    stages = training.ModelSpec().feature_stages({"max_df": 0.8}, 50)
+    assert stages[1].getMaxDF() == 40.0
+
+
 def test_margin_threshold_holds_when_scoring(spark):
     rows = [(i, float(i - 10) / 10) for i in range(21)]
 
