@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tellsift.functions import tokens as K
+from tellsift.operators.common import computed
 from tellsift.operators.ranks import first_per_group
 
 
@@ -13,12 +14,21 @@ def top_words(sentences: DataFrame, words: Column, n: int = 100) -> DataFrame:
 
     All sentences count, also those without any word.
     """
-    total = sentences.agg(F.count("*")).scalar()
-    counts = (
-        sentences.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
-    )
-    top = counts.orderBy(F.desc("c"), "word").limit(n)
-    return top.select("word", (F.col("c") / total * 1000).alias("freq"))
+    counts = _marked(sentences, words).groupBy("word", "_end").agg(F.count("*").alias("c"))
+    top = counts.orderBy(F.desc("_end"), F.desc("c"), "word").limit(n + 1)
+    whole = F.max(F.when(F.col("_end"), F.col("c"))).over(Window.partitionBy(F.lit(0)))
+    return top.withColumn("_total", whole).where(~F.col("_end")).select("word", (F.col("c") / F.col("_total") * 1000).alias("freq"))
+
+
+def _marked(sentences: DataFrame, words: Column, **flags: Column) -> DataFrame:
+    """``(word, _end)``: the words of every sentence and one row that stands for the sentence itself, with its ``flags``.
+
+    So one pass over the text counts words and sentences.
+    """
+    held = computed(sentences, _w=F.coalesce(words, F.array().cast("array<string>")), **flags)
+    place = F.posexplode(F.concat("_w", F.array(F.lit(None).cast("string")))).alias("_i", "word")
+    found = held.select(F.size("_w").alias("_n"), *flags, place)
+    return found.select("word", (F.col("_i") == F.col("_n")).alias("_end"), *flags)
 
 
 def compare_top_words(
@@ -33,20 +43,19 @@ def compare_top_words(
     for key in keys:
         groups[f"{key}_pos"] = F.col(key) == 1
         groups[f"{key}_neg"] = F.col(key) == 0
-    flagged = sentences.select(words.alias("_w"), *[c.alias(g) for g, c in groups.items()])
-    totals = flagged.select(*[F.count_if(g).alias(g) for g in groups])
     counts = (
-        flagged.select(F.explode("_w").alias("words"), *groups)
-        .groupBy("words")
+        _marked(sentences, words, **groups)
+        .groupBy(F.col("word").alias("words"), "_end")
         .agg(*[F.count_if(g).alias(g) for g in groups])
     )
-    long = counts.unpivot("words", list(groups), "grp", "c").where("c > 0")
-    top = first_per_group(
-        long.withColumn("_neg", -F.col("c")), ["grp"], ["_neg", "words"], n
-    ).drop("_neg")
-    sizes = totals.unpivot([], list(groups), "grp", "total")
+    long = counts.unpivot(["words", "_end"], list(groups), "grp", "c").where("c > 0")
+    # a group's sentences, a null, come first, then its words
+    order = long.withColumn("_neg", F.when(~F.col("_end"), -F.col("c")))
+    first = first_per_group(order, ["grp"], ["_neg", "words"], n + 1)
+    whole = F.max(F.when(F.col("_end"), F.col("c"))).over(Window.partitionBy("grp"))
     return (
-        top.join(sizes, "grp")
+        first.withColumn("total", whole)
+        .where(~F.col("_end"))
         .groupBy("words")
         .agg(
             *[

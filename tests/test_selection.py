@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tellsift.operators import evaluate, stages
+from tellsift.operators import evaluate, frequency as FR, stages
 from tellsift.operators.quantiles import exact_quantiles
 from tellsift.operators.selection import mutual_information
 from tellsift.sources.aligned import read_with_position, side_by_side
@@ -123,3 +123,17 @@ def test_notices_are_dealt_to_many_tasks(spark, sf):
     from tellsift.catalog.registry import notices
 
     assert notices(spark, sf).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
+def test_words_and_sentences_are_counted_in_one_pass(spark):
+    """The total is no second pass over the text; sentences without words, null ones and null words count as before."""
+    rows = [(["a", "b", "a"], 1), (["a", None], 0), ([], 1), (None, None), (["c", None], 0)]
+    table = spark.createDataFrame(rows, "words array<string>, y int")
+    top = FR.top_words(table, F.col("words"), 3)
+    assert [tuple(r) for r in top.collect()] == [("a", 600.0), (None, 400.0), ("b", 200.0)]
+    compared = FR.compare_top_words(table, F.col("words"), ["y"], 1)
+    assert {tuple(r) for r in compared.collect()} == {("a", 600.0, 1000.0, None), (None, None, None, 1000.0)}
+    assert FR.top_words(table.where("y > 5"), F.col("words")).collect() == FR.compare_top_words(table.where("y > 5"), F.col("words"), ["y"]).collect() == []
+    for df in (top, compared):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "subquery" not in plan and plan.count("LogicalRDD") == 1
