@@ -9,6 +9,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tellsift.catalog import model_q, registry
 from tellsift.operators import evaluate, frequency as FR, stages
 from tellsift.operators.quantiles import exact_quantiles
 from tellsift.operators.selection import mutual_information
@@ -137,3 +138,17 @@ def test_words_and_sentences_are_counted_in_one_pass(spark):
     for df in (top, compared):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "subquery" not in plan and plan.count("LogicalRDD") == 1
+
+
+def test_only_labelled_filings_are_cut_and_scored(spark, tmp_path):
+    """Labels meet filings before these are cut; filings with several labels give a row for each, as the join of sentences does."""
+    texts = [(1, "The board met. Sales grew with the year."), (2, "Not labelled at all. Never cut."), (3, None), (4, "One only.")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (1, 0, 0), (3, 1, 1), (4, 0, None), (None, 1, 1), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = model_q.evaluated(spark, str(tmp_path))
+    scored = model_q.scored_sentences(spark, str(tmp_path)).select("idx", "pos", "proba").join(registry.labels(spark, str(tmp_path)), "idx")
+    assert found.columns and Counter(map(tuple, found.select(scored.columns).collect())) == Counter(map(tuple, scored.collect()))
+    assert found.count() == 5 and set(found.columns) == set(scored.columns)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Join ")
