@@ -197,3 +197,15 @@ def test_lm_both_ways_and_by_exact_counts(spark, sf, monkeypatch):
             total += np.log10((min(both, h) + (u + 1) * p) / (h + u + 1 + model.false_mass) if h else p)
         close += abs(total - whole[i].score) <= 0.01 * abs(total)
     assert close >= 0.97 * len(docs)  # a false positive of the filter now and then
+
+
+def test_phrases_take_two_passes_however_many_there_are(spark, sf, monkeypatch):
+    """Pairs and longer phrases are counted while they are looked for; texts were read again for every shard of them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
+    right = sorted(map(tuple, phrases.counted_by_shuffle(docs, 3, 4).collect()))
+    passes, plain = [], phrases._pass
+    monkeypatch.setattr(phrases, "_pass", lambda *a: passes.append(1) or plain(*a))
+    words = sum(len(f"{r[0]}\n{r[1]} ".encode()) for r in right if r[2] == 1)
+    assert sorted(map(tuple, phrases.count_phrases(docs, 3, 4, limit=words)[0].collect())) == right and len(passes) == 2
+    monkeypatch.setattr(phrases, "LISTED", 10)
+    assert sorted(map(tuple, phrases.count_phrases(docs, 3, 4)[0].collect())) == right and len(passes) == 3
