@@ -285,3 +285,14 @@ def test_a_small_lexicon_is_sent_to_the_sentences(spark, monkeypatch):
     joined = lexicon.sentiment_by_join(df, words, lex)
     assert "BroadcastHashJoin [word" not in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, small.collect()), key=str) == sorted(map(tuple, joined.collect()), key=str)
+
+
+def test_sentiment_by_join_doesnt_hang_on_the_order_of_rows(spark):
+    """A mean was added up as rows came: 0.4 or 0.39999999999999997."""
+    lex = [("good", 0.1, 0.2), ("good", 0.5, 0.6), ("good", 0.7, 0.4)]
+    df = spark.createDataFrame([(1, 0, "a good plan")], "idx long, pos int, sents string")
+    found = set()
+    for rows in (lex, lex[::-1], lex[1:] + lex[:1]):
+        table = spark.createDataFrame(rows, "word string, polarity double, subjectivity double").coalesce(1)
+        found |= {tuple(r) for r in lexicon.sentiment_by_join(df, F.split("sents", " "), table).collect()}
+    assert len(found) == 1
