@@ -6,6 +6,7 @@ from unittest.mock import MagicMock
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tellsift.catalog import all_queries, model_q
@@ -471,3 +472,17 @@ def test_nmf_works_on_blocks_of_rows(spark, monkeypatch, loss):
     given = x if loss == "frobenius" else np.where(x > 0, x / (new @ h), 0)
     low = new.T @ new @ h if loss == "frobenius" else new.sum(axis=0)[:, None]
     assert np.allclose(model.components, h * (new.T @ given) / (low + l1 + l2 * h))
+
+
+def test_quartile_ranges_read_the_text_once(spark, monkeypatch):
+    """Every round of the quantiles worked the vectors out anew from the text."""
+    from tellsift.operators import stages
+
+    df = spark.createDataFrame([(f"{'ab ' * i}c" if i % 5 else None,) for i in range(40)], "sents string")
+    vectors = VectorAssembler(inputCols=["char_count", "unique_vs_words"], outputCol="v").transform(LengthFeatures(inputCol="sents").transform(df.dropna()))
+    seen, plain = [], stages.exact_quantiles
+    monkeypatch.setattr(stages, "exact_quantiles", lambda rows, *a, **k: seen.append(rows._jdf.queryExecution().analyzed().toString()) or plain(rows, *a, **k))
+    found = stages.quartile_ranges(vectors, "v")
+    right = np.array([r.v.toArray() for r in vectors.collect()])
+    assert np.allclose(found, np.quantile(right, 0.75, axis=0) - np.quantile(right, 0.25, axis=0))
+    assert seen and not any("sents" in plan for plan in seen)
