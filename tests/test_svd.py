@@ -146,3 +146,33 @@ def test_start_is_drawn_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(svd, "written", watched)
     found = svd.leading(table(spark, np.random.default_rng(3).random((30, 200))), 3)
     assert len(found.values) == 3 and tasks == [spark.sparkContext.defaultParallelism]
+
+
+def test_terms_and_weights_sent_or_joined(spark, monkeypatch, tmp_path):
+    """No string of the vocabulary and no attribute of a column is on the driver; terms and weights beyond a size are joined."""
+    texts = [(1, ["a", "b", "a"], 1.0), (2, ["b", "c", "zz"], None), (3, [], 0.0), (4, None, 2.0), (5, ["c", "b"], 3.0)]
+    df = spark.createDataFrame(texts, "id int, grams array<string>, x double")
+    model = stages.TermCounter(minDF=2.0, maxDF=3.0).fit(df)
+    assert sorted(model.vocabulary) == ["b", "c"] and stages.TermCounter(vocabSize=1).fit(df).vocabulary == ["b"]
+    with pytest.raises(ValueError):
+        stages.TermCounter(minDF=9.0).fit(df)
+
+    def worked(model):
+        counted = model.transform(df)
+        idf = stages.SmoothIdf().fit(counted)
+        idf.write().overwrite().save(str(tmp_path / "idf"))
+        again = stages.ColumnWeights.load(str(tmp_path / "idf"))
+        weighted = stages.Assembler(inputCol="weighted", columns=["x"]).transform(again.transform(counted))
+        out = stages.MaxAbs().fit(weighted).transform(weighted)
+        assert not any(f.metadata for f in out.schema.fields)
+        return {r.id: (r.counts.toArray().tolist(), np.nan_to_num(r.scaled.toArray(), nan=-1).round(9).tolist()) for r in out.collect()}
+
+    sent = worked(model)
+    at = {t: i for i, t in enumerate(model.vocabulary)}
+    assert [sent[i][0][at[t]] for i, t in ((1, "b"), (2, "b"), (2, "c"), (3, "b"), (4, "c"))] == [1, 1, 1, 0, 0]
+    assert sent[2][1][-1] == -1  # NaN
+    assert [sent[i][1][-1] for i in range(1, 6)] == [round(1 / 3, 9), -1, 0, round(2 / 3, 9), 1]
+    model.write().overwrite().save(str(tmp_path / "terms"))
+    assert worked(stages.TermCounterModel.load(str(tmp_path / "terms"))) == sent
+    monkeypatch.setattr(stages, "BROADCAST_TERMS", 0)
+    assert worked(stages.TermCounterModel.load(str(tmp_path / "terms"))) == sent
