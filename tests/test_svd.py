@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from tellsift import session
 from tellsift.operators import stages, svd, topics, vectorize as V
 from tellsift.operators.frequency import token_grams
 
@@ -176,3 +177,24 @@ def test_terms_and_weights_sent_or_joined(spark, monkeypatch, tmp_path):
     assert worked(stages.TermCounterModel.load(str(tmp_path / "terms"))) == sent
     monkeypatch.setattr(stages, "BROADCAST_TERMS", 0)
     assert worked(stages.TermCounterModel.load(str(tmp_path / "terms"))) == sent
+
+
+def test_blocks_write_no_copy_of_the_cells(spark, monkeypatch):
+    """The cells were written as a table before they were packed, which took as much disk again."""
+    monkeypatch.setattr(svd, "BLOCK_CELLS", 50)
+    kept, tables = svd.written, []
+    monkeypatch.setattr(svd, "written", lambda df: tables.append(df.columns) or kept(df))
+    cells = [(i % 7, j, 1.0 + i) for i in range(21) for j in range(40)] + [(None, 1, 1.0), (1, None, 1.0), (2, 2, None), (3, 3, 0.0), (4, 4, float("nan"))]
+    blocks = svd._blocks(spark.createDataFrame(cells, "row long, col long, value double")).collect()
+    assert tables == [["block", "rows", "cols", "r", "c", "x"]] and len({b["block"] for b in blocks}) == len(blocks)
+    # a row is in one block only
+    assert sorted(r for b in blocks for r in b["rows"]) == list(range(7))
+    assert sum(len(np.frombuffer(b["x"], "<f8")) for b in blocks) == 21 * 40
+
+
+def test_unneeded_shuffles_are_swept(spark, monkeypatch):
+    swept = []
+    monkeypatch.setattr(session.gc, "collect", lambda: swept.append(1))
+    monkeypatch.setattr(session, "_swept", session.time.monotonic() - 2 * session.SWEEP_S)
+    assert session.written(spark.range(3)).count() == 3 and session.cut_lineage(spark.range(2)).count() == 2
+    assert len(swept) == 1
